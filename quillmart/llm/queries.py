@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmart.llm import bpe, token_store
+from quillmart.llm import bpe, chat, hamming_topk, line_dedup, secret_scan, token_store
 from quillmart.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +20,44 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path)
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_topk.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming_topk.top_k(codes, codes.where(F.col("id") % 50 == 0), k=10)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op7_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.digest(chat.examples(turns.unionByName(probe)))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op8_bpe_round_trip)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_hamming_top_k,
+        op3_line_dedup,
+        op7_chat_examples,
+        op8_bpe_round_trip,
+        op9_secret_scan,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_hamming_top_k": hamming_topk.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_chat_examples": chat.ORACLE_SQL,
+}
