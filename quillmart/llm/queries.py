@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import bpe, chat, hamming_topk, line_dedup, secret_scan, token_store
+from quillmart.llm import bpe, chat, hamming_topk, line_dedup, secret_scan, token_store, warc
 from quillmart.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).drop("record_id", "date")
+
+
 def op7_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -50,6 +56,7 @@ QUERIES: dict[str, Query] = {
         op1_token_store,
         op2_hamming_top_k,
         op3_line_dedup,
+        op5_warc_archive,
         op7_chat_examples,
         op8_bpe_round_trip,
         op9_secret_scan,
@@ -59,5 +66,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_hamming_top_k": hamming_topk.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_warc_archive": warc.ORACLE_SQL,
     "op7_chat_examples": chat.ORACLE_SQL,
 }
