@@ -20,9 +20,8 @@ import struct
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmart.llm.bpe import printable_bytes
+from quillmart.llm.common import TwoAgeCache
 
 #: Ids after which a segment is closed; a document is never divided, so a longer one makes a longer segment.
 SEGMENT_TOKENS = 1 << 20
@@ -99,6 +99,10 @@ class DacSegment:
         return rest
 
 
+class _Joined(Exception):
+    """A word that ends in a mark, to which the mark split off behind it belongs."""
+
+
 class WordIds:
     """Ids of texts by the tokenizers library, whose model gets each distinct word once as long as a worker's memo has it.
 
@@ -114,59 +118,38 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.shown = printable_bytes()
+        self.tokenize, self.shown = self.tokenizer.model.tokenize, printable_bytes()
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut, self.memo = regex.compile(WORDS), memo
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.ends_in_mark: set[str] = set()  # words of the memo after which a split-off mark would have joined
-
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _units(self, text: str) -> list[str]:
-        """Lowered words. A full stop or comma before white space is a word of its own unless marks stand together."""
+        self.cut = regex.compile(WORDS).findall
+        self.by_word = TwoAgeCache(self._word, memo)
+        self.by_unit = TwoAgeCache(self._unit, memo // 4)
+
+    def _unit(self, unit: str) -> bytes:
+        words = (unit,) if unit.isalpha() else self.cut(unit)
+        shown = (w if w.isascii() and w.isprintable() else "".join(map(self.shown.__getitem__, w.encode())) for w in words)
+        return array("I", [k.id for w in shown for k in self.tokenize(w)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word and not word[-1].isalnum() and word not in (".", ","):
+            raise _Joined
+        return self._unit(word)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         if any(m in text for m in self.marks):
-            return []
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Capital sigma is lowered by itself, as the library does, not by its place in the word.
         text = text.replace("Σ", "σ").lower().replace("\n", " ") + " "
+        # A full stop or comma before white space is cut off as a word of its own, so there are fewer different
+        # words, unless it stands next to another mark, with which it forms one word.
         if not (".," in text or ",." in text or ".." in text or ",," in text):
-            units = text.replace(". ", " . ").replace(", ", " , ").split(" ")
-            if self.ends_in_mark.isdisjoint(units):
-                return units
-        return text.split(" ")
-
-    def _learn(self, units: Iterable[str]) -> None:
-        tokenize, shown, cut = self.tokenizer.model.tokenize, self.shown, self.cut.findall
-        for u in units:
-            words = (u,) if u.isalpha() else cut(u)
-            ids = [k.id for w in words for k in tokenize(w if w.isascii() and w.isprintable() else "".join(map(shown.__getitem__, w.encode())))]
-            self.young[u] = array("I", ids).tobytes()
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        texts = list(texts)
-        for _ in range(2):
-            units = [self._units(t) for t in texts]
-            need = set(chain.from_iterable(units)).difference(self.young)
-            found = {u for u in need if not u[-1:].isalnum() and u not in (".", ",", "")} - self.ends_in_mark
-            if not found:
-                break
-            self.ends_in_mark |= found  # such texts are cut again, at white space only
-        else:
-            need = set(chain.from_iterable(units)).difference(self.young)
-        if self.young and len(self.young) + len(need) > self.memo:
-            self.old, self.young, self.ends_in_mark = self.young, {}, set()
-            return self.encode(texts)
-        known = need.intersection(self.old)
-        self.young.update((u, self.old[u]) for u in known)
-        if fresh := need - known:
-            self._learn(fresh)
-        find = self.young.__getitem__
-        special = iter(self._by_library([t for t in texts if any(m in t for m in self.marks)]))
-        return [b"".join(map(find, us)) if us else next(special) for us in units]
+            try:
+                return b"".join(map(self.by_word.__getitem__, text.replace(". ", " . ").replace(", ", " , ").split(" ")))
+            except _Joined:
+                pass
+        return b"".join(map(self.by_unit.__getitem__, text.split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -201,7 +184,7 @@ def write_store(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seg", "part_offset", "doc_ids", "n_tokens", "seg_tokens", "codes"])
 
         for b in batches:
-            for key, x in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
+            for key, x in zip(b.column(0).to_pylist(), map(encoder.encode, b.column(1).to_pylist())):
                 keys.append(key)
                 ids.append(x + end)
                 held += len(ids[-1]) // 4
