@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import bpe, chat, hamming_topk, line_dedup, secret_scan, token_store, warc
+from quillmart.llm import bpe, chat, hamming_topk, line_dedup, secret_scan, token_store, toxicity, warc
 from quillmart.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).drop("record_id", "date")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("toxicity") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
+
+
 def op7_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -57,6 +65,7 @@ QUERIES: dict[str, Query] = {
         op2_hamming_top_k,
         op3_line_dedup,
         op5_warc_archive,
+        op6_toxicity,
         op7_chat_examples,
         op8_bpe_round_trip,
         op9_secret_scan,
