@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import bpe, chat, hamming_topk, line_dedup, secret_scan, token_store, toxicity, warc
+from quillmart.llm import bpe, chat, decontaminate, hamming_topk, line_dedup, secret_scan, simhash, token_store, toxicity, warc
 from quillmart.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -58,17 +62,24 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_store,
         op2_hamming_top_k,
         op3_line_dedup,
+        op4_benchmark_leaks,
         op5_warc_archive,
         op6_toxicity,
         op7_chat_examples,
         op8_bpe_round_trip,
         op9_secret_scan,
+        op10_simhash_near_duplicates,
     )
 }
 
