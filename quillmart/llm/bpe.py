@@ -15,7 +15,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -131,52 +131,38 @@ def codec(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids array<int>)`` of every document; a null text counts as empty and gives no ids. Repeated rows stay."""
+def tokenized(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
+    """Encode every text and decode its ids again, in one pass: ``(id, n_tokens, ids_sha256, decoded_sha256)``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(vocabulary)
-        for b in batches:
-            ids = pa.array([bpe.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
-
-
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text and decode its ids again, in one pass: ``(id, n_tokens, ids_sha256, decoded_sha256, decoded)``.
-
-    No shuffle: a document's ids depend on its own text alone. A null text counts as empty; repeated rows stay.
-    ``decoded`` is the text that the ids give.
+    ``extra`` adds ``ids`` (array<int>) or ``decoded``, the text that the ids give. No shuffle: a document's ids depend
+    on its own text alone. A null text counts as empty; repeated rows and null ids stay.
     """
-    return _coded(docs, vocabulary, id_col, text_col, True)
-
-
-def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`round_trip` without the decoded text."""
-    return _coded(docs, vocabulary, id_col, text_col, False)
-
+    if extra not in (None, "ids", "decoded"):
+        raise ValueError(f"no such column: {extra}")
 
-def _coded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
         for b in batches:
-            counts, coded, digests, decoded = [], [], [], []
+            counts, coded, digests, more = [], [], [], []
             for text in b.column(1).to_pylist():
                 ids = bpe.encode(text)
                 back = bpe.decode(ids)
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(bpe.joined(ids).encode()).hexdigest())
                 digests.append(hashlib.sha256(back.encode()).hexdigest())
-                decoded.append(back if with_text else None)
-            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(digests), pa.array(decoded, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"]
-            keep = 5 if with_text else 4
-            yield pa.RecordBatch.from_arrays(columns[:keep], names[:keep])
+                if extra:
+                    more.append(pa.array(ids, pa.int32()) if extra == "ids" else back)
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(digests, pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if extra == "ids":
+                offsets = pa.array([0, *accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(more) if more else pa.array([], pa.int32())))
+            elif extra:
+                columns.append(pa.array(more, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names + [extra] * bool(extra))
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", decoded string" if with_text else "")
+    added = {None: "", "ids": ", ids array<int>", "decoded": ", decoded string"}[extra]
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{added}"
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)

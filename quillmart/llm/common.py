@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 500
 
 
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Set the rows of an Arrow batch, for the plans that are run from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` below ``sf_dir``, by Spark's reader, so any store that Spark reads will do."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmart.llm.bpe import printable_bytes
-from quillmart.llm.common import TwoAgeCache
+from quillmart.llm.common import TwoAgeCache, arrow_batches
 
 #: Ids after which a segment is closed; a document is never divided, so a longer one makes a longer segment.
 SEGMENT_TOKENS = 1 << 20
@@ -221,7 +221,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "within", "n_tokens", "ids_crc32"])
 
     # One segment in a batch: its codes and ids are what a task holds.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    arrow_batches(spark, 1)
     store = spark.read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = store.groupBy("part").agg(F.sum("seg_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmart.llm.common import arrow_batches
+
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 1000
 #: Records in a file at most, and payload bytes in an ARC block before the next is begun.
@@ -284,7 +286,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string(), "url": pa.string(), "date": pa.string()}
     schema = pa.schema(list(kinds.items()))
     # A file at a time: its compressed bytes, and one record of it, are what a task holds.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    arrow_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string")
 
