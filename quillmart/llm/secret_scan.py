@@ -14,6 +14,8 @@ letters in one case (words) have no claim to an encoding and are not tested.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -61,20 +63,26 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(possible, F.aggregate(pairs, empty, add, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
-def _erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0 (Abramowitz and Stegun 7.1.26, error below 1.5e-7)."""
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; an expression alone would be computed each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _erfc(z: Column) -> Column:
+    """Complementary error function for z >= 0 (Abramowitz and Stegun 7.1.26, error below 1.5e-7)."""
+
+    def tail(x: Column) -> Column:
+        return _let(1 / (1 + 0.3275911 * x), lambda t: t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x))
 
+    return _let(z, tail)
 
-def _upper_tail(z: Column) -> Column:
-    x = F.abs(z) / F.lit(2.0**0.5)
-    return F.when(z >= 0, _erfc(x) / 2).otherwise(1 - _erfc(x) / 2)
 
+def _upper_tail(score: Column) -> Column:
+    return _let(score, lambda z: _let(_erfc(F.abs(z) / F.lit(2.0**0.5)), lambda e: F.when(z >= 0, e / 2).otherwise(1 - e / 2)))
 
-def _two_tails(z: Column) -> Column:
-    return _erfc(F.abs(z) / F.lit(2.0**0.5))
+
+def _two_tails(score: Column) -> Column:
+    return _erfc(F.abs(score) / F.lit(2.0**0.5))
 
 
 def encoding_of(token: Column) -> Column:
@@ -92,37 +100,50 @@ def encoding_of(token: Column) -> Column:
 
 def randomness(token: Column, encoding: Column) -> Column:
     """``p`` of the battery for a run under its encoding."""
-    options = []
-    for name, alphabet in ALPHABETS.items():
-        size, half = len(alphabet), len(alphabet) // 2
-        n = F.length(token).cast("double")
-        counts = F.transform(F.array(*map(F.lit, alphabet)), lambda c: F.length(token) - F.length(F.replace(token, c, F.lit(""))))
-        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c * c).cast("double"))
-        df = float(size - 1)
-        chi2 = F.greatest(squares * size / n - n, F.lit(0.0))
-        uniform = _upper_tail((F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-
-        bits = F.translate(token, alphabet, "0" * half + "1" * (size - half))
-        ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
-        zeros = n - ones
-        changes = F.length(F.regexp_replace(bits, "(?<=0)1|(?<=1)0", "xx")) - F.length(bits)
-        mean = 2 * ones * zeros / n + 1
-        spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
+    alphabet = F.element_at(F.create_map(*(F.lit(x) for item in ALPHABETS.items() for x in item)), encoding)
+
+    def known(k: Column) -> Column:
+        """What the tests need, each computed once: characters, alphabet size, half-alphabet bits and centred code values."""
+        size = F.length(k["alphabet"])
+        half = F.floor(size / 2).cast("int")
+        bits = F.call_function("translate", k["token"], k["alphabet"], F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), size - half)))
+        values = F.transform(F.filter(F.split(k["token"], ""), lambda c: c != ""), lambda c: F.instr(k["alphabet"], c) - 1 - (size - 1) / 2)
+        counts = F.transform(F.filter(F.split(k["alphabet"], ""), lambda c: c != ""), lambda c: (F.length(k["token"]) - F.length(F.replace(k["token"], c, F.lit("")))).cast("double"))
+        return F.struct(F.length(k["token"]).cast("double").alias("n"), size.cast("double").alias("size"), bits.alias("bits"), values.alias("values"), counts.alias("counts"))
+
+    def summed(k: Column) -> Column:
+        add = lambda a, v: a + v
+        zero = F.lit(0.0)
+        pairs = F.zip_with(F.slice(k["values"], F.lit(2), F.size(k["values"])), F.slice(k["values"], F.lit(1), F.size(k["values"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(
+            k["n"].alias("n"),
+            k["size"].alias("size"),
+            F.aggregate(k["counts"], zero, lambda a, c: a + c * c).alias("squares"),
+            F.length(F.replace(k["bits"], F.lit("0"), F.lit(""))).cast("double").alias("ones"),
+            (F.length(F.regexp_replace(k["bits"], "(?<=0)1|(?<=1)0", "xx")) - F.length(k["bits"])).cast("double").alias("changes"),
+            F.aggregate(k["values"], zero, add).alias("total"),
+            F.aggregate(k["values"], zero, lambda a, v: a + v * v).alias("power"),
+            F.aggregate(pairs, zero, lambda a, v: a + v["a"] * v["b"]).alias("lagged"),
+            F.element_at(k["values"], 1).alias("first"),
+            F.element_at(k["values"], -1).alias("last"),
+        )
+
+    def tested(k: Column) -> Column:
+        n, df = k["n"], k["size"] - 1
+        chi2 = F.greatest(k["squares"] * k["size"] / n - n, F.lit(0.0))
+        uniform = _upper_tail((F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
         # All on one side has no run test; uniformity speaks there.
-        runs = F.when((ones == 0) | (zeros == 0), F.lit(1.0)).otherwise(_two_tails((changes + 1 - mean) / spread))
-
-        values = F.transform(F.split(token, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1 - (size - 1) / 2).cast("double"))
-        values = F.filter(values, lambda v: v.isNotNull())
-        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-        power = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) - total * total / n
-        ahead = F.slice(values, F.lit(2), F.length(token))
-        lagged = F.aggregate(F.zip_with(ahead, F.slice(values, F.lit(1), F.length(token) - 1), lambda a, b: (a - total / n) * (b - total / n)), F.lit(0.0), lambda a, v: a + v)
-        serial = F.when(power <= 0, F.lit(0.0)).otherwise(_two_tails((lagged / power + 1 / n) * F.sqrt(n)))
-        options.append((name, F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))))
-    out = F.lit(None).cast("double")
-    for name, p in options:
-        out = F.when(encoding == name, p).otherwise(out)
-    return out
+        one_sided = (k["ones"] == 0) | (k["ones"] == n)
+        mean = 2 * k["ones"] * (n - k["ones"]) / n + 1
+        runs = _let(mean, lambda m: F.when(one_sided, F.lit(1.0)).otherwise(_two_tails((k["changes"] + 1 - m) / F.sqrt(F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(1e-9))))))
+        average = k["total"] / n
+        power = k["power"] - k["total"] * average
+        covered = k["lagged"] - average * (2 * k["total"] - k["first"] - k["last"]) + (n - 1) * average * average
+        serial = _let(power, lambda w: F.when(w <= 0, F.lit(0.0)).otherwise(_two_tails((covered / w + 1 / n) * F.sqrt(n))))
+        return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+
+    start = F.struct(token.alias("token"), alphabet.alias("alphabet"))
+    return _let(start, lambda k: _let(known(k), lambda k: _let(summed(k), tested)))
 
 
 def length_class(token: Column) -> Column:
@@ -166,18 +187,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     kinds = [base(assign, 0), base(_matches(text, ACCESS, text.contains("AKIA")), 1), base(_matches(text, HEX, text.rlike(HEX)), 2)]
     runs = _matches(text, RUN, text.rlike(RUN))
     found = docs.select(F.col(id_col).alias("id"), F.concat(*kinds).alias("base"), runs.alias("runs"))
-    tested = F.transform(
-        F.filter(F.col("runs"), lambda m: encoding_of(F.rtrim(m["hit"], F.lit("="))).isNotNull()),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.rtrim(m["hit"], F.lit("=")).alias("hit")),
-    )
+    bare = F.transform("runs", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.rtrim(m["hit"], F.lit("=")).alias("hit"), encoding_of(F.rtrim(m["hit"], F.lit("="))).alias("encoding")))
+    tested = F.filter(bare, lambda m: m["encoding"].isNotNull())
     scored = F.transform(
         tested,
         lambda m: F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
-            encoding_of(m["hit"]).alias("encoding"),
+            m["encoding"].alias("encoding"),
             length_class(m["hit"]).alias("length_class"),
-            randomness(m["hit"], encoding_of(m["hit"])).alias("p"),
+            randomness(m["hit"], m["encoding"]).alias("p"),
         ),
     )
     found = written(found.select("id", "base", scored.alias("runs")), "secrets")
