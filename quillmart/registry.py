@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillmart.plans import catalog_queries
+
+FLAGSHIP = "r2_bm25"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalog_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**catalog_queries.ORACLE_SQL}
