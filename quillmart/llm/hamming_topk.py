@@ -1,16 +1,19 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code is cut into ``segments`` pieces, and each piece has an index from its value to the codes that hold it. If two
-codes differ in at most ``segments * (r + 1) - 1`` bits, some piece of theirs differs in at most ``r``. So round ``r``
-looks up, for every query that isn't done, all values at distance exactly ``r`` from each of its pieces, verifies the
-codes found there, and ends those queries whose k-th distance is covered by that bound.
+A code is cut into segments, and an index holds for each segment and value the codes that have it. If segment ``i`` is
+searched to radius ``r_i``, every code within ``sum(r_i + 1) - 1`` bits of the query is met in some segment: were it
+further in all of them, it would differ in more bits. So the radii grow, half of the segments at a time; each round
+verifies what it meets by whole Hamming distance and keeps what the bound covers, and queries end once that is k rows,
+as the k-th distance is then provably covered.
 
 Equal codes are one entry with the ``k`` smallest ids, so a code that a third of all rows share is one row, and equal
-queries are searched once.
+queries are searched once. A join gives pairs within the bound only, which are few, and not all that share a segment.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,63 +33,74 @@ def sign_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return known.select(F.col(id_col).alias("id"), fits.alias("code"))
 
 
-def _piece(code: Column, segment: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, segment * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
+def _cuts(bits: int, segments: int) -> list[tuple[int, int]]:
+    """``(first bit, bits)`` of each segment, the wider ones first."""
+    widths = [bits // segments + (i < bits % segments) for i in range(segments)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def _piece(code: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
+
 
+def _growth(cuts: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Radii of the rounds: all 0, then one more for the first half of the segments, then for the others, and so on."""
+    half = (len(cuts) + 1) // 2
+    radii = [0] * len(cuts)
+    yield radii
+    while any(r < w for r, (_, w) in zip(radii, cuts)):
+        for part in (range(half), range(half, len(cuts))):
+            radii = [min(r + (i in part), cuts[i][1]) for i, r in enumerate(radii)]
+            yield radii
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int = 4) -> DataFrame:
+
+def top_k(base: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segments: int = 5) -> DataFrame:
     """``(query_id, rank, id, distance)``: the ``k`` rows of ``base (id, code)`` nearest to each row of ``queries (id, code)``.
 
     Exact; ties go to the smaller id; a query that is itself in ``base`` finds itself. With fewer than ``k`` rows in
-    the base all of them are returned, with none no rows. Repeated ids in ``queries`` get their result each.
+    the base all of them are returned, with none no rows. Repeated ids in ``queries`` get their result each. Segments
+    of about as many bits as the number of codes has make the shortest work.
     """
-    if bits % segments:
-        raise ValueError("segments must divide bits")
-    width = bits // segments
+    cuts = _cuts(bits, segments)
     first = Window.partitionBy("code").orderBy("id")
     entries = written(base.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k), "codes")
     by_code = entries.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    pieces = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), _piece(F.col("code"), s, width).alias("value")) for s in range(segments))))
+    pieces = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), _piece(F.col("code"), *cut).alias("value")) for s, cut in enumerate(cuts))))
     index = written(by_code.select("code", "first_id", "n", pieces.alias("p")).select("p.*", "code", "first_id", "n"), "code-index")
+    enough = entries.limit(k).count()
 
     active = written(queries.select(F.col("code").alias("qcode")).distinct(), "queries")
-    found: DataFrame | None = None
     finished: list[DataFrame] = []
     nearest = Window.partitionBy("qcode").orderBy("distance", "first_id")
-    for r in range(width + 1):
-        shell = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) == r)
-        each = [F.struct(F.lit(s).alias("seg"), _piece(F.col("qcode"), s, width).alias("own")) for s in range(segments)]
-        probes = active.select("qcode", F.explode(F.array(*each)).alias("p")).select("qcode", "p.*", F.explode(shell).alias("mask"))
-        probes = probes.select("qcode", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = probes.join(index, ["seg", "value"])
-        # A code within reach by several pieces is taken at its least piece distance, and there at the first such piece.
-        differ = F.col("qcode").bitwiseXOR(F.col("code"))
-        near = [F.bit_count(_piece(differ, s, width)) for s in range(segments)]
-        anew = F.lit(True)
-        for s in range(segments):
-            anew = anew & F.when(F.col("seg") > s, near[s] > r).when(F.col("seg") < s, near[s] >= r).otherwise(True)
-        hits = hits.where(anew).select("qcode", "code", "first_id", "n", F.bit_count(differ).alias("distance"))
-        hits = hits.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k).drop("rn")
-        if found is not None:
-            hits = hits.unionByName(found.drop("rows").join(active, "qcode", "left_semi"))
-        best = hits.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k)
-        rows_so_far = F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, 0))
-        found = written(best.withColumn("rows", rows_so_far).select("qcode", "code", "first_id", "n", "distance", "rows"), "nearest")
-        covered = segments * (r + 1) - 1
-        done = found.groupBy("qcode").agg(F.min(F.when(F.col("rows") >= k, F.col("distance"))).alias("kth")).where(F.col("kth") <= covered)
-        if r == width:
-            finished.append(found)
-            break
+    differ = F.col("qcode").bitwiseXOR(F.col("code"))
+    for radii in _growth(cuts) if enough else ():
+        covered = sum(radii) + len(radii) - 1
+
+        def values(s: int, cut: tuple[int, int], r: int) -> Column:
+            masks = F.filter(F.sequence(F.lit(0), F.lit((1 << cut[1]) - 1)), lambda m: F.bit_count(m) <= r)
+            return F.transform(masks, lambda m: F.struct(F.lit(s).alias("seg"), F.col("own")[s].bitwiseXOR(m).alias("value")))
+
+        asked = active.select("qcode", F.array(*(_piece(F.col("qcode"), *cut) for cut in cuts)).alias("own"))
+        probes = asked.select("qcode", F.explode(F.concat(*(values(s, cut, r) for s, (cut, r) in enumerate(zip(cuts, radii))))).alias("p")).select("qcode", "p.*")
+        # A code that several segments meet is taken at the first of them.
+        once = F.lit(True)
+        for s, (cut, r) in enumerate(zip(cuts, radii)):
+            once = once & ((F.col("seg") <= s) | (F.bit_count(_piece(differ, *cut)) > r))
+        # The size of what explode makes is not known to the planner, so it must not choose to broadcast it.
+        met = probes.hint("merge").join(index, ["seg", "value"]).where((F.bit_count(differ) <= covered) & once)
+        near = met.select("qcode", "code", "first_id", "n", F.bit_count(differ).alias("distance")).withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k)
+        found = written(near.drop("rn"), "nearest")
+        done = found.groupBy("qcode").agg(F.sum("n").alias("rows")).where(F.col("rows") >= enough).select("qcode")
         finished.append(found.join(done, "qcode", "left_semi"))
         active = written(active.join(done, "qcode", "left_anti"), "queries")
         if active.isEmpty():
             break
-    out = finished[0]
+    asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("qcode"))
+    out = finished[0] if finished else asked.select("qcode", F.col("qcode").alias("code"), F.lit(0).alias("distance")).where(F.lit(False))
     for more in finished[1:]:
         out = out.unionByName(more)
     ids = out.select("qcode", "code", "distance").join(entries.select("code", "id"), "code")
     ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("qcode").orderBy("distance", "id"))).where(F.col("rank") <= k)
-    asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("qcode"))
     return asked.join(ranked, "qcode").select("query_id", "rank", "id", F.col("distance").cast("int").alias("distance"))
 
 
