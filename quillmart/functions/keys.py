@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmart.functions.text import search_key, service_key
+from quillmart.functions.text import let, search_key, service_key
 
 #: Label, priority and kind of known sources.
 SOURCE_PROFILES: tuple[tuple[str, str, int, str], ...] = (
@@ -29,13 +29,18 @@ def _filled(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
+def _named(key, brand: Column, name: Column, prefix: str = "") -> Column:
+    """Brand and name keys joined, null where one of them is empty; each key is computed once."""
+    both = F.struct(key(brand).alias("b"), key(name).alias("n"))
+    return let(both, lambda k: F.when((k["b"] != "") & (k["n"] != ""), F.concat(F.lit(prefix), k["b"], F.lit(":"), k["n"])))
+
+
 def index_record_key(source: Column, product_id: Column, brand: Column, name: Column, url: Column) -> Column:
     """K7: products of the index."""
     primary = _filled(product_id) & (F.substring_index(source, ":", 1) == "oliveyoung")
-    named = (search_key(brand) != "") & (search_key(name) != "")
     return (
         F.when(primary, F.concat(F.lit("oliveyoung:"), product_id))
-        .when(named, F.concat(F.lit("product:"), search_key(brand), F.lit(":"), search_key(name)))
+        .when(_named(search_key, brand, name, "product:").isNotNull(), _named(search_key, brand, name, "product:"))
         .when(_filled(product_id), F.concat(source, F.lit(":"), product_id))
         .otherwise(F.concat(source, F.lit(":"), search_key(url)))
     )
@@ -46,7 +51,7 @@ def collection_record_key(source: Column, product_id: Column, brand: Column, nam
     return (
         F.when(_filled(product_id), F.concat(source, F.lit(":"), product_id))
         .when(service_key(url) != "", F.concat(source, F.lit(":"), service_key(url)))
-        .when((service_key(brand) != "") & (service_key(name) != ""), F.concat(source, F.lit(":product:"), service_key(brand), F.lit(":"), service_key(name)))
+        .when(_named(service_key, brand, name).isNotNull(), F.concat(source, F.lit(":product:"), _named(service_key, brand, name)))
         .otherwise(F.concat(source, F.lit(":"), service_key(name)))
     )
 
@@ -55,7 +60,7 @@ def pipeline_record_key(source: Column, product_id: Column, brand: Column, name:
     """K9: records of one ingestion query."""
     return (
         F.when(_filled(product_id), F.concat(source, F.lit(":"), product_id))
-        .when((search_key(brand) != "") & (search_key(name) != ""), F.concat(search_key(brand), F.lit(":"), search_key(name)))
+        .when(_named(search_key, brand, name).isNotNull(), _named(search_key, brand, name))
         .otherwise(search_key(url))
     )
 

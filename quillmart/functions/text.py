@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +105,11 @@ SERVICE_REPLACEMENTS: tuple[tuple[str, str], ...] = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; inside higher-order functions an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean_text(c: Column) -> Column:
     """White space collapsed and trimmed; an empty text becomes null (F1)."""
     return F.nullif(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
@@ -207,25 +214,35 @@ def tokens(c: Column) -> Column:
 
 def compact_ngrams(key: Column, least: int = 2, most: int = 8) -> Column:
     """The key and all its n-grams of ``least`` to ``most`` characters, by size, then place (F11); ``key`` is a search key."""
-    n = F.length(key)
-    sizes = F.sequence(F.lit(least), F.least(F.lit(most), n))
-    grams = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.substring(key, i, s))))
-    return F.when(n >= least, F.concat(F.array(key), grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(k: Column) -> Column:
+        n = F.length(k)
+        sizes = F.sequence(F.lit(least), F.least(F.lit(most), n))
+        made = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.substring(k, i, s))))
+        return F.when(n >= least, F.concat(F.array(k), made)).otherwise(F.array().cast("array<string>"))
+
+    return let(key, grams)
 
 
 def dedupe_texts(texts: Column) -> Column:
     """Trimmed texts without empty ones and without those whose folded form came before (F15, folded form)."""
-    kept = F.filter(F.transform(texts, F.trim), lambda t: t.isNotNull() & (t != ""))
-    keys = F.transform(kept, casefold)
-    places = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: F.array_position(keys, F.element_at(keys, i)) == i)
-    return F.when(F.size(kept) > 0, F.transform(places, lambda i: F.element_at(kept, i))).otherwise(F.array().cast("array<string>"))
+    kept = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    pairs = F.transform(kept, lambda t: F.struct(casefold(t).alias("key"), t.alias("text")))
+
+    def first_of_each(p: Column) -> Column:
+        # array_distinct keeps first occurrences; equal keys with other spellings are looked up at their first place.
+        return let(p["key"], lambda keys: F.transform(F.array_distinct(keys), lambda k: F.element_at(p["text"], F.array_position(keys, k).cast("int"))))
+
+    return let(pairs, first_of_each)
 
 
 def query_terms(c: Column, most: int = 32) -> Column:
     """Terms that a query is looked up by: tokens, key and 2- to 4-grams of two characters or more, the first 32."""
-    key = search_key(c)
-    every = F.concat(tokens(c), F.array(key), compact_ngrams(key, 2, 4))
-    return F.slice(dedupe_texts(F.filter(every, lambda t: F.length(t) >= 2)), 1, most)
+
+    def terms(key: Column) -> Column:
+        return F.concat(tokens(c), F.array(key), compact_ngrams(key, 2, 4))
+
+    return F.slice(dedupe_texts(F.filter(let(search_key(c), terms), lambda t: F.length(t) >= 2)), 1, most)
 
 
 def sale_price_if_discounted(sale: Column, original: Column) -> Column:
