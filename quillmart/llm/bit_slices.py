@@ -124,13 +124,14 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[i
     return taken
 
 
-def links_in_blocks(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def links_in_blocks(rows: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
     """``(a, b, distance)``: links of rows that share a block and are at most ``radius`` apart.
 
     ``rows`` has ``block long, node long, code array<long>``. In each tile or pair of tiles the links are a spanning
     forest of least distances: no pair within the radius ends up in different components, and a group of copies gives
     about as many links as rows, not all its pairs. Blocks of one row are dropped before their rows are moved.
     """
+    tile = tile or TILE
     counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
