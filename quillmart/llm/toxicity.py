@@ -35,7 +35,7 @@ def grams(text: str) -> np.ndarray:
     codes = np.frombuffer((" " + text.lower().replace("\n", " ") + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     least = SIZES[0]
     if len(codes) < least:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     base, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
     h = codes[: len(codes) - least + 1].copy()
     for i in range(1, least):
@@ -47,7 +47,7 @@ def grams(text: str) -> np.ndarray:
         parts.append(h)
     every = np.concatenate(parts)
     every ^= every >> np.uint64(29)
-    return ((every * mix) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    return ((every * mix) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
 
 
 @dataclass
@@ -82,10 +82,11 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     held = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
     for i, s in enumerate(sets):
         held[i >= p][s] += 1
-    rate_p, rate_u = (held[0] + 0.0) / p, (held[1] + 1.0) / (n - p + 2)
-    gain = np.where((held[0] >= LEAST_TEXTS) & (rate_p > 2 * rate_u), held[0] * np.log(np.maximum(rate_p, 1e-9) / rate_u), 0)
-    slots = np.argsort(-gain, kind="stable")[:FEATURES]
-    model.slots = slots = slots[gain[slots] > 0]
+    often = np.flatnonzero(held[0] >= LEAST_TEXTS)
+    rate_p, rate_u = held[0][often] / p, (held[1][often] + 1.0) / (n - p + 2)
+    gain = np.where(rate_p > 2 * rate_u, held[0][often] * np.log(rate_p / rate_u), 0)
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    model.slots = slots = often[best[gain[best] > 0]]
     if not len(slots):
         return model
     x = np.zeros((n, len(slots)), np.float32)
