@@ -6,16 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quillmart.functions.text import clean_text, parse_bool, parse_krw_price, parse_number, parse_options, parse_whole_number
 
 #: The columns of a source record; only ``source`` is required.
-RECORD_SCHEMA = StructType.fromDDL(
-    "canonical_product_id string, category string, source_brand_name string, source_brand_name_en string, product_name_ko string, product_name_en string, product_name_display_ko string, "
-    "product_name_display_en string, regular_price double, original_price double, sale_price double, discount_rate int, rating double, review_count int, currency string, shade string, image_url string, "
-    "description string, options array<string>, search_keywords array<string>, sold_out boolean, source string, source_url string, source_product_id string, updated_at string"
-)
+_TEXT, _NUMBER, _WHOLE, _TEXTS = StringType(), DoubleType(), IntegerType(), ArrayType(StringType())
+RECORD_SCHEMA = StructType([
+    *(StructField(n, _TEXT) for n in ("canonical_product_id", "category", "source_brand_name", "source_brand_name_en", "product_name_ko", "product_name_en", "product_name_display_ko", "product_name_display_en")),
+    *(StructField(n, _NUMBER) for n in ("regular_price", "original_price", "sale_price")),
+    StructField("discount_rate", _WHOLE),
+    StructField("rating", _NUMBER),
+    StructField("review_count", _WHOLE),
+    *(StructField(n, _TEXT) for n in ("currency", "shade", "image_url", "description")),
+    StructField("options", _TEXTS),
+    StructField("search_keywords", _TEXTS),
+    StructField("sold_out", BooleanType()),
+    StructField("source", _TEXT, False),
+    *(StructField(n, _TEXT) for n in ("source_url", "source_product_id", "updated_at")),
+])
 #: Columns of a product export, codes and marks of blocked responses.
 EXPORT_COLUMNS = ("product_id", "product_name", "brand_name", "category", "price", "discount_price", "rating", "review_count", "image_url", "product_url", "description", "options", "sold_out", "source", "updated_at")
 BLOCKED_STATUS = (403, 429, 503)
