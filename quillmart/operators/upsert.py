@@ -26,20 +26,30 @@ def _first_known(name: str, order: Column) -> Column:
 def upsert_products(observations: DataFrame, order: Sequence[str], time_col: str = "observed_at", key_col: str = "record_key", as_latest: Sequence[str] = AS_LATEST) -> DataFrame:
     """A1: one row for each key. Columns keep their latest known value, those of ``as_latest`` the latest row's.
 
-    ``first_seen_at`` and ``last_seen_at`` are the least and greatest ``time_col``. To go on from a table that has been
-    folded before, union it with the batch (its rows count as observations at their last time).
+    ``first_seen_at`` and ``last_seen_at`` are the least and greatest ``time_col``; where rows have a ``first_seen_at``
+    of their own, it counts. :func:`upsert_onto` goes on from a table that has been folded before.
     """
     rank = F.struct(*order)
-    skip = {key_col, *order}
+    seen = ("first_seen_at", "last_seen_at")
+    skip = {key_col, *order, *seen}
+    first = F.coalesce("first_seen_at", time_col) if "first_seen_at" in observations.columns else F.col(time_col)
     latest = [c for c in observations.columns if c in as_latest and c not in skip]
     known = [c for c in observations.columns if c not in as_latest and c not in skip]
     folded = [_latest_known(c, rank) for c in known]
     if latest:
         folded.append(F.max_by(F.struct(*latest), rank).alias("__latest"))
-    out = observations.groupBy(key_col).agg(*folded, F.min(time_col).alias("first_seen_at"), F.max(time_col).alias("last_seen_at"))
+    out = observations.groupBy(key_col).agg(*folded, F.min(first).alias("first_seen_at"), F.max(time_col).alias("last_seen_at"))
     return out.select(key_col, *known, *(F.col(f"__latest.{c}").alias(c) for c in latest), "first_seen_at", "last_seen_at")
 
 
+def upsert_onto(current: DataFrame | None, batch: DataFrame, order: Sequence[str], time_col: str = "observed_at", key_col: str = "record_key", as_latest: Sequence[str] = AS_LATEST) -> DataFrame:
+    """A1 over a table and a batch that has arrived since: rows of the table come before all rows of the batch."""
+    rows = batch.withColumn("__age", F.lit(1))
+    if current is not None:
+        rows = rows.unionByName(current.withColumns({"__age": F.lit(0), time_col: F.col("last_seen_at")}), allowMissingColumns=True)
+    return upsert_products(rows, ("__age", *order), time_col, key_col, as_latest)
+
+
 def upsert_offers(observations: DataFrame, order: Sequence[str], time_col: str = "observed_at") -> tuple[DataFrame, DataFrame]:
     """A2: ``(offers, conflicts)``. The first canonical id of a (source, source_product_id) holds; rows that would link it
     to another one are conflicts and change nothing.

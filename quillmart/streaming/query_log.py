@@ -5,7 +5,7 @@ Windows, watermarks and lateness are this library's own; each batch counterpart
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,19 +56,16 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "10 minutes",
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "searches")
 
 
-def upsert_stream(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, order: Sequence[str]):
-    """T5: keep a folded table at ``path`` up to date: each batch is folded with the table of the batch before.
+def upsert_stream(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str):
+    """T5: keep a folded table below ``path`` up to date: ``fold(current, batch)`` gives its next version.
 
-    Every version is a folder of its own, named by batch, so a batch that is retried overwrites its own version only.
-    Returns the writer; start it with ``start()``.
+    Every version is a folder of its own, ``v`` and the batch's number, so a batch that is tried again overwrites its own
+    version only, from the same one before it. Returns the writer; ``start()`` it.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch, allowMissingColumns=True)
-        fold(rows).write.mode("overwrite").parquet(f"{path}/v{number}")
+        current = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else None
+        fold(current, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
