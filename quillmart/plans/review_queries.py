@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmart.operators import editor, jobs, matches, merge, results, search, upsert
+from quillmart.operators import editor, jobs, matches, matching, merge, results, search, upsert
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans import log_queries as lq
 from quillmart.plans.views import VIEWS, sql_key, view, with_views
@@ -208,6 +208,43 @@ def f27_editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("line_id", editor.parse_line(F.col("line")).alias("p")).select("line_id", "p.brand_query", "p.product_query", "p.shade_name")
 
 
+@query(
+    f"""
+WITH q AS (SELECT DISTINCT concat_ws(' ', p_name, split_part(p_type, ' ', 1)) AS query_id FROM part WHERE p_size < 4),
+d AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 300 END AS grp, {sql_key("concat_ws(' ', p_name, p_type)", True)} AS t FROM part),
+k AS (SELECT query_id, {sql_key("query_id", True)} AS key, list_distinct(list_transform(regexp_extract_all(query_id, '[0-9A-Za-z가-힣]+'), lambda w: lower(w))) AS toks FROM q),
+h AS (SELECT query_id, p_partkey, grp FROM k JOIN d ON contains(t, key) OR len(list_filter(toks, lambda w: contains(t, w))) = len(toks))
+SELECT query_id, p_partkey AS key FROM h UNION SELECT h.query_id, d.p_partkey FROM h JOIN d ON h.grp = d.grp"""
+)
+def j9_search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    asked = part.where(F.col("p_size") < 4).select(F.concat_ws(" ", "p_name", F.split_part("p_type", F.lit(" "), F.lit(1))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+    catalog = part.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") % 300).alias("grp"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return matching.search_catalog(asked, catalog, "text", "p_partkey", "grp")
+
+
+@query(
+    f"""
+WITH q AS (SELECT DISTINCT p_name AS query, p_brand FROM part WHERE p_size < 6),
+p AS (SELECT q.query, q.p_brand, d.p_partkey AS id, d.p_size AS quality, {sql_key("concat_ws(' ', d.p_brand, d.p_name, d.p_type)", True)} AS h, {sql_key("q.query", True)} AS key,
+   list_transform(regexp_extract_all(q.query, '[0-9A-Za-z가-힣]+'), lambda w: lower(w)) AS toks FROM q JOIN part d ON q.p_brand = d.p_brand WHERE d.p_size < 20),
+s AS (SELECT *, list_filter(toks, lambda w: length(w) >= 2 AND NOT regexp_matches(w, 'gray|grey|brown|pink|peach')) AS dist, len(list_filter(toks, lambda w: length(w) >= 2 AND contains(h, w))) AS met FROM p),
+g AS (SELECT *, len(list_filter(dist, lambda w: contains(h, w))) AS dm, len(dist) AS n FROM s),
+z AS (SELECT query, p_brand, id, quality, CASE WHEN (n >= 2 AND dm >= greatest(2, n - 1)) OR (n = 1 AND dm = 1) OR n = 0 THEN CASE WHEN contains(h, key) THEN 100 ELSE 0 END + 10 * met ELSE 0 END AS match_score, n >= 2 AS strict FROM g),
+t AS (SELECT *, max(match_score) OVER (PARTITION BY query, p_brand) AS top FROM z)
+SELECT query, p_brand, id, CAST(match_score AS INTEGER) AS match_score, CAST(row_number() OVER (PARTITION BY query, p_brand ORDER BY match_score DESC, CASE WHEN top > 0 THEN -quality END, id) AS INTEGER) AS rank
+FROM t WHERE match_score > 0 OR (top <= 0 AND NOT strict)"""
+)
+def r8_match_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a brand asked for among its parts."""
+    part = read(spark, sf_dir, "part")
+    asked = part.where(F.col("p_size") < 6).select(F.col("p_name").alias("product_query"), F.col("p_brand").alias("asked_brand")).distinct()
+    docs = part.where(F.col("p_size") < 20).select(F.col("p_partkey").alias("index"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("quality_score"), F.lit(10).alias("source_priority"))
+    pairs = asked.join(docs, asked["asked_brand"] == docs["brand"]).withColumn("query_id", F.concat_ws("|", "product_query", "asked_brand"))
+    ranked = matching.rank_matches(matching.match_scores(pairs, ["brand", "name", "category"]))
+    return ranked.select(F.col("product_query").alias("query"), F.col("asked_brand").alias("p_brand"), F.col("index").alias("id"), "match_score", "rank")
+
+
 # ---- streams
 
 
