@@ -165,3 +165,45 @@ def latest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key."""
     last = Window.partitionBy(key).orderBy(*(F.col(o).desc() for o in order))
     return df.withColumn("__rn", F.row_number().over(last)).where(F.col("__rn") == 1).drop("__rn")
+
+
+#: Fixed value: the nineteen initial consonants of Hangul syllables, in code order.
+INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+
+
+def hangul_initials(c: Column) -> Column:
+    """A text with each Hangul syllable replaced by its initial consonant; 588 syllables share one."""
+    syllables = F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
+    initial = lambda x: F.substring(F.lit(INITIALS), F.floor((F.ascii(x) - 0xAC00) / 588).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(syllables, lambda x: F.when(x.rlike("[가-힣]"), initial(x)).otherwise(x)), "")
+
+
+def initials_match(df: DataFrame, aliases: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """``(key, official_en, alias)`` of texts with a word that spells a Hangul alias with some syllables as initials.
+
+    Word and alias have the same length, and each character is equal or the alias's initial. Both sides meet in an
+    equi-join on their initials; the characters verify. Of several aliases the longest, then the first in the registry.
+    """
+    words = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit("[0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣ]+"), F.lit(0))
+    spoken = df.select(F.col(key_col).alias("key"), F.explode(F.array_distinct(F.transform(F.concat(words, F.array(brand_key(F.col(text_col)))), lambda w: brand_key(w)))).alias("word"))
+    spoken = spoken.where((F.length("word") >= 2) & F.col("word").rlike(f"[{INITIALS}]")).withColumn("initials", hangul_initials(F.col("word")))
+    named = aliases.where(has_hangul(F.col("alias")) & (F.length("alias_key") >= 2)).select("alias_key", "alias", "official_en", "position", hangul_initials(F.col("alias_key")).alias("initials"))
+    met = spoken.join(named, "initials")
+    letters = lambda n: F.filter(F.split(F.col(n), ""), lambda x: x != "")
+    agree = F.zip_with(letters("word"), letters("alias_key"), lambda a, b: (a == b) | (F.contains(F.lit(INITIALS), a) & (a == hangul_initials(b))))
+    best = F.struct(-F.length("alias_key"), "position", "alias_key")
+    return met.where(F.forall(agree, lambda x: x)).groupBy("key").agg(F.min_by(F.struct("official_en", "alias"), best).alias("r")).select("key", "r.*")
+
+
+def brand_ko(source_brand: Column, matched_alias: Column, noise: Sequence[str] = ()) -> Column:
+    """The Korean brand: the source's, unless it is noise or the alias found in the name spells it better, else that alias.
+
+    An alias spells it better if the keys are equal and the texts are not, or the alias's key holds the source's key.
+    Noise are the given words, and brands with brackets or a leading asterisk.
+    """
+    text, alias = clean_text(source_brand), F.when(has_hangul(matched_alias), matched_alias)
+    odd = F.lower(text).isin(*(n.lower() for n in noise)) if noise else F.lit(False)
+    odd = odd | text.rlike(r"[\[\]【】]") | text.startswith("*")
+    a, b = brand_key(text), brand_key(alias)
+    better = (a != "") & (b != "") & F.when(a == b, text != clean_text(alias)).otherwise(F.contains(b, a))
+    return F.when(has_hangul(text) & ~odd, F.when(F.coalesce(better, F.lit(False)), alias).otherwise(text)).otherwise(alias)

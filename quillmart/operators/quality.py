@@ -81,3 +81,23 @@ def brand_corrections(products: DataFrame) -> DataFrame:
     """Source brands whose key differs from the official brand's, with their number of products, most frequent first."""
     wrong = products.where((brand_key(F.col("source_brand_name")) != brand_key(F.col("official_brand"))) & F.col("official_brand").isNotNull())
     return wrong.groupBy("source_brand_name", "official_brand").agg(F.count(F.lit(1)).alias("products"))
+
+
+def export_report(products: DataFrame, top_brands: int = 40) -> DataFrame:
+    """A15 in long form: ``(measure, name, value)`` of an export's products: totals, sources by family, the most frequent brands.
+
+    ``products`` has ``source, source_brand_name, brand_ko, brand_en, product_name_ko, product_name_en,
+    product_name_display_ko, rating, review_count, options, sold_out, quality_score``.
+    """
+    c = F.col
+    corrected = (F.coalesce("source_brand_name", F.lit("")) != "") & c("brand_ko").isNotNull() & (brand_key(c("source_brand_name")) != brand_key(c("brand_ko")))
+    counts = {
+        "total": F.lit(True), "product_name_en": c("product_name_en").isNotNull(), "rating": c("rating").isNotNull(), "review_count": c("review_count").isNotNull(), "options": F.size("options") > 0,
+        "sold_out": c("sold_out"), "brand_corrected": corrected, "display_cleaned": c("product_name_ko") != c("product_name_display_ko"), "missing_brand_ko": c("brand_ko").isNull(), "missing_brand_en": c("brand_en").isNull(),
+    }
+    totals = products.agg(*(F.count_if(test).cast("double").alias(n) for n, test in counts.items()), F.coalesce(F.round(F.avg("quality_score"), 2), F.lit(0.0)).alias("mean_quality"))
+    names = (*counts, "mean_quality")
+    long = totals.select(F.explode(F.array(*(F.struct(F.lit("total").alias("measure"), F.lit(n).alias("name"), c(n).alias("value")) for n in names))).alias("m")).select("m.*")
+    counted = lambda column, measure: products.where(column.isNotNull()).groupBy(column.alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(measure).alias("measure"), "name", "value")
+    brands = counted(F.nullif(c("source_brand_name"), F.lit("")), "brand").orderBy(F.desc("value"), "name").limit(top_brands)
+    return long.unionByName(counted(F.substring_index("source", ":", 1), "source")).unionByName(brands)

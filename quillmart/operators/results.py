@@ -126,3 +126,10 @@ def expand_terms(queries: DataFrame, entries: DataFrame, limit: int) -> DataFram
     once = rows.where((F.col("tkey") != "") & (F.col("tkey") != F.col("qkey"))).groupBy("query_id", "tkey").agg(F.min_by("term", F.struct("position", "at")).alias("term"), F.min(F.struct("position", "at")).alias("place"))
     order = Window.partitionBy("query_id").orderBy("place", "tkey")
     return once.withColumn("no", F.row_number().over(order)).where(F.col("no") <= limit).select("query_id", "no", "term")
+
+
+def exact_expansions(queries: DataFrame, table: DataFrame, limit: int) -> DataFrame:
+    """``(query_id, no, term)``: the related queries that a table ``(entry, terms)`` lists under a query's very key."""
+    keyed = table.select(search_key(F.col("entry")).alias("key"), "terms").where(F.col("key") != "")
+    met = queries.select("query_id", search_key(F.col("query")).alias("key")).join(keyed, "key").select("query_id", F.posexplode("terms").alias("no", "term"))
+    return met.where(F.col("no") < limit).select("query_id", (F.col("no") + 1).alias("no"), "term")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -132,3 +133,67 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, names array<struct<source:string,name:string>>, images array<struct<source:string,url:string>>, prices array<struct<source:string,price:string,currency:string>>"
     return pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _number(value) -> float | None:
+    try:
+        return float(str(value).replace(",", ""))
+    except ValueError:
+        return None
+
+
+def products_of(html: str | None, base_url: str) -> list[dict]:
+    """The products that a page's JSON-LD lists, each brand and name once; pages without any give none."""
+    page = _Page()
+    page.feed(html or "")
+    out: dict[tuple[str | None, str], dict] = {}
+    for payload in page.linked:
+        try:
+            found = list(_products(json.loads(payload)))
+        except ValueError:
+            continue
+        for product in found:
+            name = next(_texts(product.get("name")), None)
+            if not name:
+                continue
+            brand = product.get("brand")
+            brand = next(_texts(brand.get("name") if isinstance(brand, dict) else brand), None)
+            offers = product.get("offers")
+            offer = next((o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict)), {})
+            rating = product.get("aggregateRating") if isinstance(product.get("aggregateRating"), dict) else {}
+            stock = str(offer.get("availability", "")).casefold()
+            url, image = next(_texts(product.get("url") or offer.get("url")), None), next(_texts(product.get("image")), None)
+            reviews = _number(rating.get("reviewCount", rating.get("ratingCount", "")))
+            out.setdefault((brand, name), {
+                "source_brand_name": brand,
+                "product_name_ko": name,
+                "regular_price": _number(offer.get("price", offer.get("lowPrice", ""))),
+                "currency": next(_texts(offer.get("priceCurrency")), None),
+                "rating": _number(rating.get("ratingValue", "")),
+                "review_count": None if reviews is None else int(reviews),
+                "image_url": image and urljoin(base_url, image),
+                "source_url": url and urljoin(base_url, url),
+                "source_product_id": next(_texts(product.get("sku") or product.get("productID")), None),
+                "category": next(_texts(product.get("category")), None),
+                "sold_out": True if "outofstock" in stock or "soldout" in stock else False if "instock" in stock else None,
+            })
+    return list(out.values())
+
+
+def parse_product_pages(pages: DataFrame, base_url: str, source: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """S12, the JSON-LD path: ``id`` and a record for each product that a page lists, in its order. ``../`` URLs are resolved."""
+    text, number = pa.string(), pa.float64()
+    kinds = {n: text for n in ("source_brand_name", "product_name_ko", "currency", "image_url", "source_url", "source_product_id", "category")}
+    kinds |= {"regular_price": number, "rating": number, "review_count": pa.int32(), "sold_out": pa.bool_()}
+    names = {text: "string", number: "double", pa.int32(): "int", pa.bool_(): "boolean"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, p) for i, h in enumerate(b.column(1).to_pylist()) for p in products_of(h, base_url)]
+            ids = b.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([p[n] for _, p in found], t) for n, t in kinds.items())], ["id", *kinds])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, " + ", ".join(f"{n} {names[t]}" for n, t in kinds.items())
+    rows = pages.select(F.col(id_col).alias("id"), html_col).mapInArrow(run, schema)
+    return rows.withColumnRenamed("id", id_col).withColumn("source", F.lit(source))

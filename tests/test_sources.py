@@ -137,3 +137,33 @@ def test_editor_resolution(spark):
     boxes = spark.createDataFrame([(1, 2, "B", " ", "x", "l"), (1, 1, "A", "n", None, "k")], "box_id int, position int, brand string, name string, shade string, link string")
     assert editor.description_text(boxes).first()["text"] == "A n\nB x"
     assert editor.description_text(boxes, links=True).first()["text"] == "A n k\nB x l"
+
+
+def test_initials_and_korean_brands(spark):
+    aliases = spark.createDataFrame([("클리오", "클리오", "CLIO", 0), ("헤라", "헤라", "HERA", 1), ("clio", "Clio", "CLIO", 2)], "alias_key string, alias string, official_en string, position int")
+    texts = spark.createDataFrame([(1, "새 ㅋ리ㅇ 쿠션"), (2, "ㅎㄹ"), (3, "클리오"), (4, "ㅎㄴ"), (5, None)], "id int, text string")
+    got = {r["key"]: r["official_en"] for r in normalize.initials_match(texts, aliases, "id", "text").collect()}
+    assert got == {1: "CLIO", 2: "HERA"}
+    assert spark.range(1).select(normalize.hangul_initials(F.lit("까힣a"))).first()[0] == "ㄲㅎa"
+    rows = spark.createDataFrame([("클 리오", "클리오"), ("헤라", "클리오"), ("[특가]", "클리오"), ("Latin", "클리오"), ("Latin", "Clio"), ("헤", "헤라"), ("단독", "헤라")], "b string, a string")
+    assert [r[0] for r in rows.select(normalize.brand_ko(F.col("b"), F.col("a"), ["단독"])).collect()] == ["클리오", "헤라", "클리오", "클리오", None, "헤라", "헤라"]
+
+
+def test_export_report_and_exact_expansions(spark):
+    from quillmart.operators import quality, results
+
+    schema = "source string, source_brand_name string, brand_ko string, brand_en string, product_name_ko string, product_name_en string, product_name_display_ko string, rating double, review_count int, options array<string>, sold_out boolean, quality_score int"
+    rows = [("a:x", "B", "비", None, "n", "N", "n", 4.0, None, ["o"], True, 80), ("a", None, None, "C", "[x] m", None, "m", None, 2, None, None, 61)]
+    got = {(r["measure"], r["name"]): r["value"] for r in quality.export_report(spark.createDataFrame(rows, schema)).collect()}
+    assert (got["total", "total"], got["total", "mean_quality"], got["source", "a"], got["brand", "B"], got["total", "brand_corrected"], got["total", "display_cleaned"], got["total", "options"]) == (2, 70.5, 2, 1, 1, 1, 1)
+    asked = spark.createDataFrame([(1, "Lip Tint"), (2, "other")], "query_id int, query string")
+    table = spark.createDataFrame([("립틴트", ["a", "b", "c"])], "entry string, terms array<string>")
+    assert sorted(map(tuple, results.exact_expansions(asked, table, 2).collect())) == [(1, 1, "a"), (1, 2, "b")]
+
+
+def test_products_of_pages(spark):
+    linked = {"@graph": [{"@type": "Product", "name": "Lip", "brand": {"name": "B"}, "image": "../i.jpg", "url": "/p/1", "sku": 7, "offers": [{"price": "1,200", "priceCurrency": "KRW", "availability": "http://schema.org/OutOfStock"}], "aggregateRating": {"ratingValue": "4.5", "reviewCount": 3}}, {"@type": "Product", "name": "Lip", "brand": "B"}, {"@type": "Product"}]}
+    html = f'<script type="application/ld+json">{json.dumps(linked)}</script>'
+    (r,) = pages.parse_product_pages(spark.createDataFrame([(1, html), (2, None), (3, "<p>none</p>")], "page_id long, html string"), "https://shop.example/a/b", "external").collect()
+    assert (r["page_id"], r["source_brand_name"], r["product_name_ko"], r["regular_price"], r["image_url"], r["source_url"], r["source_product_id"]) == (1, "B", "Lip", 1200.0, "https://shop.example/i.jpg", "https://shop.example/p/1", "7")
+    assert (r["rating"], r["review_count"], r["sold_out"], r["source"]) == (4.5, 3, True, "external")
