@@ -331,9 +331,8 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     import tempfile
     import uuid
 
-    name = f"s{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quillmart-")
-    return query_log.drained(stream, name, mode, f"{base}/{name}")
+    return query_log.drained(stream, f"{base}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query(

@@ -281,6 +281,5 @@ def t5_streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = query_log.upsert_stream(stream, lambda current, batch: upsert.upsert_onto(current, cq.keyed(batch), cq.ORDER), f"{where}/table", f"{where}/checkpoint")
     run = writer.start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    table = spark.read.parquet(f"{where}/table/v{last}")
+    table = spark.read.parquet(f"{where}/table/v{run.lastProgress['batchId'] if run.lastProgress else 0}")
     return table.select("record_key", *cq._KNOWN, "source", "sale_price", "first_seen_at", "last_seen_at")

@@ -70,8 +70,16 @@ def upsert_stream(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is and return the rows of its memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Run a stream over what there is and return the rows it gave, from files below ``folder``: in complete mode those of
+    its last batch, else those of all batches. Nothing passes through the driver."""
+    numbers: list[int] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/v{number}")
+        numbers.append(number)
+
+    run = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    kept = numbers[-1:] if mode == "complete" else numbers
+    return stream.sparkSession.read.schema(stream.schema).parquet(*(f"{folder}/out/v{n}" for n in dict.fromkeys(kept))) if kept else stream.sparkSession.createDataFrame([], stream.schema)

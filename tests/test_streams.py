@@ -22,15 +22,15 @@ def log_folder(spark, path, files=4):
 
 def test_gap_stream_equals_its_batch(spark, tmp_path):
     batch, stream = log_folder(spark, tmp_path)
-    got = query_log.drained(query_log.running_gaps(stream), "gaps_test", "complete", f"{tmp_path}/c1")
+    got = query_log.drained(query_log.running_gaps(stream), f"{tmp_path}/c1", "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, analytics.fold_search_gaps(batch, ("ts", "seq")).select(got.columns).collect()))
 
 
 def test_popularity_and_sessions(spark, tmp_path):
     batch, stream = log_folder(spark, tmp_path)
-    got = query_log.drained(query_log.windowed_popularity(stream, "1 hour", "30 minutes"), "popular_test", "complete", f"{tmp_path}/c2")
+    got = query_log.drained(query_log.windowed_popularity(stream, "1 hour", "30 minutes"), f"{tmp_path}/c2", "complete")
     assert sum(r["uses"] for r in got.collect()) == 2 * batch.where(F.trim("query") != "").count() + 2 * batch.where(F.trim("query") == "").count()
-    got = query_log.drained(query_log.sessions(stream, "8 minutes"), "sessions_test", "complete", f"{tmp_path}/c3")
+    got = query_log.drained(query_log.sessions(stream, "8 minutes"), f"{tmp_path}/c3", "complete")
     assert sum(r["searches"] for r in got.collect()) == 200
 
 
@@ -38,7 +38,7 @@ def test_refreshes_are_suppressed_within_their_time(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1, 0, 0, s), 1, q, 1, 1.0, False) for i, (s, q) in enumerate([(0, "Lip tint"), (10, "립틴트"), (20, "cushion"), (30, "립틴트")])]
     spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{tmp_path}/log")
     stream = query_log.log_stream(spark, f"{tmp_path}/log", spark.read.parquet(f"{tmp_path}/log").schema)
-    got = query_log.drained(query_log.refresh_requests(stream), "ttl_test", "append", f"{tmp_path}/c4")
+    got = query_log.drained(query_log.refresh_requests(stream), f"{tmp_path}/c4", "append")
     assert sorted(r["query_key"] for r in got.collect()) == ["립틴트", "쿠션"]
 
 
