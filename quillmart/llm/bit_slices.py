@@ -8,7 +8,7 @@ distances a word. A word is abandoned once each of its 64 rows is beyond the rad
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from quillmart.llm.common import written
 TILE = 256
 #: Rows that a task gathers before it compares them.
 CHUNK = 16_384
+#: Bytes that a task gathers at most beyond one place, where rows carry sets.
+CHUNK_BYTES = 64 << 20
 #: Planes that are added up before words are abandoned.
 PLANES = 16
 
@@ -124,55 +126,136 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[i
     return taken
 
 
-def links_in_blocks(rows: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
-    """``(a, b, distance)``: links of rows that share a block and are at most ``radius`` apart.
+def _in_places(rows: DataFrame, tile: int | None = None) -> DataFrame:
+    """Rows ``(block, node, ...)`` dealt to places, a tile or a pair of tiles of a block each: ``place``, ``low``, ``high`` and ``tile`` are added.
 
-    ``rows`` has ``block long, node long, code array<long>``. In each tile or pair of tiles the links are a spanning
-    forest of least distances: no pair within the radius ends up in different components, and a group of copies gives
-    about as many links as rows, not all its pairs. Blocks of one row are dropped before their rows are moved.
+    Blocks of one row are dropped before their rows are moved.
     """
-    tile = tile or TILE
-    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    tiles = F.ceil(F.col("n") / tile).cast("int")
+    tile, kept = tile or TILE, [c for c in rows.columns if c != "block"]
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    tiles = F.ceil(F.col("n_rows") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = rows.join(counts, "block").select("block", "node", "code", tiles.alias("tiles"), own.alias("own"))
+    dealt = rows.join(counts, "block").select("block", *kept, tiles.alias("tiles"), own.alias("own"))
     # A row of a block of several tiles goes to each pair of tiles that its own is part of.
-    dealt = dealt.select("block", "node", "code", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("block", *kept, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     tile_of = F.when(low == high, -1).otherwise(F.when(F.col("own") == low, 0).otherwise(1)).cast("int")
-    placed = dealt.select(F.xxhash64("block", low, high).alias("place"), "block", low.alias("low"), high.alias("high"), "node", "code", tile_of.alias("tile"))
+    return dealt.select(F.xxhash64("block", low, high).alias("place"), "block", low.alias("low"), high.alias("high"), *kept, tile_of.alias("tile"))
+
+
+def _by_place(placed: DataFrame, found: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``found(rows, number of each row's place)`` of whole places, some of them at a time."""
     ordered = placed.repartition("place").sortWithinPartitions("place", "block", "low", "high")
 
     def compare(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
-        """Compare all whole blocks of what is held; the rest waits for more rows."""
-        t = pa.Table.from_batches(held).combine_chunks()
+        """Compare all whole places of what is held; the rest waits for more rows."""
+        t = pa.Table.from_batches(held)
         key = np.stack([t.column(c).to_numpy() for c in ("place", "block", "low", "high")])
         fresh = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
         end = t.num_rows if last else int(np.flatnonzero(fresh)[-1])
         rest = t.slice(end).to_batches()
-        if not end:
-            return None, rest
-        t = t.slice(0, end).combine_chunks()
-        codes = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(end, -1)
-        node = t.column("node").to_numpy()
-        i, j, d = close_pairs(codes, np.cumsum(fresh[:end]), t.column("tile").to_numpy(), radius)
-        if not len(i):
-            return None, rest
-        k = forest(end, i, j, d)
-        return pa.RecordBatch.from_arrays([pa.array(node[i[k]]), pa.array(node[j[k]]), pa.array(d[k].astype(np.int32))], ["a", "b", "distance"]), rest
+        return (found(t.slice(0, end).combine_chunks(), np.cumsum(fresh[:end])) if end else None), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             if b.num_rows:
                 held.append(b)
-            if sum(x.num_rows for x in held) >= CHUNK:
-                found, held = compare(held, False)
-                if found is not None:
-                    yield found
+            if sum(x.num_rows for x in held) >= CHUNK or sum(x.nbytes for x in held) >= CHUNK_BYTES:
+                out, held = compare(held, False)
+                if out is not None:
+                    yield out
         if held:
-            found, _ = compare(held, True)
-            if found is not None:
-                yield found
+            out, _ = compare(held, True)
+            if out is not None:
+                yield out
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _codes(t: pa.Table) -> np.ndarray:
+    return t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+
+
+def links_in_blocks(rows: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
+    """``(a, b, distance)``: links of rows that share a block and are at most ``radius`` apart.
+
+    ``rows`` has ``block long, node long, code array<long>``. In each tile or pair of tiles the links are a spanning
+    forest of least distances: no pair within the radius ends up in different components, and a group of copies gives
+    about as many links as rows, not all its pairs. Where a link still has to pass another test, :func:`open_rows` and
+    :func:`proven_links` find what the forest left out.
+    """
+
+    def found(t: pa.Table, place: np.ndarray) -> pa.RecordBatch | None:
+        node = t.column("node").to_numpy()
+        i, j, d = close_pairs(_codes(t), place, t.column("tile").to_numpy(), radius)
+        if not len(i):
+            return None
+        k = forest(len(node), i, j, d)
+        return pa.RecordBatch.from_arrays([pa.array(node[i[k]]), pa.array(node[j[k]]), pa.array(d[k].astype(np.int32))], ["a", "b", "distance"])
+
+    placed = _in_places(rows.select("block", "node", "code"), tile)
+    return written(_by_place(placed, found, "a long, b long, distance int"), "block-links")
+
+
+def open_rows(rows: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
+    """``(place, block, low, high, node, root, tile)`` of rows with a partner of another root in their place.
+
+    ``rows`` has ``block, node, root`` as longs and ``code array<long>``. Partners are at most ``radius`` apart.
+    """
+
+    def found(t: pa.Table, place: np.ndarray) -> pa.RecordBatch | None:
+        root, tiles = (t.column(c).to_numpy() for c in ("root", "tile"))
+        i, j, _ = close_pairs(_codes(t), place, tiles, radius)
+        meets = np.zeros(len(root), bool)
+        apart = root[i] != root[j]
+        meets[i[apart]] = meets[j[apart]] = True
+        columns = ["place", "block", "low", "high", "node", "root", "tile"]
+        return t.select(columns).filter(pa.array(meets)).combine_chunks().to_batches()[0] if meets.any() else None
+
+    return _by_place(_in_places(rows, tile), found, "place long, block long, low int, high int, node long, root long, tile int")
+
+
+def proven_pairs(sets: list[np.ndarray], root: np.ndarray, tile: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of one place with a Jaccard similarity of at least ``similarity`` that join all roots such pairs join.
+
+    Every pair is tested whose rows aren't joined yet; ``sets`` have no repeats.
+    """
+    size = np.array([len(x) for x in sets])
+    _, name = np.unique(root, return_inverse=True)
+    values, element = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    element = [element[a:z] for a, z in zip(starts, starts[1:])]
+    mark = np.zeros(len(values), bool)
+    out: list[tuple[int, int]] = []
+    for i in range(len(sets) - 1):
+        mark[element[i]] = True
+        less, more = np.minimum(size[i], size), np.maximum(size[i], size)
+        possible = (name != name[i]) & (less >= similarity * more) & ((tile < 0) | (tile != tile[i]))
+        for j in (np.flatnonzero(possible[i + 1 :]) + i + 1).tolist():
+            if name[j] == name[i]:
+                continue
+            common = np.count_nonzero(mark[element[j]])
+            if common >= similarity * (size[i] + size[j] - common):
+                name[name == name[j]] = name[i]
+                out.append((i, j))
+        mark[element[i]] = False
+    return out
+
+
+def proven_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of :func:`proven_pairs` in each place of :func:`open_rows` with ``elements binary``, the 64-bit elements of each row's set."""
+
+    def found(t: pa.Table, place: np.ndarray) -> pa.RecordBatch | None:
+        node, root, tile = (t.column(c).to_numpy() for c in ("node", "root", "tile"))
+        elements = t.column("elements")
+        a, b = [], []
+        cuts = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(place)]
+        for x, z in zip(cuts, cuts[1:]):
+            sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in elements.slice(x, z - x)]
+            for i, j in proven_pairs(sets, root[x:z], tile[x:z], similarity):
+                a.append(node[x + i])
+                b.append(node[x + j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
-    return written(ordered.mapInArrow(run, "a long, b long, distance int"), "block-links")
+    return _by_place(rows, found, "a long, b long")

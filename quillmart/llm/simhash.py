@@ -3,8 +3,9 @@
 Two forms. :func:`near_duplicates` links documents whose 64-bit fingerprints differ in at most ``radius`` bits, exactly:
 the bits are cut into pieces, two fingerprints within the radius agree in some pieces, and every choice of that many
 pieces makes blocks. :func:`similar_documents` links documents whose sets of shingles have a Jaccard similarity of at
-least ``similarity``: blocks come from least shingle hashes, wide fingerprints choose the links within blocks, and the
-shingles of both texts verify each link.
+least ``similarity``: blocks come from least shingle hashes, wide fingerprints choose links within blocks, and the
+shingles of both texts verify each link. A chosen link that fails may have crowded out one that holds, so in a second
+step every pair within the radius that verified links leave apart is tested in its block by its shingles.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.bit_slices import links_in_blocks
+from quillmart.llm.bit_slices import links_in_blocks, open_rows, proven_links
 from quillmart.llm.common import written
 from quillmart.llm.components import components
 
@@ -137,6 +138,25 @@ def wide_radius(similarity: float) -> int:
     return math.floor(bits * differ + 4 * math.sqrt(bits * differ * (1 - differ)))
 
 
+def _links_left_out(slim: DataFrame, first: DataFrame, blocks: DataFrame, proven: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of similar texts that share a block and that the components ``proven (node, root)`` leave apart."""
+    rooted = blocks.select("block", "node").join(proven, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root"))
+    # A block whose rows are joined already has nothing left to find.
+    apart = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high")).select("block")
+    sized = first.select(F.col("r.id").alias("node"), F.col("r.code").alias("code"))
+    rows = rooted.join(apart, "block", "left_semi").join(sized, "node").select("block", "node", "root", "code")
+    left = written(open_rows(rows, wide_radius(similarity)), "open-rows")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            elements = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(elements, pa.binary())], ["node", "elements"])
+
+    texts = slim.join(left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    elements = written(texts.select("id", "text").mapInArrow(sets, "node long, elements binary"), "open-sets")
+    return proven_links(left.join(elements, "node"), similarity)
+
+
 def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, group_id)`` of every different id: the least id of its group of documents with similar shingles.
 
@@ -159,7 +179,8 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, similarity: flo
     sketched = written(slim.mapInArrow(run, "id long, digest binary, code array<long>, bands array<long>"), "sketches")
     first = sketched.groupBy("digest").agg(F.min(F.struct("id", "code", "bands")).alias("r"))
     blocks = first.select("r.id", "r.code", F.posexplode("r.bands").alias("band", "value"))
-    chosen = links_in_blocks(blocks.select(F.xxhash64("band", "value").alias("block"), F.col("id").alias("node"), "code"), wide_radius(similarity))
+    blocks = blocks.select(F.xxhash64("band", "value").alias("block"), F.col("id").alias("node"), "code")
+    chosen = links_in_blocks(blocks, wide_radius(similarity))
     # Texts of linked documents only: a link's shingles are compared where its second text meets it.
     links = chosen.select("a", "b").where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(links, "chosen-links")
@@ -177,7 +198,8 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, similarity: flo
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    proven = paired.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    proven = components(paired.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+    proven = written(proven.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_links_left_out(slim, first, blocks, proven, words, similarity)), "proven-links")
     same = first.select("digest", F.col("r.id").alias("node"))
     copies = sketched.select("id", "digest").join(same, "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).where(F.col("a") != F.col("b"))
     roots = components(proven.unionByName(copies))

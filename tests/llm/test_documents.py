@@ -225,3 +225,20 @@ def test_similar_documents_are_those_above_the_similarity(spark, tile, monkeypat
     kept = simhash.one_of_each_group(frame(spark, [*rows, (None, "no id", "", "")]))
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(got.values()))
     assert kept.columns == frame(spark, rows).columns
+
+
+def test_links_that_fail_do_not_crowd_out_those_that_hold(spark):
+    """Independently edited copies of one text: each is similar to the text and to no other copy."""
+    rows, rng = [], random.Random(3)
+    for group, text in enumerate(sentences(3, 11, 400)):
+        rows.append((1000 * group, text, "en", "s"))
+        for i in range(1, 151):
+            copy = text.split()
+            for place in rng.sample(range(5, 395, 6), 7):
+                copy[place] = f"edit{rng.random()}"
+            rows.append((1000 * group + i, " ".join(copy), "en", "s"))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t, *_ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) > 420 and sum(a % 1000 > 0 for a, _ in links) < 40
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert got == least_of(links, sets)
