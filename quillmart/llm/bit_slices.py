@@ -198,18 +198,26 @@ def links_in_blocks(rows: DataFrame, radius: int, tile: int | None = None) -> Da
     return written(_by_place(placed, found, "a long, b long, distance int"), "block-links")
 
 
-def open_rows(rows: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
+def open_rows(rows: DataFrame, radius: int, few: int, tile: int | None = None) -> DataFrame:
     """``(place, block, low, high, node, root, tile)`` of rows with a partner of another root in their place.
 
-    ``rows`` has ``block, node, root`` as longs and ``code array<long>``. Partners are at most ``radius`` apart.
+    ``rows`` has ``block, node, root, size`` as longs and ``code array<long>``. Partners are at most ``radius`` apart or
+    both of at most ``few`` elements; sets that small have fingerprints too uncertain for a radius.
     """
 
     def found(t: pa.Table, place: np.ndarray) -> pa.RecordBatch | None:
-        root, tiles = (t.column(c).to_numpy() for c in ("root", "tile"))
+        root, tiles, size = (t.column(c).to_numpy() for c in ("root", "tile", "size"))
         i, j, _ = close_pairs(_codes(t), place, tiles, radius)
         meets = np.zeros(len(root), bool)
         apart = root[i] != root[j]
         meets[i[apart]] = meets[j[apart]] = True
+        small = np.flatnonzero(size <= few)
+        if len(small):
+            _, at = np.unique(place[small], return_inverse=True)
+            least, most = np.full(at.max() + 1, np.iinfo(np.int64).max), np.full(at.max() + 1, np.iinfo(np.int64).min)
+            np.minimum.at(least, at, root[small])
+            np.maximum.at(most, at, root[small])
+            meets[small[least[at] != most[at]]] = True
         columns = ["place", "block", "low", "high", "node", "root", "tile"]
         return t.select(columns).filter(pa.array(meets)).combine_chunks().to_batches()[0] if meets.any() else None
 

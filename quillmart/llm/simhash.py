@@ -34,6 +34,9 @@ STAGE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 12, 2
 #: 64-bit words of a wide fingerprint; its radius is four standard deviations over the distance expected at SIMILARITY.
 WIDE = 4
+#: Texts of up to so many shingles are compared by their shingles alone: the distance expected holds for large sets
+#: (4 of 5 shingles differ in 48 bits, not 39), and at odd sizes up to some dozens it is short by a bit or two.
+FEW = 64
 #: Shingles whose bits are unpacked at a time.
 CHUNK = 1 << 16
 
@@ -115,8 +118,8 @@ def _mixed(h: np.ndarray, rounds: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
-    """Digest of a text's set of shingles, its wide fingerprint, and the hashes of its bands."""
+def sketch(text: str, words: int) -> tuple[bytes, int, list[int], list[int]]:
+    """Digest of a text's set of shingles, its size, its wide fingerprint, and the hashes of its bands."""
     h = np.unique(shingle_hashes(text, words))
     digest = xxhash.xxh3_128_digest(h.tobytes())
     fp = np.zeros(WIDE * 64, np.int64)
@@ -128,7 +131,7 @@ def sketch(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
         least = np.minimum(least, _mixed(part ^ _MIX[3], BANDS * BAND_ROWS).min(axis=0))
     bands = [xxhash.xxh64_intdigest(least[i : i + BAND_ROWS].tobytes(), i) for i in range(0, len(least), BAND_ROWS)]
     code = np.packbits(fp * 2 > len(h), bitorder="little").view("<u8")
-    return digest, code.view(np.int64).tolist(), np.array(bands, np.uint64).view(np.int64).tolist()
+    return digest, len(h), code.view(np.int64).tolist(), np.array(bands, np.uint64).view(np.int64).tolist()
 
 
 def wide_radius(similarity: float) -> int:
@@ -143,9 +146,10 @@ def _links_left_out(slim: DataFrame, first: DataFrame, blocks: DataFrame, proven
     rooted = blocks.select("block", "node").join(proven, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root"))
     # A block whose rows are joined already has nothing left to find.
     apart = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high")).select("block")
-    sized = first.select(F.col("r.id").alias("node"), F.col("r.code").alias("code"))
-    rows = rooted.join(apart, "block", "left_semi").join(sized, "node").select("block", "node", "root", "code")
-    left = written(open_rows(rows, wide_radius(similarity)), "open-rows")
+    sized = first.select(F.col("r.id").alias("node"), F.col("r.size").alias("size"), F.col("r.code").alias("code"))
+    rows = rooted.join(apart, "block", "left_semi").join(sized, "node").select("block", "node", "root", "size", "code")
+    # A pair of which one has at most FEW shingles: the other may have more by the similarity.
+    left = written(open_rows(rows, wide_radius(similarity), math.floor(FEW / similarity)), "open-rows")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,12 +176,13 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, similarity: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [sketch(t, words) for t in b.column(1).to_pylist()]
-            digest, code, bands = (list(x) for x in zip(*made)) if made else ([], [], [])
+            digest, size, code, bands = (list(x) for x in zip(*made)) if made else ([], [], [], [])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(code, longs), pa.array(bands, longs)], ["id", "digest", "code", "bands"])
+            columns = [b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(code, longs), pa.array(bands, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "code", "bands"])
 
-    sketched = written(slim.mapInArrow(run, "id long, digest binary, code array<long>, bands array<long>"), "sketches")
-    first = sketched.groupBy("digest").agg(F.min(F.struct("id", "code", "bands")).alias("r"))
+    sketched = written(slim.mapInArrow(run, "id long, digest binary, size long, code array<long>, bands array<long>"), "sketches")
+    first = sketched.groupBy("digest").agg(F.min(F.struct("id", "size", "code", "bands")).alias("r"))
     blocks = first.select("r.id", "r.code", F.posexplode("r.bands").alias("band", "value"))
     blocks = blocks.select(F.xxhash64("band", "value").alias("block"), F.col("id").alias("node"), "code")
     chosen = links_in_blocks(blocks, wide_radius(similarity))

@@ -242,3 +242,10 @@ def test_links_that_fail_do_not_crowd_out_those_that_hold(spark):
     assert len(links) > 420 and sum(a % 1000 > 0 for a, _ in links) < 40
     got = {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
     assert got == least_of(links, sets)
+
+
+def test_short_texts_are_compared_by_their_shingles(spark):
+    """A text of nine words and its first eight: 4 of 5 shingles, whose fingerprints often lie beyond the radius."""
+    rows = [r for k, text in enumerate(sentences(400, 12, 9)) for r in ((2 * k, text, "en", "s"), (2 * k + 1, text.rsplit(" ", 1)[0], "en", "s"))]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i, *_ in rows}
