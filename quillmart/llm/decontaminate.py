@@ -3,7 +3,8 @@
 A test item of ``n`` characters may be told from a passage by ``k = floor(error_rate * n)`` edits. Cut into ``k + 1``
 pieces, at least one piece of it stands in such a passage unchanged. One automaton finds all pieces in a text; each hit
 says where its item would begin, and Myers' bit-parallel distance verifies the surroundings. Texts and items are
-compared in lower case with white space collapsed.
+compared in lower case with white space collapsed. Items of fewer than ``MIN_CHARS`` characters are found only
+unchanged, and not inside of words.
 
 Items come in blocks of ``BLOCK_CHARS``; a block is what tasks are sent, so its size is bounded however large the
 benchmark is, and each block takes one pass over the texts.
@@ -23,7 +24,7 @@ from quillmart.llm.common import written
 
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.07
-#: Shorter items are no evidence of a leak and are left out.
+#: Shorter items have no budget: they count where they stand unchanged, on word borders.
 MIN_CHARS = 40
 #: Characters of the items in a block.
 BLOCK_CHARS = 1_000_000
@@ -33,6 +34,12 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def on_word_borders(text: str, begin: int, end: int) -> bool:
+    """Whether the passage neither begins nor ends inside of a word."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(begin) and not inside(end)
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """``errors + 1`` pieces of about equal length, with their offsets; they cover the item."""
     n, k = len(item), errors + 1
@@ -77,7 +84,7 @@ class Block:
 
     def __init__(self, items: tuple[tuple[int, str], ...], error_rate: float):
         self.items = items
-        self.errors = [int(error_rate * len(t)) for _, t in items]
+        self.errors = [int(error_rate * len(t)) if len(t) >= MIN_CHARS else 0 for _, t in items]
         self.verify = [Myers(t) for _, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for i, (_, t) in enumerate(items):
@@ -99,6 +106,12 @@ class Block:
         for last, places in self.automaton.iter(text):
             for i, upto in places:
                 begin, k = last + 1 - upto, self.errors[i]
+                if self.verify[i].n < MIN_CHARS:  # the one piece is the item
+                    if i not in found and on_word_borders(text, begin, last + 1):
+                        found[i] = (0, last + 1)
+                        if first_only:
+                            return [(self.items[i][0], *found[i])]
+                    continue
                 # Places within the budget of one another are verified together, from the first of them.
                 slot = begin // (k + 1)
                 if (i, slot) in tried or (i in found and found[i][0] == 0):
@@ -119,13 +132,13 @@ def _block(items: tuple[tuple[int, str], ...], error_rate: float) -> Block:
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:
-    """Items by blocks, in id order. Null ids or texts and items of fewer than MIN_CHARS normal characters are left out."""
+    """Items by blocks, in id order. Null ids or texts and items without normal characters are left out."""
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     held: list[tuple[int, str]] = []
     size = 0
     for row in rows.orderBy("id", "text").toLocalIterator():
         text = normal(row["text"])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         held.append((row["id"], text))
         size += len(text)

@@ -105,6 +105,15 @@ def test_leaks_are_those_within_the_budget(spark, block_chars):
     assert decontaminate.clean(docs.limit(0), bench).collect() == []
 
 
+def test_short_items_are_found_unchanged_on_word_borders(spark):
+    bench = spark.createDataFrame([(1, "Capital of  Peru?"), (2, "x = 1"), (3, " "), (4, "long item " * 5)], "item_id long, text string")
+    texts = ["Q: capital\nof peru? Lima", "the capital of perus", "max = 1; x = 1", "max = 12", "the capital of Per?", "x = 10", "x = 1"]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = decontaminate.leaks(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["end"]) for r in got) == [(0, 1, 0, 19), (2, 2, 0, 14), (6, 2, 0, 5)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 5]
+
+
 # ---- secrets
 
 
