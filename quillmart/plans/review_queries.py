@@ -150,8 +150,8 @@ SELECT query, id, round(CAST(base AS DOUBLE) + 40 * 0.05 - idx * 0.001, 2) AS sc
 def r7_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
-    asked = part.where(F.col("p_size") < 6).select(F.col("p_name").alias("query"), F.col("p_brand").alias("term")).distinct()
-    docs = part.where(F.col("p_size") < 20).select(
+    asked = part.select(F.col("p_name").alias("query"), F.col("p_brand").alias("term")).distinct()
+    docs = part.select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), none.alias("brand_en"), F.col("p_name").alias("name"), none.alias("name_en"), F.col("p_type").alias("category"), none.alias("description"),
         empty.alias("tags"), empty.alias("ingredients"), empty.alias("review_keywords"), (F.col("p_size") / 4.0).alias("rating"), F.col("p_size").alias("review_count"), F.lit(None).cast("int").alias("sales_count"),
         F.lit(40).alias("quality_score"), (F.col("p_partkey") % 4 * 2).cast("int").alias("index"),
@@ -204,7 +204,7 @@ SELECT line_id, w[1] AS brand_query, CASE WHEN len(w) > 2 THEN array_to_string(w
 )
 def f27_editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F27 on names that end with a shade."""
-    lines = read(spark, sf_dir, "part").where(F.col("p_size") < 3).select(F.col("p_partkey").alias("line_id"), F.concat("p_name", F.lit(" zz"), (F.col("p_partkey") % 10).cast("string")).alias("line"))
+    lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_id"), F.concat("p_name", F.lit(" zz"), (F.col("p_partkey") % 10).cast("string")).alias("line"))
     return lines.select("line_id", editor.parse_line(F.col("line")).alias("p")).select("line_id", "p.brand_query", "p.product_query", "p.shade_name")
 
 
@@ -218,7 +218,7 @@ SELECT query_id, p_partkey AS key FROM h UNION SELECT h.query_id, d.p_partkey FR
 )
 def j9_search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    asked = part.where(F.col("p_size") < 4).select(F.concat_ws(" ", "p_name", F.split_part("p_type", F.lit(" "), F.lit(1))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+    asked = part.select(F.concat_ws(" ", "p_name", F.split_part("p_type", F.lit(" "), F.lit(1))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
     catalog = part.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") % 300).alias("grp"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return matching.search_catalog(asked, catalog, "text", "p_partkey", "grp")
 
@@ -238,8 +238,8 @@ FROM t WHERE match_score > 0 OR (top <= 0 AND NOT strict)"""
 def r8_match_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a brand asked for among its parts."""
     part = read(spark, sf_dir, "part")
-    asked = part.where(F.col("p_size") < 6).select(F.col("p_name").alias("product_query"), F.col("p_brand").alias("asked_brand")).distinct()
-    docs = part.where(F.col("p_size") < 20).select(F.col("p_partkey").alias("index"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("quality_score"), F.lit(10).alias("source_priority"))
+    asked = part.select(F.col("p_name").alias("product_query"), F.col("p_brand").alias("asked_brand")).distinct()
+    docs = part.select(F.col("p_partkey").alias("index"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("quality_score"), F.lit(10).alias("source_priority"))
     pairs = asked.join(docs, asked["asked_brand"] == docs["brand"]).withColumn("query_id", F.concat_ws("|", "product_query", "asked_brand"))
     ranked = matching.rank_matches(matching.match_scores(pairs, ["brand", "name", "category"]))
     return ranked.select(F.col("product_query").alias("query"), F.col("asked_brand").alias("p_brand"), F.col("index").alias("id"), "match_score", "rank")

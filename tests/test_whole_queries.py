@@ -19,7 +19,7 @@ def database():
 
 
 def rows(cursor):
-    return sorted(tuple(round(float(x), 2) if isinstance(x, float) or type(x).__name__ == "Decimal" else x for x in r) for r in cursor)
+    return sorted((tuple(round(float(x), 2) if isinstance(x, float) or type(x).__name__ == "Decimal" else x for x in r) for r in cursor), key=repr)
 
 
 def without(name, *cuts):
@@ -34,3 +34,18 @@ def test_offers_of_every_product_are_attached(spark):
     got = rows(QUERIES["j12_attach_offers"](spark, SF).collect())
     assert got == without("j12_attach_offers", " WHERE part_no % 20 = 0")
     assert any(r[0] % 20 for r in got)
+
+
+@pytest.mark.parametrize(
+    "name, cuts",
+    [
+        ("r7_document_scores", (" WHERE p_size < 6", " WHERE p_size < 20")),
+        ("r8_match_ranks", (" WHERE p_size < 6", " WHERE d.p_size < 20")),
+        ("j9_search_catalog", (" WHERE p_size < 4",)),
+        ("f27_editor_lines", (" WHERE p_size < 3",)),
+    ],
+)
+def test_all_parts_are_asked_and_answered(spark, name, cuts):
+    got = sorted(map(repr, rows(QUERIES[name](spark, SF).collect())))
+    assert got == sorted(map(repr, without(name, *cuts)))
+    assert len(got) > len(without(name))
