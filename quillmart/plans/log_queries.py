@@ -11,6 +11,7 @@ from quillmart.functions import text
 from quillmart.operators import analytics, jobs, matches, merge, quality, upsert
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans.views import sql_key, view, with_views
+from quillmart.shared import fresh_path
 from quillmart.streaming import query_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,11 +329,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quillmart-")
-    return query_log.drained(stream, f"{base}/stream-{uuid.uuid4().hex}", mode)
+    return query_log.drained(stream, fresh_path(spark, "stream"), mode)
 
 
 @query(

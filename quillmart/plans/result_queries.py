@@ -11,6 +11,7 @@ from quillmart.functions import keys, text
 from quillmart.operators import analytics, merge, normalize, quality, results, search
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans.views import sql_key, view, with_views
+from quillmart.shared import fresh_path
 from quillmart.sources import pages, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,10 +336,6 @@ def f28_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, count(*) AS n, min(observed_at) AS first_at, max(observed_at) AS last_at FROM listing_obs GROUP BY source", "listing_obs")
 def s17_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of the observations is written and read again."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quillmart-")
-    path = f"{base}/snapshot-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "snapshot")
     tables.snapshot(cq.observations(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"))

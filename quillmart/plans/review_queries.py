@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +11,7 @@ from quillmart.operators import editor, jobs, matches, matching, merge, results,
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans import log_queries as lq
 from quillmart.plans.views import VIEWS, sql_key, view, with_views
+from quillmart.shared import fresh_path
 from quillmart.streaming import query_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,8 +275,7 @@ def t5_streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if lq._is_folder(spark, path) else f"{path}*")
     sql = VIEWS["listing_obs"].replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}")
     stream = spark.sql(sql, lineitem=flow, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-quillmart-")
-    where = f"{base}/upsert-{uuid.uuid4().hex}"
+    where = fresh_path(spark, "upsert")
     writer = query_log.upsert_stream(stream, lambda current, batch: upsert.upsert_onto(current, cq.keyed(batch), cq.ORDER), f"{where}/table", f"{where}/checkpoint")
     run = writer.start()
     run.awaitTermination()
