@@ -27,8 +27,8 @@ from quillmart.llm.common import TwoAgeCache
 #: Fixed value: the published pattern that cuts text into words before byte-level merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words in the young age of a worker's memo.
-MEMO_WORDS = 500_000
+#: Bytes of the young age of a worker's memo of words.
+MEMO_BYTES = 48 << 20
 
 
 def printable_bytes() -> dict[int, str]:
@@ -48,7 +48,7 @@ class ByteBPE:
     Strings of added tokens (``<|endoftext|>``) inside a text become their own id. ``decode`` keeps them.
     """
 
-    def __init__(self, path: str, memo: int = MEMO_WORDS):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, shown = spec["model"]["vocab"], printable_bytes()
@@ -62,8 +62,8 @@ class ByteBPE:
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(WORDS)
         self.decimal = {i: str(i) for i in self.piece}
-        self.by_word = TwoAgeCache(self._word, memo // 4)
-        self.by_piece = TwoAgeCache(self._piece, memo)
+        self.by_word = TwoAgeCache(self._word, memo // 4, 8)
+        self.by_piece = TwoAgeCache(self._piece, memo, 8)
 
     def _word(self, word: str) -> tuple[int, ...]:
         ids = [self.byte_id[b] for b in word.encode()]

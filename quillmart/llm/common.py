@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch. Texts may be megabytes long, so a batch of ten thousand would not fit a worker.
-BATCH_ROWS = 500
+from quillmart.shared import fresh_path
 
+#: Rows and bytes of an Arrow batch, whichever is reached first. Texts may be megabytes long, so ten thousand of them
+#: would not fit a worker. Every operator sets the same values, so no bound hangs on the order of calls.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Set the rows of an Arrow batch, for the plans that are run from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the plans that are run from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,22 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-quillmart-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/quillmart-{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -48,22 +34,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 class TwoAgeCache(dict):
-    """A bounded memo for a worker: ``make(key)`` fills it; when ``limit`` keys are in, they become the old age.
+    """A memo for a worker, bounded by bytes: ``make(key)`` fills it; when the young age is full, it becomes the old one.
 
-    Keys in use move back to the young age, keys not asked for since go when the next age begins, so at most
-    twice ``limit`` entries are held and words of frequent use stay.
+    Keys in use move back to the young age, keys not asked for since go when the next age begins, so at most twice
+    ``limit`` bytes are held and words of frequent use stay. Keys of over ``LONGEST`` characters are made each time.
+    ``item_bytes`` says what a value of ``n`` elements takes at most; ``ENTRY`` covers both objects' heads and the table.
     """
 
-    def __init__(self, make: Callable[[Hashable], object], limit: int):
+    LONGEST, ENTRY = 64, 200
+
+    def __init__(self, make: Callable[[str], object], limit: int, item_bytes: int = 1):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.item_bytes, self.old, self.used = make, limit, item_bytes, {}, 0
 
-    def __missing__(self, key):
+    def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+            if len(key) > self.LONGEST:
+                return value
+        if self.used >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.used = 0
         self[key] = value
+        self.used += self.ENTRY + len(key) + self.item_bytes * len(value)
         return value

@@ -10,7 +10,9 @@ chunks, the chunks, the bitmap (bit 0 first), and the directory as u32.
 
 A store is a folder of Parquet rows, one for a segment of whole documents in ascending id order: ``part`` and ``seg``
 (their order), ``part_offset`` (ids of the part before the segment), ``doc_ids``, ``n_tokens``, and ``codes``, the
-segment's bytes. Spark's committer writes them, so a retried task can't leave half a file.
+segment's bytes. The files are not compressed and every row is a page of its own, so Spark's column index leads to a
+segment's page, and :func:`token_at` reads that page alone and takes single tokens out of it. Spark's committer writes
+them, so a retried task can't leave half a file.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,15 @@ from quillmart.llm.bpe import printable_bytes
 from quillmart.llm.common import TwoAgeCache, arrow_batches
 
 #: Ids after which a segment is closed; a document is never divided, so a longer one makes a longer segment.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 16
+#: Segments that :func:`token_at` names in a filter, which Spark pushes down to the pages; more are joined.
+NAMED_SEGMENTS = 200
+#: Options of Parquet's writer for uncompressed pages of one row.
+PAGES = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
 #: Positions between two entries of a rank directory.
 BLOCK = 512
-#: Distinct space-delimited words in the young age of a worker's memo.
-MEMO_WORDS = 600_000
+#: Bytes of the young age of a worker's memo of space-delimited words.
+MEMO_BYTES = 48 << 20
 #: Fixed value: the pattern by which the word vocabulary's file cuts normalised text.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -110,7 +117,7 @@ class WordIds:
     so the ids of a text are those of its words. Texts that hold the string of an added token go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = MEMO_WORDS):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -122,7 +129,7 @@ class WordIds:
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(WORDS).findall
         self.by_word = TwoAgeCache(self._word, memo)
-        self.by_unit = TwoAgeCache(self._unit, memo // 4)
+        self.by_unit = TwoAgeCache(self._unit, memo // 6)
 
     def _unit(self, unit: str) -> bytes:
         words = (unit,) if unit.isalpha() else self.cut(unit)
@@ -198,32 +205,67 @@ def write_store(
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = slim.repartitionByRange("id").sortWithinPartitions("id", "text")
     schema = "part int, seg int, part_offset long, doc_ids array<long>, n_tokens array<long>, seg_tokens long, codes binary"
-    ordered.mapInArrow(run, schema).write.parquet(path)
+    ordered.mapInArrow(run, schema).write.options(**PAGES).parquet(path)
+
+
+def _bases(store: DataFrame) -> DataFrame:
+    """``(part, base)``: the ids before a part, a running sum over one row a part, as many as there were tasks."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = store.groupBy("part").agg(F.sum("seg_tokens").alias("n"))
+    return F.broadcast(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each document, from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
+    """A row for each document, from the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``, ``middle_id``.
 
-    What stands before a part is a running sum over one row a part, as many as there were tasks; what stands before a
-    segment in its part is in the file.
+    ``middle_id`` is the document's id at place ``n_tokens / 2`` (rounded down), taken by itself out of the codes. What
+    stands before a segment in its part is in the file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, offset, keys, counts, codes in zip(*(b.column(c).to_pylist() for c in ("part", "part_offset", "doc_ids", "n_tokens", "codes"))):
-                ids = DacSegment(codes).all()
+                segment = DacSegment(codes)
                 ends = np.cumsum(np.array(counts, np.int64))
                 starts = ends - np.array(counts, np.int64)
-                data = ids.astype("<u4").tobytes()
+                data = segment.all().astype("<u4").tobytes()
                 crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]
-                n = len(keys)
-                columns = [pa.array([part] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(starts + offset), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "within", "n_tokens", "ids_crc32"])
+                middle = [segment[a + n // 2] for a, n in zip(starts.tolist(), counts)]
+                columns = [pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(starts + offset), *(pa.array(x, pa.int64()) for x in (counts, crc, middle))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "within", "n_tokens", "ids_crc32", "middle_id"])
 
-    # One segment in a batch: its codes and ids are what a task holds.
-    arrow_batches(spark, 1)
+    arrow_batches(spark)
     store = spark.read.parquet(path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = store.groupBy("part").agg(F.sum("seg_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = store.mapInArrow(run, "part int, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    rows = store.mapInArrow(run, "part int, doc_id long, within long, n_tokens long, ids_crc32 long, middle_id long")
+    return rows.join(_bases(store), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "middle_id")
+
+
+def token_at(spark: SparkSession, path: str, positions: DataFrame, col: str = "position", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+    """``(position, token_id)``: the ids at places of the whole store, each taken by itself out of its segment's codes.
+
+    Every row of ``positions`` has a row, repeated ones and nulls too; ``token_id`` is null beyond the store's ends.
+    The directory of segments is joined by stretches of ``segment_tokens`` places. Up to NAMED_SEGMENTS segments are
+    named in a filter on the store, so only their pages are read; the codes of more are joined to the places asked.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, asked, codes in zip(*(b.column(c).to_pylist() for c in ("start", "asked", "codes"))):
+                segment = DacSegment(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([segment[p - start] for p in asked], pa.int64())], ["at", "token_id"])
+
+    arrow_batches(spark)
+    store = spark.read.parquet(path)
+    wanted = positions.select(F.col(col).cast("long").alias("at")).where(F.col("at").isNotNull()).distinct()
+    directory = store.select("part", "seg", "part_offset", "seg_tokens").join(_bases(store), "part")
+    directory = directory.select("part", "seg", (F.col("base") + F.col("part_offset")).alias("start"), "seg_tokens")
+    first, last = F.floor(F.col("start") / segment_tokens), F.floor((F.col("start") + F.col("seg_tokens") - 1) / segment_tokens)
+    stretches = directory.withColumn("stretch", F.explode(F.sequence(first, last)))
+    met = wanted.withColumn("stretch", F.floor(F.col("at") / segment_tokens)).join(stretches, "stretch")
+    met = met.where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("seg_tokens")))
+    asked = met.groupBy("part", "seg", "start").agg(F.collect_list("at").alias("asked"))
+    names = asked.select("part", "seg").limit(NAMED_SEGMENTS + 1).collect()
+    if len(names) <= NAMED_SEGMENTS:
+        store = store.where(reduce(or_, ((F.col("part") == n["part"]) & (F.col("seg") == n["seg"]) for n in names), F.lit(False)))
+    found = store.select("part", "seg", "codes").join(asked, ["part", "seg"]).select("start", "asked", "codes").mapInArrow(look, "at long, token_id long")
+    return positions.select(F.col(col).cast("long").alias("position")).join(found, F.col("position") == F.col("at"), "left").select("position", "token_id")

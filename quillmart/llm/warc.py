@@ -285,8 +285,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string(), "url": pa.string(), "date": pa.string()}
     schema = pa.schema(list(kinds.items()))
-    # A file at a time: its compressed bytes, and one record of it, are what a task holds.
-    arrow_batches(spark, 1)
+    # The compressed bytes of a batch of files, and one record, are what a task holds.
+    arrow_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string")
 

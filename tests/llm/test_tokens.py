@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quillmart.llm import bpe, token_store
-from quillmart.llm.common import fresh_path
+from quillmart.llm.common import TwoAgeCache, fresh_path
 
 PIECES = [
     " ", "\n", "\t", "  ", "\r", "\x1c", "\x85", "\xa0", "　", ".", ",", ". ", ", ", "a", "The", "É", "é", "ß", "1", "22", "²", "½", "٣", "字", "!", "...", "'s", "'LL",
@@ -39,7 +39,7 @@ def word_level():
 
 
 def test_byte_ids_and_decoding_match_the_library(byte_level):
-    codec = bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"), memo=50)
+    codec = bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"), memo=9000)
     for t in texts(4000, 1):
         ids = byte_level.encode(t, add_special_tokens=False).ids
         assert codec.encode(t) == ids
@@ -50,7 +50,7 @@ def test_byte_ids_and_decoding_match_the_library(byte_level):
 
 
 def test_word_ids_match_the_library(word_level):
-    encoder = token_store.WordIds(public_tokenizers.path("word_bpe_49k.json"), memo=60)
+    encoder = token_store.WordIds(public_tokenizers.path("word_bpe_49k.json"), memo=9000)
     for t in texts(4000, 2):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == word_level.encode(t, add_special_tokens=False).ids
 
@@ -87,6 +87,33 @@ def test_store_round_trip_with_nulls_repeats_and_long_texts(spark, word_level):
         last = r["doc_id"] if r["doc_id"] is not None else last
 
 
+def test_single_tokens_of_a_store(spark, word_level, monkeypatch):
+    values = [*texts(60, 5), "word " * 900, None, "tail"]
+    docs = spark.createDataFrame(rows(values), SCHEMA).repartition(4)
+    path = fresh_path(spark, "test-tokens")
+    token_store.write_store(docs, path, public_tokenizers.path("word_bpe_49k.json"), segment_tokens=64)
+    every = [i for t in values for i in [*word_level.encode(t or "", add_special_tokens=False).ids, 1]]
+    asked = [*range(len(every)), 0, 0, -1, len(every), None]
+    expected = sorted(((p, every[p] if p is not None and 0 <= p < len(every) else None) for p in asked), key=str)
+    for named in (0, 10_000):
+        monkeypatch.setattr(token_store, "NAMED_SEGMENTS", named)
+        got = token_store.token_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long"), segment_tokens=64)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == expected
+    for r in token_store.read_store(spark, path).collect():
+        assert r["middle_id"] == every[r["start"] + r["n_tokens"] // 2]
+    nothing = fresh_path(spark, "test-tokens")
+    token_store.write_store(docs.limit(0), nothing, public_tokenizers.path("word_bpe_49k.json"))
+    assert token_store.read_store(spark, nothing).count() == 0
+
+
+def test_memo_is_bounded_by_bytes():
+    memo = TwoAgeCache(lambda k: k.encode(), 30_000)
+    for i in range(2000):
+        assert memo[f"w{i % 900}"] == f"w{i % 900}".encode()
+    assert memo["x" * 5000] == b"x" * 5000 and "x" * 5000 not in memo
+    assert len(memo) + len(memo.old) <= 2 * 30_000 // TwoAgeCache.ENTRY + 2
+
+
 def test_token_digests_and_extra_columns(spark, byte_level):
     values = [*texts(30, 4), None, ""]
     docs = spark.createDataFrame(rows(values) + [(0, values[0], "x", "y", 7)], SCHEMA)
