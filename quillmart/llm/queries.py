@@ -35,8 +35,8 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path).drop("record_id", "date")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, versions=(1, 2))
+    return warc.read_archives(spark, path).drop("record_id", "refers_to_id", "date")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
