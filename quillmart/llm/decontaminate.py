@@ -13,12 +13,13 @@ benchmark is, and each block takes one pass over the texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillmart.llm.common import written
 
@@ -153,11 +154,13 @@ def leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_
     """``(doc_id, item_id, distance, end)``: every item that stands in a document within its budget.
 
     ``end`` is the place behind the best passage in the normal text. A null text holds nothing; repeated documents and
-    repeated items are told each; without items there are no rows. No shuffle.
+    repeated items are told each; without items there are no rows. Ids of items are strings or integers. No shuffle.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    named = isinstance(items.schema["item_id"].dataType, StringType)
+    item_kind = pa.string() if named else pa.int64()
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, item_id long, distance int, end long"
+    schema = f"id {kind}, item_id {'string' if named else 'long'}, distance int, end long"
     out: list[DataFrame] = []
     for block in item_blocks(items, block_chars=block_chars):
 
@@ -167,12 +170,12 @@ def leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_
                 ids, found = b.column(0), [(i, *m) for i, t in enumerate(b.column(1).to_pylist()) for m in searched.matches(normal(t))]
                 rows = list(zip(*found)) or [(), (), (), ()]
                 picked = ids.take(pa.array(rows[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([picked, pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], ["id", "item_id", "distance", "end"])
+                yield pa.RecordBatch.from_arrays([picked, pa.array(rows[1], item_kind), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], ["id", "item_id", "distance", "end"])
 
+        if out:  # of several blocks, what an earlier one found is written, so that its closure needn't stay on the driver
+            out[-1] = written(out[-1], "leaks")
         out.append(slim.mapInArrow(run, schema))
-        if len(out) > 1:  # more than one block: their closures needn't stay on the driver together
-            out[-2:] = [written(out[-2].unionByName(out[-1]), "leaks")]
-    found = out[0] if out else spark.createDataFrame([], schema)
+    found = reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
     return found.withColumnRenamed("id", id_col)
 
 
