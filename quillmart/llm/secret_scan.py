@@ -9,7 +9,8 @@ number of runs above and below the alphabet's middle, and lag-1 serial correlati
 is the string's ``p``. Benjamini-Hochberg, within each class of encoding and length, then says which strings are *not*
 random at a false-discovery rate of ``fdr``: among the strings that are cleared, the expected share of random ones is
 at most ``fdr``, at every length, however many short or long strings there are. What is not cleared is a span. Runs of
-letters in one case (words) have no claim to an encoding and are not tested.
+letters in one case (words) have no claim to an encoding and are not tested. A run that mixes the marks of two
+alphabets (a path before a key) is tested by its parts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that are tested for randomness.
 RUN_CHARS = 20
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_CHARS},}}={{0,2}}"
+#: What is tested of a run whose whole alphabet is no encoding's: parts without ``+`` and ``/``, and of those that have
+#: no encoding either, parts without ``-`` and ``_``.
+PARTS = (rf"[A-Za-z0-9_-]{{{RUN_CHARS},}}", rf"[A-Za-z0-9]{{{RUN_CHARS},}}")
+#: Matches whose positions are added up in one array.
+GROUP = 256
 #: Share of random strings among the cleared ones.
 FDR = 0.05
 
@@ -48,8 +54,11 @@ ALPHABETS = {
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
-    """``array<struct<start, end, hit>>`` of leftmost matches that don't overlap; ``possible`` is a cheap necessary test."""
-    span = "struct<at:int,out:array<struct<start:int,end:int,hit:string>>>"
+    """``array<struct<start, end, hit>>`` of leftmost matches that don't overlap; ``possible`` is a cheap necessary test.
+
+    Ends add up over groups of GROUP matches, as an array is copied for each entry that it gets.
+    """
+    entries = "array<struct<start:int,end:int,hit:string>>"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
@@ -59,8 +68,17 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
         end = start + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")).cast(span)
-    return F.when(possible, F.aggregate(pairs, empty, add, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    def empty(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(entries).alias("out")).cast(f"struct<at:int,out:{entries}>")
+
+    def grouped(all_pairs: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(1), F.size(all_pairs), F.lit(GROUP)), lambda i: F.slice(all_pairs, i, F.lit(GROUP)))
+        added = F.aggregate(groups, F.array(empty(F.lit(0))), lambda acc, g: F.concat(acc, F.array(F.aggregate(g, empty(F.element_at(acc, -1)["at"]), add))))
+        return F.flatten(F.transform(added, lambda a: a["out"]))
+
+    few = F.size(hits) <= GROUP
+    found = F.when(few, F.aggregate(pairs, empty(F.lit(0)), add, lambda acc: acc["out"])).otherwise(_let(pairs, grouped))
+    return F.when(possible, found).otherwise(F.array().cast(entries))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -187,8 +205,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     kinds = [base(assign, 0), base(_matches(text, ACCESS, text.contains("AKIA")), 1), base(_matches(text, HEX, text.rlike(HEX)), 2)]
     runs = _matches(text, RUN, text.rlike(RUN))
     found = docs.select(F.col(id_col).alias("id"), F.concat(*kinds).alias("base"), runs.alias("runs"))
-    bare = F.transform("runs", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.rtrim(m["hit"], F.lit("=")).alias("hit"), encoding_of(F.rtrim(m["hit"], F.lit("="))).alias("encoding")))
-    tested = F.filter(bare, lambda m: m["encoding"].isNotNull())
+
+    def bare(m: Column, at: Column) -> Column:
+        hit = F.rtrim(m["hit"], F.lit("="))
+        return F.struct((at + m["start"]).alias("start"), (at + m["end"]).alias("end"), hit.alias("hit"), encoding_of(hit).alias("encoding"))
+
+    def in_parts(strings: Column, pattern: str) -> Column:
+        parts = lambda m: F.transform(_matches(m["hit"], pattern, m["hit"].rlike(pattern)), lambda x: bare(x, m["start"]))
+        return F.flatten(F.transform(strings, lambda m: F.when(m["encoding"].isNotNull(), F.array(m)).otherwise(parts(m))))
+
+    strings = F.transform("runs", lambda m: bare(m, F.lit(0)))
+    for pattern in PARTS:
+        strings = in_parts(strings, pattern)
+    tested = F.filter(strings, lambda m: m["encoding"].isNotNull())
     scored = F.transform(
         tested,
         lambda m: F.struct(
