@@ -1,12 +1,15 @@
 """op3, op4, op9, op10 and the near-duplicate stage against brute force on small documents with odd rows."""
 
 import collections
+import math
 import random
 import re
+import string
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillmart.llm import bit_slices, components, decontaminate, line_dedup, secret_scan, simhash
 
@@ -105,6 +108,14 @@ def test_leaks_are_those_within_the_budget(spark, block_chars):
     assert decontaminate.clean(docs.limit(0), bench).collect() == []
 
 
+def test_items_with_names_and_a_very_long_text(spark):
+    item = sentences(1, 14, 30)[0]
+    bench = spark.createDataFrame([("b/1", item), (None, item)], "item_id string, text string")
+    text = "fill " * 200_000 + item[:60] + "?" + item[60:] + " fill" * 1000
+    got = decontaminate.leaks(frame(spark, [(1, text, "en", "s"), (2, "fill", "en", "s")]), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in got] == [(1, "b/1", 1)]
+
+
 def test_short_items_are_found_unchanged_on_word_borders(spark):
     bench = spark.createDataFrame([(1, "Capital of  Peru?"), (2, "x = 1"), (3, " "), (4, "long item " * 5)], "item_id long, text string")
     texts = ["Q: capital\nof peru? Lima", "the capital of perus", "max = 1; x = 1", "max = 12", "the capital of Per?", "x = 10", "x = 1"]
@@ -146,6 +157,60 @@ def test_base_spans_and_random_strings(spark):
     assert not [i for i in random_in if i and i >= 200]
 
 
+def test_random_strings_behind_paths_and_many_matches(spark):
+    rng = random.Random(8)
+    code = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(code) for _ in range(40)) for _ in range(40)]
+    rows = [(i, f"at prod_keys/{k} and b+{k}_x", "", "") for i, k in enumerate(keys)]
+    many = " ".join(f"token={i:06d}x" for i in range(1500)) + " " + " ".join(["0f" * 12] * 700)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(frame(spark, [*rows, (500, many, "", "")])).collect()}
+    found = sum([(s["start"], s["end"]) for s in got[i] if s["kind"] == "random"] == [(13, 53), (60, 102)] for i in range(40))
+    assert found >= 34
+    want = [("assign", m.start(), m.end()) for m in re.finditer(r"token=\w+", many)] + [("hex", m.start(), m.end()) for m in re.finditer(r"\b[0f]{24}\b", many)]
+    assert [(s["kind"], s["start"], s["end"]) for s in got[500]] == want
+    assert secret_scan.scan(frame(spark, rows).limit(0)).collect() == []
+
+
+def by_hand(token, alphabet):
+    """The battery's least p times three, by plain loops and the standard normal tail."""
+    n, size = len(token), len(alphabet)
+    upper, both = lambda z: math.erfc(z / math.sqrt(2)) / 2, lambda z: math.erfc(abs(z) / math.sqrt(2))
+    chi2 = sum((token.count(c) - n / size) ** 2 for c in alphabet) * size / n
+    df = size - 1
+    uniform = upper(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    bits = [alphabet.index(c) >= size // 2 for c in token]
+    ones, runs = sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:]))
+    mean = 2 * ones * (n - ones) / n + 1
+    run_p = 1.0 if ones in (0, n) else both((runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))
+    x = [alphabet.index(c) for c in token]
+    average = sum(x) / n
+    power = sum((v - average) ** 2 for v in x)
+    serial = both((sum((a - average) * (b - average) for a, b in zip(x, x[1:])) / power + 1 / n) * math.sqrt(n)) if power else 0.0
+    return min(1.0, 3 * min(uniform, run_p, serial))
+
+
+def test_the_battery_is_that_of_plain_loops(spark):
+    rng = random.Random(9)
+    rows = []
+    for name, alphabet in secret_scan.ALPHABETS.items():
+        for n in (20, 33, 80):
+            rows += [("".join(rng.choice(alphabet) for _ in range(n)), name), ("".join(rng.choice(alphabet[: len(alphabet) // 3]) for _ in range(n)), name)]
+            rows += [((alphabet * 3)[:n], name), (alphabet[0] * n, name)]
+    df = spark.createDataFrame(rows, "token string, encoding string")
+    for r in df.withColumn("p", secret_scan.randomness(F.col("token"), F.col("encoding"))).collect():
+        assert abs(r["p"] - by_hand(r["token"], secret_scan.ALPHABETS[r["encoding"]])) < 2e-6, r
+
+
+def test_clearing_levels_are_those_of_benjamini_and_hochberg(spark):
+    rng = random.Random(10)
+    rows = [("hex", k % 3, max(1e-12, rng.random() ** (1 + 6 * (k % 3)))) for k in range(900)]
+    got = {r["length_class"]: r["level"] for r in secret_scan.clearing_levels(spark.createDataFrame(rows, "encoding string, length_class int, p double"), 0.1).collect()}
+    for c in range(3):
+        steps = [10 ** (-math.floor(-20 * math.log10(p)) / 20) for _, k, p in rows if k == c]
+        level = max((s for s in set(steps) if s <= 0.1 * sum(x <= s * (1 + 1e-12) for x in steps) / len(steps)), default=0.0)
+        assert got[c] == pytest.approx(level)
+
+
 # ---- near duplicates
 
 

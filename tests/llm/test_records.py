@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -47,16 +48,17 @@ def test_long_vectors_are_refused(spark):
 # ---- archives
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_archives_give_pages_back(spark, version):
+@pytest.mark.parametrize("versions", [(1,), (2,), (2, 1)])
+def test_archives_give_pages_back(spark, versions):
     tricky = "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nX-Page-Id: 4\r\n" + "é" * 700
     pages = [
         (1, "http://a/ b\n?q=ü", "x" * 1000), (2, "u2", "x" * 1000), (9, "u9", "x" * 1000), (3, "u3", "x" * 999), (4, "u4", "x" * 999), (5, None, None), (6, "", ""),
         (-7, "neg", tricky), (2**62, "big", tricky), (None, "none", "x" * 1000), (9, "u9", "x" * 1000), (11, "l", "long " * 300_000),
+        (20, "http://x/a b", "y" * 2000), (19, "u19", "y" * 2000), (31, None, "z" * 2000), (30, "u30", "z" * 2000),
     ]
     df = spark.createDataFrame([(*p, "a", "b") for p in pages], "page_id long, url string, html string, digest string, record string").repartition(3)
     path = fresh_path(spark, "test-warc")
-    warc.write_archives(df, path, version=version, file_records=3)
+    warc.write_archives(df, path, versions=versions, file_records=3)
     got = warc.read_archives(spark, path).collect()
     last = {}
     for i, _, html in pages:
@@ -69,11 +71,30 @@ def test_archives_give_pages_back(spark, version):
         want.append((i, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if refers is not None else "response", refers))
     assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == collections.Counter(want)
     assert all(r["date"] == "2020-01-01T00:00:00Z" and r["record_id"].startswith("<urn:uuid:") for r in got)
+    ids = {r["record_id"]: r["page_id"] for r in got if r["record_type"] == "response"}
+    assert all(ids[r["refers_to_id"]] == r["refers_to"] for r in got if r["record_type"] == "revisit")
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect()]
+    for content in files:  # a member a record, the first one of warcinfo
+        members, rest = [], content
+        while rest:
+            member = zlib.decompressobj(31)
+            members.append(member.decompress(rest))
+            rest = member.unused_data
+            assert member.eof
+        assert b"WARC-Type: warcinfo" in members[0] and 2 <= len(members) <= 4
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
     empty = fresh_path(spark, "test-warc")
     warc.write_archives(df.limit(0), empty)
     assert warc.read_archives(spark, empty).collect() == []
 
 
+def test_long_records_take_several_members(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    packed = warc.gzip_members(bytes(range(256)) * 20)
+    assert packed[-1] == 0 and packed.count(b"\x1f\x8b\x08") >= 6
+    assert b"".join(warc._inflated(packed)) == bytes(range(256)) * 20
+
+
 def test_arc_headers_are_read_by_their_own_names():
     arc = warc.write_arc([("http://x/y", "20200102030405", "text/html", b"one\nhttp://z 0 0 t 9\n"), ("u", "20200102030405", "t", b"")], 2)
     records = list(warc.read_arc(arc))
@@ -122,7 +143,7 @@ def test_toxicity_without_labels_or_features(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["toxicity"] < 0.5 for r in toxicity.score(docs, model).collect()] == [True, True]
     assert toxicity.score(docs.limit(0), model).collect() == []
-    assert not len(toxicity.fit(["ab"], ["cd"], 0.5).slots)
+    assert not len(toxicity.fit(spark.createDataFrame([(1, "ab"), (0, "cd")], "s int, text string"), 0.5).slots)
 
 
 def test_risk_does_not_go_below_zero():
@@ -133,6 +154,46 @@ def test_risk_does_not_go_below_zero():
     assert clean > -0.1
 
 
+def test_risk_and_gradient_are_those_of_plain_loops():
+    rng = np.random.default_rng(5)
+    xp, xu = (rng.random((9, 6)) < 0.4).astype(np.float32), (rng.random((14, 6)) < 0.4).astype(np.float32)
+    w, b, prior = rng.normal(size=6), 0.3, 0.2
+
+    def parts(w, b):
+        loss = lambda x, y: math.log1p(math.exp(-y * (float(np.dot(x, w)) + b)))
+        return prior * sum(loss(x, 1) for x in xp) / len(xp), sum(loss(x, -1) for x in xu) / len(xu) - prior * sum(loss(x, -1) for x in xp) / len(xp)
+
+    toxic, toxic_slope, clean, clean_slope = toxicity.risk(xp, xu, w, b, prior)
+    assert (toxic, clean) == pytest.approx(parts(w, b), abs=1e-5)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-4
+        up, down = parts(w + step[:6], b + step[6]), parts(w - step[:6], b - step[6])
+        assert (toxic_slope[i], clean_slope[i]) == pytest.approx(((up[0] - down[0]) / 2e-4, (up[1] - down[1]) / 2e-4), abs=1e-4)
+
+
+def test_features_are_those_of_plain_counts(spark, monkeypatch):
+    rows = labelled(4, 160)
+    df = spark.createDataFrame([(y, t) for _, t, y in rows], "s int, text string").repartition(5)
+    monkeypatch.setattr(toxicity, "FEATURES", 150)
+    held = [collections.Counter(), collections.Counter()]
+    for _, t, y in rows:
+        held[y].update(toxicity.buckets(t).tolist())
+    p = sum(y for *_, y in rows)
+    u = len(rows) - p
+    gain = {k: n * math.log((n / p) / ((held[0][k] + 1) / (u + 2))) for k, n in held[1].items() if n >= toxicity.LEAST_TEXTS and n / p > 2 * (held[0][k] + 1) / (u + 2)}
+    got = toxicity.features(df, p, u).tolist()
+    assert len(got) == 150 == len(set(got))
+    assert sorted(round(gain[k], 9) for k in got) == sorted(round(v, 9) for v in sorted(gain.values())[-150:])
+
+
+def test_long_texts_are_hashed_by_parts(monkeypatch):
+    text = "".join(random.Random(3).choice("abc d\n") for _ in range(3000))
+    whole = np.sort(np.concatenate(list(toxicity.grams(text))))
+    monkeypatch.setattr(toxicity, "CHUNK", 64)
+    assert (np.sort(np.concatenate(list(toxicity.grams(text)))) == whole).all()
+    assert len(whole) == 2 * 3002 - 4 - 5 and list(toxicity.grams("ab")) == []
+
+
 # ---- chat
 
 
