@@ -57,16 +57,18 @@ def claim_jobs(jobs: DataFrame, limit: int, kind: str | None = None) -> DataFram
 def complete_jobs(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """The table after ``results (id, new_status, new_count, new_error, at)``; unknown states count as failed.
 
-    Of several results of one job the last one holds.
+    Of several results of one job the last one holds. Jobs without a result stay as they are, their count too; those with
+    one are seen and updated at its time. The columns that ``jobs`` lacks of those are added.
     """
     last = results.groupBy("id").agg(F.max_by(F.struct("new_status", "new_count", "new_error"), "at").alias("r"), F.max("at").alias("at"))
     both = jobs.join(last, "id", "left")
     done = F.col("r").isNotNull()
+    old = lambda c: F.col(c) if c in jobs.columns else F.lit(None)
     return both.withColumns({
         "status": F.when(done, F.when(F.col("r.new_status").isin(*DONE), F.col("r.new_status")).otherwise("failed")).otherwise(F.col("status")),
-        "product_count": F.when(done, F.greatest(F.col("r.new_count"), F.lit(0))),
+        "product_count": F.when(done, F.greatest(F.coalesce("r.new_count", F.lit(0)), F.lit(0))).otherwise(old("product_count")),
         "last_error": F.when(done, F.col("r.new_error")).otherwise(F.col("last_error")),
-        "finished_at": F.when(done, F.col("at")).otherwise(F.col("finished_at")),
+        **{c: F.when(done, F.col("at")).otherwise(old(c)) for c in ("finished_at", "last_seen_at", "updated_at")},
     }).drop("r", "at")
 
 

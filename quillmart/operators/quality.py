@@ -7,54 +7,88 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmart.functions.text import brand_key, display_key, has_hangul
+from quillmart.functions.text import brand_key, display_key
+from quillmart.operators.merge import missing_fields, quality_score
 
-SEVERITIES = ("error", "warning", "info")
+SEVERITIES = ("required", "display", "enrichment")
 #: Marks that have no place in a display name.
-DISPLAY_MARKS = ("[", "]", "★", "♥", "기획", "증정", "단독", "한정")
+DISPLAY_MARKS = ("[", "]", "기획", "단품", "택1", "Colors", "colors", "종", "(", ")")
+#: Endings that have no place in a display name, the first that is found counts; letters in either case.
+DISPLAY_ENDINGS = {
+    "dirty_display_sun_protection_suffix": r"(?:^|\s)SPF\s*\d+\+?\s*,?(?:\s*/\s*PA\+{1,4}|\s+PA\+{1,4}|\s*,\s*PA\+{1,4})?(?:\s+\S.*)?$",
+    "dirty_display_bundle_suffix": r"\d+(?:\.\d+)?\s*(?:g|ml|mL|ML)\s*(?:[*xX]\s*\d+\s*(?:ea|EA|입)?|\+\s*\d+(?:\.\d+)?\s*(?:g|ml|mL|ML)(?:\s+\S.*)?|\+\s*\S+)\s*$",
+    "dirty_display_volume_descriptor_suffix": r"\d+(?:\.\d+)?\s*(?:g|ml|mL|ML)\s*(?:\*[A-Za-z가-힣0-9\s*]+|\s+증량)\s*$",
+}
 
 
 def _empty(name: str) -> Column:
     return F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) == ""
 
 
-def issue_list(display: str, brand: str, required: Sequence[str], wished: Sequence[str]) -> Column:
-    """``array<struct<severity, code, field>>`` of one product."""
+def _none(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
 
-    def issue(test: Column, severity: str, code: str, field: str) -> Column:
-        return F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(field).alias("field")))
 
-    marked = F.lit(False)
-    for m in DISPLAY_MARKS:
-        marked = marked | F.coalesce(F.col(display).contains(m), F.lit(False))
-    prefix = (display_key(F.col(brand)) != "") & F.startswith(display_key(F.col(display)), display_key(F.col(brand)))
-    size = F.coalesce(F.col(display).rlike(r"(?i)\d+\s*(ml|g|매|종)\s*$"), F.lit(False))
-    found = [issue(_empty(f), "error", "missing_required", f) for f in required]
-    found += [issue(marked, "warning", "display_marker", display), issue(size, "warning", "display_size", display), issue(prefix, "warning", "display_brand_prefix", display)]
-    found += [issue(_empty(f), "info", "missing_enrichment", f) for f in wished]
-    return F.array_compact(F.array(*found))
+def issue_list() -> Column:
+    """``array<struct<severity, issue, detail>>`` of a product with ``product_name_ko, product_name_en, source,
+    source_url, source_product_id, product_name_display_ko, brand_ko, brand_en, price, image_url``.
 
-
-def quality_issues(products: DataFrame, key_col: str, display: str, brand: str, required: Sequence[str], wished: Sequence[str]) -> DataFrame:
-    """A13 in long form: ``key, source, severity, code, field``."""
-    listed = products.select(F.col(key_col).alias("key"), "source", F.explode(issue_list(display, brand, required, wished)).alias("i"))
+    Required: a name, a source, an address or number there. Display: marks, an ending, a brand before the name.
+    Enrichment: each missing field of N7.
+    """
+    display = F.coalesce("product_name_display_ko", F.lit(""))
+
+    def issue(test: Column, severity: str, name: Column | str, detail: Column | str) -> Column:
+        name, detail = (F.lit(x) if isinstance(x, str) else x for x in (name, detail))
+        return F.when(test, F.struct(F.lit(severity).alias("severity"), name.alias("issue"), detail.alias("detail")))
+
+    marked = F.exists(F.array(*map(F.lit, DISPLAY_MARKS)), lambda m: F.contains(display, m))
+    ending = F.coalesce(*(F.when(display.rlike("(?iU)" + pattern), F.lit(name)) for name, pattern in DISPLAY_ENDINGS.items()))
+    own = display_key(display)
+    before = lambda brand: (brand != "") & (own != brand) & F.startswith(own, brand)
+    branded = F.exists(F.array(display_key(F.col("brand_ko")), display_key(F.col("brand_en"))), before)
+    fixed = [
+        issue(_none("product_name_ko") & _none("product_name_en"), "required", "missing_product_name", "product_name_ko/product_name_en missing"),
+        issue(_none("source"), "required", "missing_source", "source missing"),
+        issue(_none("source_url") & _none("source_product_id"), "required", "missing_source_locator", "source_url/source_product_id missing"),
+        issue(marked, "display", "dirty_display_name", display),
+        issue(ending.isNotNull(), "display", ending, display),
+        issue(branded, "display", "brand_prefixed_display_name", display),
+    ]
+    missing = missing_fields({c: F.col(c) for c in ("brand_en", "product_name_en", "price", "image_url")})
+    wished = F.transform(missing, lambda f: F.struct(F.lit("enrichment").alias("severity"), F.concat(F.lit("missing_"), f).alias("issue"), f.alias("detail")))
+    return F.concat(F.array_compact(F.array(*fixed)), wished)
+
+
+def quality_issues(products: DataFrame, key_col: str) -> DataFrame:
+    """A13 in long form: ``key, source, severity, issue, detail``."""
+    listed = products.select(F.col(key_col).alias("key"), "source", F.explode(issue_list()).alias("i"))
     return listed.select("key", "source", "i.*")
 
 
-def quality_report(products: DataFrame, issues: DataFrame) -> DataFrame:
-    """A12 in long form: ``(measure, name, value)``: totals, mean score, products by source, issues by severity and code.
+def quality_report(products: DataFrame) -> DataFrame:
+    """A12 in long form, ``(measure, name, value)``: ``total`` (products, issues by severity, products with an English name,
+    with a cleaned display name, with a display name given by hand, the mean score), ``source`` (products by family) and
+    ``missing_field`` (products by missing field).
 
-    All measures are aggregates of one pass over products and one over issues.
+    ``products`` has what :func:`issue_list` needs, ``rating, review_count``, and the display names given by hand as
+    ``override_ko, override_en``. One pass over products for each measure; without products the mean is 0.
     """
-    totals = products.agg(
-        F.count(F.lit(1)).cast("double").alias("total"),
-        F.round(F.avg("quality_score"), 2).alias("mean_quality"),
-        F.count_if(has_hangul(F.col("name"))).cast("double").alias("hangul_names"),
-    )
-    long = totals.select(F.explode(F.array(*(F.struct(F.lit("total").alias("measure"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in ("total", "mean_quality", "hangul_names")))).alias("m")).select("m.*")
-    sources = products.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("measure", F.lit("source"))
-    codes = issues.groupBy(F.concat_ws(":", "severity", "code", "field").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("measure", F.lit("issue"))
-    return long.unionByName(sources).unionByName(codes)
+    c = {n: F.col(n) for n in products.columns}
+    judged = products.select("*", issue_list().alias("__issues"), quality_score(c).alias("__score"))
+    of = lambda severity: F.coalesce(F.sum(F.size(F.filter("__issues", lambda i: i["severity"] == severity))), F.lit(0))
+    cleaned = ~_none("product_name_ko") & ~_none("product_name_display_ko") & (F.col("product_name_ko") != F.col("product_name_display_ko"))
+    totals = {"total": F.count(F.lit(1))} | {f"{s}_issues": of(s) for s in SEVERITIES}
+    totals |= {"product_name_en": F.count_if(~_none("product_name_en")), "display_cleaned": F.count_if(cleaned), "display_ko_override": F.count_if(~_none("override_ko"))}
+    totals |= {"display_en_override": F.count_if(~_none("override_en")), "mean_quality": F.coalesce(F.round(F.avg("__score"), 2), F.lit(0.0))}
+    row = judged.agg(*(v.cast("double").alias(n) for n, v in totals.items()))
+    long = row.select(F.explode(F.array(*(F.struct(F.lit("total").alias("measure"), F.lit(n).alias("name"), F.col(n).alias("value")) for n in totals))).alias("m")).select("m.*")
+
+    def counted(name: Column, measure: str) -> DataFrame:
+        return products.select(name.alias("name")).groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(measure).alias("measure"), "name", "value")
+
+    missing = F.explode(missing_fields({n: c[n] for n in ("brand_en", "product_name_en", "price", "image_url")}))
+    return long.unionByName(counted(F.substring_index(F.coalesce("source", F.lit("")), ":", 1), "source")).unionByName(counted(missing, "missing_field"))
 
 
 def enrichment_targets(products: DataFrame, issues: DataFrame, order: Sequence[str], key: Sequence[str]) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions.text import dedupe_texts, query_terms, search_key, tokens
+from quillmart.shared import stored
 
 #: BM25 parameters, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Characters of the grams that narrow a substring search.
 GRAM = 3
-#: Documents whose grams may be broadcast as queries' grams: queries of a stated set, counted before.
-BROADCAST_QUERIES = 20_000
+#: Postings of a query's weightiest terms, in units of ``k``, from whose documents the least score to beat is taken, and
+#: what a sum of weights may be off by.
+SEED, MARGIN = 10, 1e-6
 
 
 def build_postings(documents: DataFrame, key_col: str, text: Column) -> DataFrame:
@@ -27,20 +29,39 @@ def build_postings(documents: DataFrame, key_col: str, text: Column) -> DataFram
 def search_bm25(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """R2: ``(query_id, doc, score, rank)`` of the ``k`` best documents for each of ``queries (query_id, query)``.
 
-    Terms of a query are alternatives. Score ties go to the greater document key. The statistics are one aggregate
-    each; a term's postings meet the queries that ask for it in an equi-join, which adaptive execution splits where a
-    term is in very many documents.
+    Terms of a query are alternatives. Score ties go to the greater document key. The result is exact, and documents
+    that share only common terms with a query are not met: the documents of its weightiest terms give a score that
+    ``k`` of them reach; terms whose greatest weights add up to less can't lift a document to it by themselves. The
+    other terms make the candidates, those are cut by what the rest could add, and the rest is looked up for them by
+    term and document.
     """
     totals = postings.select("doc", "doc_len").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("mean_len"))
-    asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
-    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = totals.first()  # one row: number and mean length of documents
     n, mean = stats["n_docs"], stats["mean_len"] or 1.0
+    asked = stored(queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")), "query-terms")
+    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / mean))
-    scored = asked.join(wanted, "term").join(df, "term").groupBy("query_id", "doc").agg(F.sum(weight).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("doc").desc())
+    weighted = stored(wanted.join(df, "term").select("term", "doc", weight.alias("weight")), "weighted-postings")
+    bounds = weighted.groupBy("term").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("df"))
+
+    by_query = Window.partitionBy("query_id")
+    heavier = by_query.orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    lighter = by_query.orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    terms = asked.join(bounds, "term").select("query_id", "term", "most", F.coalesce(F.sum("df").over(heavier), F.lit(0)).alias("met"), F.sum("most").over(lighter).alias("together"))
+    terms = stored(terms, "bounded-terms")
+    seeds = terms.where(F.col("met") < SEED * k).join(weighted, "term").groupBy("query_id", "doc").agg(F.sum("weight").alias("part"))
+    least = seeds.withColumn("no", F.row_number().over(by_query.orderBy(F.desc("part")))).where(F.col("no") == k).select("query_id", (F.col("part") - MARGIN).alias("least"))
+    terms = stored(terms.join(least, "query_id", "left").select("query_id", "term", "most", (F.col("together") < F.col("least")).alias("light"), "least"), "query-terms")
+
+    light = F.coalesce("light", F.lit(False))
+    limits = terms.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(light, F.col("most"))), F.lit(0.0)).alias("more"))
+    met = terms.where(~light).join(weighted, "term").groupBy("query_id", "doc").agg(F.sum("weight").alias("score")).join(limits, "query_id")
+    met = stored(met.where(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least"))).select("query_id", "doc", "score"), "candidates")
+    added = met.join(terms.where(light).select("query_id", "term"), "query_id").join(weighted, ["term", "doc"]).select("query_id", "doc", F.col("weight").alias("score"))
+    scored = met.unionByName(added).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+    best = by_query.orderBy(F.round("score", 9).desc(), F.col("doc").desc())
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

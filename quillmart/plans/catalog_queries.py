@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmart.functions import keys, text
 from quillmart.operators import search, upsert
 from quillmart.plans.views import sql_key, view, with_views
+from quillmart.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -329,7 +330,7 @@ SELECT query_id, doc, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <=
 )
 def r2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best parts for every brand and name, by BM25."""
-    postings = search.build_postings(part_documents(spark, sf_dir), "doc", F.col("name"))
+    postings = stored(search.build_postings(part_documents(spark, sf_dir), "doc", F.col("name")), "postings")
     found = search.search_bm25(part_queries(spark, sf_dir), postings, 5)
     return found.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 

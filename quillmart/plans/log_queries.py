@@ -268,26 +268,50 @@ def a6_merge_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_offer_rows(obs, ["part_no"], cq.ORDER).select("part_no", "offer_key", "source", "price", "sale_price", "review_state")
 
 
-_ISSUE_SQL = """
-p AS (SELECT concat(CAST(part_no AS varchar(20)), ':', source, ':', CAST(seq AS varchar(20)), ':', CAST(supp_no AS varchar(20)), ':', CAST(tie AS varchar(20)), ':', CAST(observed_at AS varchar(30))) AS key, part_no, seq, supp_no, source, product_name_en AS display,
-      source_brand_name AS brand, source_product_id, canonical_product_id, sale_price FROM listing_obs),
-i AS (SELECT part_no, source, seq, supp_no, unnest(list_filter([
-   CASE WHEN canonical_product_id IS NULL THEN 'error:missing_required:canonical_product_id' END,
-   CASE WHEN contains(display, '[') THEN 'warning:display_marker:display' END,
-   CASE WHEN regexp_matches(display, '(?i)\\d+\\s*(ml|g|매|종)\\s*$') THEN 'warning:display_size:display' END,
-   CASE WHEN brand IS NOT NULL AND starts_with(lower(regexp_replace(display, '[^0-9A-Za-z가-힣]+', '', 'g')), lower(regexp_replace(brand, '[^0-9A-Za-z가-힣]+', '', 'g'))) THEN 'warning:display_brand_prefix:display' END,
-   CASE WHEN brand IS NULL THEN 'info:missing_enrichment:brand' END,
-   CASE WHEN source_product_id IS NULL THEN 'info:missing_enrichment:source_product_id' END], lambda x: x IS NOT NULL)) AS issue FROM p)"""
+_BARE = lambda c: f"lower(regexp_replace(coalesce({c}, ''), '[^0-9A-Za-z가-힣]+', '', 'g'))"
+_BEFORE = lambda b: f"({_BARE(b)} <> '' AND {_BARE('d')} <> {_BARE(b)} AND starts_with({_BARE('d')}, {_BARE(b)}))"
+_ISSUE_SQL = rf"""
+p AS (SELECT *, coalesce(product_name_display_ko, '') AS d, list_filter([CASE WHEN brand_en IS NULL THEN 'brand_en' END, CASE WHEN product_name_en IS NULL THEN 'product_name_en' END,
+   CASE WHEN price IS NULL THEN 'price' END, CASE WHEN image_url IS NULL THEN 'image_url' END], lambda x: x IS NOT NULL) AS missing FROM judged),
+i AS (SELECT seq, source, unnest(list_concat(list_filter([
+   CASE WHEN product_name_ko IS NULL AND product_name_en IS NULL THEN 'required:missing_product_name' END,
+   CASE WHEN source = '' THEN 'required:missing_source' END,
+   CASE WHEN source_url IS NULL AND source_product_id IS NULL THEN 'required:missing_source_locator' END,
+   CASE WHEN contains(d, '[') OR contains(d, ']') OR contains(d, '기획') OR contains(d, '단품') OR contains(d, '택1') OR contains(d, 'Colors') OR contains(d, 'colors') OR contains(d, '종')
+     OR contains(d, '(') OR contains(d, ')') THEN 'display:dirty_display_name' END,
+   CASE WHEN regexp_matches(d, '(?i)(^|\s)SPF\s*[0-9]+\+?\s*,?(\s*/\s*PA\+{{1,4}}|\s+PA\+{{1,4}}|\s*,\s*PA\+{{1,4}})?(\s+\S.*)?$') THEN 'display:dirty_display_sun_protection_suffix'
+        WHEN regexp_matches(d, '(?i)[0-9]+(\.[0-9]+)?\s*(g|ml)\s*([*x]\s*[0-9]+\s*(ea|입)?|\+\s*[0-9]+(\.[0-9]+)?\s*(g|ml)(\s+\S.*)?|\+\s*\S+)\s*$') THEN 'display:dirty_display_bundle_suffix'
+        WHEN regexp_matches(d, '(?i)[0-9]+(\.[0-9]+)?\s*(g|ml)\s*(\*[a-z가-힣0-9\s*]+|\s+증량)\s*$') THEN 'display:dirty_display_volume_descriptor_suffix' END,
+   CASE WHEN {_BEFORE('brand_ko')} OR {_BEFORE('brand_en')} THEN 'display:brand_prefixed_display_name' END], lambda x: x IS NOT NULL),
+   list_transform(missing, lambda f: concat('enrichment:missing_', f)))) AS issue FROM p)"""
+
+
+@query(f"WITH {_ISSUE_SQL} SELECT source, issue, count(*) AS n FROM i GROUP BY ALL", "judged")
+def a13_quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = quality.quality_issues(view(spark, sf_dir, "judged"), "seq")
+    return issues.groupBy("source", F.concat_ws(":", "severity", "issue").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cq.observations(spark, sf_dir).select("part_no", "supp_no", "seq", "source", F.col("product_name_en").alias("display"), F.col("source_brand_name").alias("brand"), "source_product_id", "canonical_product_id")
+_SCORE = """(CASE WHEN product_name_ko IS NOT NULL OR product_name_en IS NOT NULL THEN 30 ELSE 0 END) + (CASE WHEN source <> '' THEN 20 ELSE 0 END) + (CASE WHEN source_url IS NOT NULL OR source_product_id IS NOT NULL THEN 20 ELSE 0 END)
+  + (CASE WHEN brand_ko IS NOT NULL THEN 10 ELSE 0 END) + (CASE WHEN brand_en IS NOT NULL THEN 8 ELSE 0 END) + (CASE WHEN product_name_en IS NOT NULL THEN 8 ELSE 0 END) + (CASE WHEN price IS NOT NULL THEN 5 ELSE 0 END)
+  + (CASE WHEN image_url IS NOT NULL THEN 5 ELSE 0 END) + (CASE WHEN rating IS NOT NULL THEN 4 ELSE 0 END)"""
 
 
-@query(f"WITH {_ISSUE_SQL} SELECT source, issue, count(*) AS n FROM i GROUP BY ALL", "listing_obs")
-def a13_quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = quality.quality_issues(_judged(spark, sf_dir).withColumn("key", F.col("part_no")), "key", "display", "brand", ["canonical_product_id"], ["brand", "source_product_id"])
-    return issues.groupBy("source", F.concat_ws(":", "severity", "code", "field").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+@query(
+    f"""
+WITH {_ISSUE_SQL},
+t AS (SELECT count(*) AS total, count(product_name_en) AS product_name_en, count(*) FILTER (product_name_ko IS NOT NULL AND d <> '' AND product_name_ko <> d) AS display_cleaned,
+   count(override_ko) AS display_ko_override, count(override_en) AS display_en_override, round(avg({_SCORE}), 2) AS mean_quality FROM p),
+m AS (SELECT unnest(['total', 'product_name_en', 'display_cleaned', 'display_ko_override', 'display_en_override', 'mean_quality']) AS name,
+   unnest([CAST(total AS DOUBLE), product_name_en, display_cleaned, display_ko_override, display_en_override, mean_quality]) AS value FROM t)
+SELECT 'total' AS measure, name, value FROM m
+UNION ALL SELECT 'total', concat(split_part(issue, ':', 1), '_issues'), CAST(count(*) AS DOUBLE) FROM i GROUP BY 2
+UNION ALL SELECT 'source', split_part(source, ':', 1), CAST(count(*) AS DOUBLE) FROM p GROUP BY 2
+UNION ALL SELECT 'missing_field', f, CAST(count(*) AS DOUBLE) FROM (SELECT unnest(missing) AS f FROM p) GROUP BY 2""",
+    "judged",
+)
+def a12_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(view(spark, sf_dir, "judged"))
 
 
 @query(

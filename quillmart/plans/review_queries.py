@@ -92,15 +92,17 @@ def m7_import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT id, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN 'completed' ELSE 'failed' END ELSE status END AS status,
-  CASE WHEN id % 4 = 0 THEN greatest(CAST(id % 9 AS INTEGER) - 3, 0) END AS product_count, CASE WHEN id % 4 = 0 THEN 'done' ELSE last_error END AS last_error FROM jobs""",
+  CASE WHEN id % 4 = 0 THEN greatest(CAST(id % 9 AS INTEGER) - 3, 0) ELSE product_count END AS product_count, CASE WHEN id % 4 = 0 THEN 'done' ELSE last_error END AS last_error,
+  CASE WHEN id % 4 = 0 THEN started_at + INTERVAL 7 DAY ELSE finished_at END AS finished_at, CASE WHEN id % 4 = 0 THEN started_at + INTERVAL 7 DAY ELSE last_seen_at END AS last_seen_at,
+  CASE WHEN id % 4 = 0 THEN started_at + INTERVAL 7 DAY ELSE updated_at END AS updated_at FROM jobs""",
     "jobs",
 )
 def m11_complete_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = view(spark, sf_dir, "jobs")
     done = table.where(F.col("id") % 4 == 0).select(
-        "id", F.when(F.col("id") % 8 == 0, "completed").otherwise("odd").alias("new_status"), (F.col("id") % 9 - 3).cast("int").alias("new_count"), F.lit("done").alias("new_error"), F.col("updated_at").alias("at")
+        "id", F.when(F.col("id") % 8 == 0, "completed").otherwise("odd").alias("new_status"), (F.col("id") % 9 - 3).cast("int").alias("new_count"), F.lit("done").alias("new_error"), F.expr("started_at + INTERVAL 7 DAY").alias("at")
     )
-    return jobs.complete_jobs(table, done).select("id", "status", "product_count", "last_error")
+    return jobs.complete_jobs(table, done).select("id", "status", "product_count", "last_error", "finished_at", "last_seen_at", "updated_at")
 
 
 @query(

@@ -37,8 +37,23 @@ SELECT o_orderkey AS id, concat('job:', CAST(o_orderkey AS varchar(20))) AS job_
        CAST(o_custkey % 4 AS int) AS attempt_count, 3 AS max_attempts,
        CASE WHEN o_orderkey % 3 = 0 THEN concat('error ', CAST(o_custkey AS varchar(20))) END AS last_error,
        o_orderdate AS started_at, o_orderdate AS last_seen_at, o_orderdate AS updated_at,
-       CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS finished_at
+       CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS finished_at, CAST(o_custkey % 6 AS int) AS product_count
 FROM orders""",
+    "judged": """
+SELECT l_orderkey * 10 + l_linenumber AS seq,
+       CASE l_suppkey % 4 WHEN 0 THEN 'oliveyoung' WHEN 1 THEN 'official:global' WHEN 2 THEN 'musinsa' ELSE '' END AS source,
+       CASE WHEN l_orderkey % 3 <> 0 THEN 'https://shop.example/1' END AS source_url,
+       CASE WHEN l_linenumber < 4 THEN concat('P', CAST(p_partkey AS varchar(20))) END AS source_product_id,
+       concat('part:', CAST(p_partkey AS varchar(20))) AS canonical_product_id,
+       CASE WHEN l_linenumber % 3 = 0 THEN p_type END AS brand_ko, CASE WHEN l_linenumber <> 4 THEN p_brand END AS brand_en,
+       CASE WHEN l_linenumber < 6 THEN p_name END AS product_name_ko, CASE WHEN l_orderkey % 5 = 0 THEN p_name END AS product_name_en,
+       CASE l_orderkey % 11 WHEN 0 THEN concat('[', p_type, '] ', p_name) WHEN 1 THEN concat(p_name, ' SPF50+ PA++++') WHEN 2 THEN concat(p_name, ' 50ml*2입')
+            WHEN 3 THEN concat(p_name, ' 30g 증량') WHEN 4 THEN concat(p_brand, ' ', p_name) WHEN 5 THEN concat(p_type, '-', p_name) WHEN 6 THEN p_brand
+            WHEN 7 THEN concat(p_name, ' 3종 spf 30 pa+ mild') WHEN 8 THEN '' WHEN 9 THEN p_name END AS product_name_display_ko,
+       CASE WHEN l_linenumber = 2 THEN p_name END AS override_ko, CASE WHEN l_linenumber = 5 THEN p_name END AS override_en,
+       CASE WHEN l_discount > 0.02 THEN p_retailprice END AS price, CASE WHEN l_quantity > 10 THEN 'img' END AS image_url,
+       CASE WHEN l_tax > 0.04 THEN 4.0 END AS rating, CAST(NULL AS int) AS review_count
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
     "decisions": """
 SELECT o_orderkey AS seq, o_custkey AS match_no, o_orderdate AS decided_at,
        CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'rejected' ELSE 'pending_review' END AS decision,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/quillmart-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df``, written to the shared folder and read again: computed once, however often it is used."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
