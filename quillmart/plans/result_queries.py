@@ -325,12 +325,15 @@ def s15_page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^\s*(?:[-*•]+|\d+[.)])\s*', ''), '\s+', ' ', 'g'))), lambda x: x <> '')[1] AS first_line
-FROM conversations WHERE role = 'user' AND length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 0"""
+WITH l AS (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^\s*(?:[-*•]+|\d+[.)])\s*', ''), '\s+', ' ', 'g'))), lambda x: x <> '')) AS line,
+    generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^\s*(?:[-*•]+|\d+[.)])\s*', ''), '\s+', ' ', 'g'))), lambda x: x <> ''), 1) AS place
+  FROM conversations WHERE role = 'user' AND length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(line) ORDER BY place) AS again FROM l)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY place) AS INTEGER) AS no, line FROM o WHERE again = 1"""
 )
 def f28_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read(spark, sf_dir, "conversations").where((F.col("role") == "user") & text.clean_text(F.col("text")).isNotNull())
-    return asked.select("conv_id", "turn", F.element_at(text.batch_lines(F.col("text")), 1).alias("first_line"))
+    return asked.select("conv_id", "turn", F.posexplode(text.batch_lines(F.col("text"))).alias("no", "line")).withColumn("no", F.col("no") + 1)
 
 
 @query("SELECT source, count(*) AS n, min(observed_at) AS first_at, max(observed_at) AS last_at FROM listing_obs GROUP BY source", "listing_obs")

@@ -108,7 +108,7 @@ def m11_complete_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH x AS (SELECT part_no AS canonical_product_id, source, source_product_id, source_url, tie AS price, CASE WHEN seq % 11 = 0 THEN 'verified' WHEN seq % 7 = 0 THEN 'pending_review' END AS review_state,
-    CASE source WHEN 'oliveyoung' THEN 10 WHEN 'oliveyoung-global' THEN 15 WHEN 'musinsa' THEN 30 WHEN 'official' THEN 20 WHEN 'coupang' THEN 35 ELSE 45 END AS p FROM listing_obs WHERE part_no % 20 = 0),
+    CASE source WHEN 'oliveyoung' THEN 10 WHEN 'oliveyoung-global' THEN 15 WHEN 'musinsa' THEN 30 WHEN 'official' THEN 20 WHEN 'coupang' THEN 35 ELSE 45 END AS p FROM listing_obs),
 d AS (SELECT DISTINCT * FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY canonical_product_id, source, coalesce(source_product_id, source_url) ORDER BY review_state IS NULL, (source_product_id IS NOT NULL)::int DESC,
     source, source_product_id NULLS FIRST, source_url, price, review_state NULLS FIRST) AS rn FROM d),
@@ -139,8 +139,8 @@ def j12_attach_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH q AS (SELECT DISTINCT p_name AS query, p_brand AS term FROM part WHERE p_size < 6),
-d AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS name, p_type AS category, p_size, p_retailprice, CAST(p_partkey % 4 * 2 AS INTEGER) AS idx FROM part WHERE p_size < 20),
+WITH q AS (SELECT DISTINCT p_name AS query, p_brand AS term FROM part),
+d AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS name, p_type AS category, p_size, p_retailprice, CAST(p_partkey % 4 * 2 AS INTEGER) AS idx FROM part),
 p AS (SELECT q.query, q.term, d.*, {sql_key("q.query")} AS qk, {sql_key("d.name")} AS nk, {sql_key("d.brand")} AS bk, {sql_key("d.category")} AS ck, {sql_key("concat_ws(' ', d.name, d.brand, d.category)")} AS wk, {sql_key("q.term")} AS tk
       FROM q JOIN d ON q.term = d.brand),
 s AS (SELECT *, CASE WHEN contains(nk, qk) THEN 120 ELSE 0 END + CASE WHEN contains(bk, qk) THEN 90 ELSE 0 END + CASE WHEN contains(ck, qk) THEN 45 ELSE 0 END
@@ -199,7 +199,7 @@ def u3_rescue_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH l AS (SELECT p_partkey AS line_id, p_brand AS b, p_name AS n FROM part WHERE p_size < 3),
+WITH l AS (SELECT p_partkey AS line_id, p_brand AS b, p_name AS n FROM part),
 w AS (SELECT line_id, string_split(concat(n, ' ', 'zz', line_id % 10), ' ') AS w FROM l)
 SELECT line_id, w[1] AS brand_query, CASE WHEN len(w) > 2 THEN array_to_string(w[2:-2], ' ') END AS product_query, w[-1] AS shade_name FROM w"""
 )
@@ -211,7 +211,7 @@ def f27_editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH q AS (SELECT DISTINCT concat_ws(' ', p_name, split_part(p_type, ' ', 1)) AS query_id FROM part WHERE p_size < 4),
+WITH q AS (SELECT DISTINCT concat_ws(' ', p_name, split_part(p_type, ' ', 1)) AS query_id FROM part),
 d AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 300 END AS grp, {sql_key("concat_ws(' ', p_name, p_type)", True)} AS t FROM part),
 k AS (SELECT query_id, {sql_key("query_id", True)} AS key, list_distinct(list_transform(regexp_extract_all(query_id, '[0-9A-Za-z가-힣]+'), lambda w: lower(w))) AS toks FROM q),
 h AS (SELECT query_id, p_partkey, grp FROM k JOIN d ON contains(t, key) OR len(list_filter(toks, lambda w: contains(t, w))) = len(toks))
@@ -226,9 +226,9 @@ def j9_search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH q AS (SELECT DISTINCT p_name AS query, p_brand FROM part WHERE p_size < 6),
+WITH q AS (SELECT DISTINCT p_name AS query, p_brand FROM part),
 p AS (SELECT q.query, q.p_brand, d.p_partkey AS id, d.p_size AS quality, {sql_key("concat_ws(' ', d.p_brand, d.p_name, d.p_type)", True)} AS h, {sql_key("q.query", True)} AS key,
-   list_transform(regexp_extract_all(q.query, '[0-9A-Za-z가-힣]+'), lambda w: lower(w)) AS toks FROM q JOIN part d ON q.p_brand = d.p_brand WHERE d.p_size < 20),
+   list_transform(regexp_extract_all(q.query, '[0-9A-Za-z가-힣]+'), lambda w: lower(w)) AS toks FROM q JOIN part d ON q.p_brand = d.p_brand),
 s AS (SELECT *, list_filter(toks, lambda w: length(w) >= 2 AND NOT regexp_matches(w, 'gray|grey|brown|pink|peach')) AS dist, len(list_filter(toks, lambda w: length(w) >= 2 AND contains(h, w))) AS met FROM p),
 g AS (SELECT *, len(list_filter(dist, lambda w: contains(h, w))) AS dm, len(dist) AS n FROM s),
 z AS (SELECT query, p_brand, id, quality, CASE WHEN (n >= 2 AND dm >= greatest(2, n - 1)) OR (n = 1 AND dm = 1) OR n = 0 THEN CASE WHEN contains(h, key) THEN 100 ELSE 0 END + 10 * met ELSE 0 END AS match_score, n >= 2 AS strict FROM g),
