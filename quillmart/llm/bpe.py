@@ -28,7 +28,7 @@ from quillmart.llm.common import TwoAgeCache
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bytes of the young age of a worker's memo of words.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 80 << 20
 
 
 def printable_bytes() -> dict[int, str]:
