@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmart.llm.common import written
+from quillmart.llm.components import splittable
 
 #: Rows of a tile. Blocks with more are cut into tiles, and each pair of tiles is compared in a place of its own.
 TILE = 256
@@ -126,16 +127,22 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[i
     return taken
 
 
+def shared_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` of the blocks that have more than one, with their number ``n_rows``."""
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    return rows.join(splittable(counts, "block"), "block")
+
+
 def _in_places(rows: DataFrame, tile: int | None = None) -> DataFrame:
     """Rows ``(block, node, ...)`` dealt to places, a tile or a pair of tiles of a block each: ``place``, ``low``, ``high`` and ``tile`` are added.
 
-    Blocks of one row are dropped before their rows are moved.
+    ``rows`` of :func:`shared_blocks` have their ``n_rows`` and keep no others.
     """
-    tile, kept = tile or TILE, [c for c in rows.columns if c != "block"]
-    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    rows = rows if "n_rows" in rows.columns else shared_blocks(rows)
+    tile, kept = tile or TILE, [c for c in rows.columns if c not in ("block", "n_rows")]
     tiles = F.ceil(F.col("n_rows") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = rows.join(counts, "block").select("block", *kept, tiles.alias("tiles"), own.alias("own"))
+    dealt = rows.select("block", *kept, tiles.alias("tiles"), own.alias("own"))
     # A row of a block of several tiles goes to each pair of tiles that its own is part of.
     dealt = dealt.select("block", *kept, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -180,7 +187,7 @@ def _codes(t: pa.Table) -> np.ndarray:
 def links_in_blocks(rows: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
     """``(a, b, distance)``: links of rows that share a block and are at most ``radius`` apart.
 
-    ``rows`` has ``block long, node long, code array<long>``. In each tile or pair of tiles the links are a spanning
+    ``rows`` has ``block long, node long, code array<long>``, or ``n_rows`` too. In each tile or pair of tiles the links are a spanning
     forest of least distances: no pair within the radius ends up in different components, and a group of copies gives
     about as many links as rows, not all its pairs. Where a link still has to pass another test, :func:`open_rows` and
     :func:`proven_links` find what the forest left out.
@@ -194,14 +201,14 @@ def links_in_blocks(rows: DataFrame, radius: int, tile: int | None = None) -> Da
         k = forest(len(node), i, j, d)
         return pa.RecordBatch.from_arrays([pa.array(node[i[k]]), pa.array(node[j[k]]), pa.array(d[k].astype(np.int32))], ["a", "b", "distance"])
 
-    placed = _in_places(rows.select("block", "node", "code"), tile)
+    placed = _in_places(rows, tile)
     return written(_by_place(placed, found, "a long, b long, distance int"), "block-links")
 
 
 def open_rows(rows: DataFrame, radius: int, few: int, tile: int | None = None) -> DataFrame:
     """``(place, block, low, high, node, root, tile)`` of rows with a partner of another root in their place.
 
-    ``rows`` has ``block, node, root, size`` as longs and ``code array<long>``. Partners are at most ``radius`` apart or
+    ``rows`` has ``block, node, root, size`` as longs, ``n_rows`` or not, and ``code array<long>``. Partners are at most ``radius`` apart or
     both of at most ``few`` elements; sets that small have fingerprints too uncertain for a radius.
     """
 

@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import written
+from quillmart.llm.common import discard, written
+
+
+def splittable(sums: DataFrame, key: str) -> DataFrame:
+    """Sums by a long ``key``, to be joined to their rows. A sum stays where its key was gathered, and a join there could not
+    be split; as the key is computed anew, the join deals both sides itself, and AQE can divide the rows of a hot key."""
+    return sums.select((F.col(key) + F.lit(0).cast("long")).alias(key), *(c for c in sums.columns if c != key))
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +23,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.where(F.col("b") < F.col("a"))
     least = side.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = splittable(least.select("a", F.least("a", "m").alias("m")), "a")
     moved = side.join(least, "a").where(F.col("b") > F.col("a") if large else F.lit(True)).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
@@ -37,4 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now["n"]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-        current = written(_star(written(_star(current, True), "links"), False), "links")
+        large = written(_star(current, True), "links")
+        small = written(_star(large, False), "links")
+        discard(current, large)
+        current = small
