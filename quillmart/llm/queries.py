@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.llm import bpe, chat, decontaminate, hamming_topk, line_dedup, secret_scan, simhash, token_store, toxicity, warc
-from quillmart.llm.common import fresh_path, table
+from quillmart.llm.common import table, written
+from quillmart.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +52,7 @@ def op7_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat.digest(chat.examples(turns.unionByName(probe)))
+    return chat.digest(written(chat.examples(turns.unionByName(probe)), "chat-examples"))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
