@@ -14,8 +14,9 @@ from quillmart.llm.common import discard, written
 
 def splittable(sums: DataFrame, key: str) -> DataFrame:
     """Sums by a long ``key``, to be joined to their rows. A sum stays where its key was gathered, and a join there could not
-    be split; as the key is computed anew, the join deals both sides itself, and AQE can divide the rows of a hot key."""
-    return sums.select((F.col(key) + F.lit(0).cast("long")).alias(key), *(c for c in sums.columns if c != key))
+    be split; as the key is computed anew, the join deals both sides itself, and AQE can divide the rows of a hot key.
+    (The optimizer sees through ``key + 0``, not through two negations.)"""
+    return sums.select(F.bitwise_not(F.bitwise_not(F.col(key))).alias(key), *(c for c in sums.columns if c != key))
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
