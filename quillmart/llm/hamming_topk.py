@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from quillmart.llm.common import written
 
 
+#: Bits of a segment at most: so many bits' values may become probes of a query.
+WIDEST = 16
+
+
 def sign_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id, code)``: bit ``i`` of a long is set where component ``i`` is positive; at most 64 components.
 
@@ -43,6 +47,12 @@ def _piece(code: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
 
 
+def _masks(width: int, radius: int) -> Column:
+    """All values of so many bits with at most ``radius`` ones: a constant that Spark folds once, not for each query."""
+    found = (m for m in range(1 << width) if m.bit_count() <= radius)
+    return F.split(F.lit(",".join(map(str, found))), ",").cast("array<int>")
+
+
 def _growth(cuts: list[tuple[int, int]]) -> Iterator[list[int]]:
     """Radii of the rounds: all 0, then one more for the first half of the segments, then for the others, and so on."""
     half = (len(cuts) + 1) // 2
@@ -58,13 +68,14 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segm
     """``(query_id, rank, id, distance)``: the ``k`` rows of ``base (id, code)`` nearest to each row of ``queries (id, code)``.
 
     Exact; ties go to the smaller id; a query that is itself in ``base`` finds itself. With fewer than ``k`` rows in
-    the base all of them are returned, with none no rows. Repeated ids in ``queries`` get their result each. Segments
-    of about as many bits as the number of codes has make the shortest work.
+    the base all of them are returned, with none no rows. Repeated ids in ``queries`` get their result each. Any number
+    of segments gives the same result; fewer and wider ones meet fewer codes and take more probes, which is shorter for
+    very many codes. Segments have WIDEST bits at most.
     """
-    cuts = _cuts(bits, segments)
     first = Window.partitionBy("code").orderBy("id")
     entries = written(base.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k), "codes")
     by_code = entries.groupBy("code").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    cuts = _cuts(bits, min(max(segments, -(-bits // WIDEST)), bits))
     pieces = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), _piece(F.col("code"), *cut).alias("value")) for s, cut in enumerate(cuts))))
     index = written(by_code.select("code", "first_id", "n", pieces.alias("p")).select("p.*", "code", "first_id", "n"), "code-index")
     enough = entries.limit(k).count()
@@ -77,10 +88,11 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, segm
         covered = sum(radii) + len(radii) - 1
 
         def values(s: int, cut: tuple[int, int], r: int) -> Column:
-            masks = F.filter(F.sequence(F.lit(0), F.lit((1 << cut[1]) - 1)), lambda m: F.bit_count(m) <= r)
-            return F.transform(masks, lambda m: F.struct(F.lit(s).alias("seg"), F.col("own")[s].bitwiseXOR(m).alias("value")))
+            return F.transform(_masks(cut[1], r), lambda m: F.struct(F.lit(s).alias("seg"), F.col("own")[s].bitwiseXOR(m).alias("value")))
 
-        asked = active.select("qcode", F.array(*(_piece(F.col("qcode"), *cut) for cut in cuts)).alias("own"))
+        # Few queries make many probes: they are dealt out before, or the task of one small file would make them all.
+        spread = active.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qcode")
+        asked = spread.select("qcode", F.array(*(_piece(F.col("qcode"), *cut) for cut in cuts)).alias("own"))
         probes = asked.select("qcode", F.explode(F.concat(*(values(s, cut, r) for s, (cut, r) in enumerate(zip(cuts, radii))))).alias("p")).select("qcode", "p.*")
         # A code that several segments meet is taken at the first of them.
         once = F.lit(True)
