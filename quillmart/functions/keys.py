@@ -74,6 +74,18 @@ def document_id(source: Column, product_id: Column, brand: Column, name: Column,
     )
 
 
+def catalog_key(source: Column, product_id: Column, url: Column, canonical: Column, brand: Column, name: Column) -> Column:
+    """Rows of a catalog file."""
+    known = F.concat_ws(":", *(F.nullif(c, F.lit("")) for c in (source, canonical, brand, name)))
+    return F.when(_filled(product_id), F.concat(source, F.lit(":"), product_id)).when(_filled(url), F.concat(source, F.lit(":"), url)).otherwise(known)
+
+
+def target_key(field: Column, canonical: Column, source: Column, product_id: Column, display: Column) -> Column:
+    """Enrichment targets; one for all sources where the English name of a canonical product is wanted."""
+    of_product = F.when(field == "product_name_en", F.concat_ws(":", field, canonical)).otherwise(F.concat_ws(":", field, canonical, source))
+    return F.when(_filled(canonical), of_product).otherwise(F.concat(field, F.lit(":"), F.concat_ws(":", *(F.nullif(c, F.lit("")) for c in (source, product_id, display)))))
+
+
 def product_merge_key(canonical: Column, brand_en: Column, brand_ko: Column, name: Column) -> Column:
     """Products that are one; null for those that are never merged."""
     brand = F.coalesce(F.nullif(service_key(brand_en), F.lit("")), service_key(brand_ko))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -188,6 +189,16 @@ def service_key(c: Column) -> Column:
     return _replaced(search_key(c), SERVICE_REPLACEMENTS)
 
 
+def service_key_of(word: str) -> str:
+    """K2 of a fixed word, computed once on the driver instead of in each row."""
+
+    def replaced(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
+        return reduce(lambda t, p: t.replace(*p), pairs, text)
+
+    key = re.sub(r"[\s\-_./|+&'():\[\],]+", "", replaced(" ".join(word.split()).lower().replace("ß", "ss"), TEXT_REPLACEMENTS))
+    return replaced(key, SERVICE_REPLACEMENTS)
+
+
 def brand_key(c: Column) -> Column:
     """K3: cleaned text without blanks, hyphens, low lines, stops and slashes, folded."""
     return casefold(F.regexp_replace(F.coalesce(clean_text(c), F.lit("")), r"(?U)[\s\-_./]+", ""))
@@ -343,3 +354,30 @@ def without_brand(query: Column, alias: Column) -> Column:
     place = F.instr(casefold(query), casefold(alias))
     rest = F.concat(F.substring(query, F.lit(1), place - 1), F.lit(" "), F.substring(query, place + F.length(alias), F.length(query)))
     return F.coalesce(clean_text(F.when((F.coalesce(alias, F.lit("")) == "") | (place == 0), query).otherwise(rest)), F.lit(""))
+
+
+# Patterns of a product id in a URL and in a click handler, of shade mentions, and words that mark an option's
+# text as no shade.
+PRODUCT_ID_URL = r"goodsNo=([A-Z0-9]+)"
+PRODUCT_ID_HANDLER = r"moveGoodsDetail\(['\"]([A-Z0-9]+)['\"]"
+SHADE = (
+    r"(?:#?\d{1,3}\s*(?:호|번|\.|-)?\s*[가-힣A-Za-z0-9][^,\n/|]{0,36}|"
+    r"[가-힣A-Za-z0-9]+\s*(?:핑크|레드|코랄|베이지|브라운|누드|로즈|오렌지|라벤더|아이보리|블랙|화이트|그레이))"
+)
+OPTION_NOISE = ("상품을 선택", "품절", "선택", "옵션", "구매불가", "재입고", "장바구니", "바로구매")
+
+
+def product_id_in(c: Column) -> Column:
+    """A product id from a URL or a click handler, null without one."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in (PRODUCT_ID_URL, PRODUCT_ID_HANDLER)))
+
+
+def shade_mentions(options: Column, most: int = 12) -> Column:
+    """The shades that option texts mention, each once, the first ``most`` joined by commas; null without any."""
+
+    def noise(t: Column) -> Column:
+        return F.exists(F.array(*map(F.lit, OPTION_NOISE)), lambda w: F.contains(t, w))
+
+    plain = F.filter(F.transform(options, clean_text), lambda t: t.isNotNull() & ~noise(t))
+    found = F.flatten(F.transform(plain, lambda t: F.transform(F.regexp_extract_all(t, F.lit(SHADE), F.lit(0)), clean_text)))
+    return F.nullif(F.array_join(F.slice(dedupe_texts(F.filter(found, lambda t: ~noise(t))), 1, most), ", "), F.lit(""))

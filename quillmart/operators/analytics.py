@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmart.functions.text import clean_text, search_key
+from quillmart.functions.text import clean_text, search_key, source_from_url
 
 
 def gap_threshold(limit: int) -> int:
@@ -84,3 +84,22 @@ def check_expectations(expected: DataFrame, results: DataFrame) -> DataFrame:
 def ingestion_summary(jobs: DataFrame) -> DataFrame:
     """Queries, products, stored and failed of a run, by run."""
     return jobs.groupBy("run").agg(F.count(F.lit(1)).alias("queries"), F.sum("product_count").alias("products"), F.sum("stored_count").alias("stored"), F.count_if(F.col("error").isNotNull()).alias("failures"))
+
+
+def catalog_stats(items: DataFrame) -> DataFrame:
+    """``(measure, n)``: rows of a catalog, those with a canonical id and with an English name, and rows of each source.
+
+    ``items`` has ``source, source_url, canonical_product_id, product_name_en`` and the array ``offer_sources``. A row counts
+    once for its source (the part before the colon; where it has none, the source its URL belongs to) and for each
+    source of its offers. One pass, aggregated in each task. An empty catalog has the three totals, all 0.
+    """
+    family = lambda c: F.nullif(F.substring_index(c, ":", 1), F.lit(""))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    own = F.coalesce(F.when(filled("source"), family(F.col("source"))), F.when(~filled("source"), source_from_url(F.col("source_url"))))
+    offered = F.transform(F.coalesce("offer_sources", F.array().cast("array<string>")), family)
+    sources = F.array_compact(F.array_distinct(F.concat(F.array(own), offered)))
+    totals = F.array(F.lit("total"), F.when(filled("canonical_product_id"), "canonical_product_id"), F.when(filled("product_name_en"), "product_name_en"))
+    measures = F.concat(F.array_compact(totals), F.transform(sources, lambda s: F.concat(F.lit("source:"), s)))
+    counts = items.select(F.explode(measures).alias("measure")).groupBy("measure").agg(F.count(F.lit(1)).alias("n"))
+    always = items.sparkSession.createDataFrame([("total",), ("canonical_product_id",), ("product_name_en",)], "measure string")
+    return always.join(counts, "measure", "full").select("measure", F.coalesce("n", F.lit(0)).alias("n"))

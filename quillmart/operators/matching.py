@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions.keys import DEFAULT_PRIORITY
-from quillmart.functions.text import clean_text, let, service_key
+from quillmart.functions.text import clean_text, let, service_key, service_key_of
 
 #: Words that name a category, words that name a colour, and single words that ask for discovery.
 CATEGORY_WORDS = (
@@ -40,7 +40,7 @@ def token_classes(query: Column) -> Column:
     neither category, number nor colour; ``compact`` the query without colours and counters; ``strict`` says whether a
     result must be relevant: two distinctive tokens, or one (or a colour) with a category.
     """
-    categories = F.array(*(service_key(F.lit(w)) for w in CATEGORY_WORDS))
+    categories = F.array(*(F.lit(service_key_of(w)) for w in CATEGORY_WORDS))
 
     def classify(x: Column) -> Column:
         category = F.filter(x["categories"], lambda w: F.contains(x["key"], w))
@@ -123,10 +123,10 @@ def search_catalog(queries: DataFrame, catalog: DataFrame, text_col: str, key_co
     docs = catalog.select(F.col(key_col).alias("doc"), F.col(group_col).alias("group"), service_key(F.col(text_col)).alias("search_text"))
     tokens = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.transform(_words(F.col("query")), lambda w: service_key(w)), lambda t: t != ""))).alias("token"))
     words = tokens.select(F.col("token").alias("query_id"), F.col("token").alias("query")).distinct()
-    by_token = search_substring(words, docs, 2**31 - 1, "doc").select(F.col("query_id").alias("token"), "doc")
+    by_token = search_substring(words, docs, 2**31 - 1, "doc", key=lambda k: k).select(F.col("query_id").alias("token"), "doc")
     need = tokens.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     every = tokens.join(by_token, "token").groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("met")).join(need, "query_id").where(F.col("met") == F.col("n"))
-    whole = search_substring(queries.select("query_id", "query"), docs, 2**31 - 1, "doc")
+    whole = search_substring(queries.select("query_id", "query"), docs, 2**31 - 1, "doc", key=service_key)
     hits = every.select("query_id", "doc").unionByName(whole.select("query_id", "doc")).distinct()
     groups = hits.join(docs.select("doc", "group"), "doc").where(F.col("group").isNotNull()).select("query_id", "group").distinct()
     mates = groups.join(docs.where(F.col("group").isNotNull()).select("doc", "group"), "group").select("query_id", "doc")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.keys import source_allowed
 from quillmart.functions.text import casefold, clean_text, search_key, service_key
+from quillmart.operators.containment import join_inside
 
 
 def brand_filter(needle: str, official: str | None = None) -> Column:
@@ -117,11 +118,13 @@ def rescue_queries(expanded: DataFrame, done: DataFrame, limit: int) -> DataFram
 def expand_terms(queries: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     """``(query_id, no, term)`` of entries whose key is in the query's key or holds it, without the query itself.
 
-    ``entries`` has ``entry, terms array, position``, a dimension that Spark joins by its own size rule.
+    ``entries`` has ``entry, terms array, position``. Keys meet by equi-joins on the substrings of the longer one.
     """
     own = queries.select("query_id", search_key(F.col("query")).alias("qkey")).where(F.col("qkey") != "")
     keyed = entries.select(search_key(F.col("entry")).alias("ekey"), "terms", "position").where(F.col("ekey") != "")
-    met = own.join(keyed, F.contains("qkey", "ekey") | F.contains("ekey", "qkey"))
+    asked, known = own.select("qkey").distinct(), keyed.select("ekey").distinct()
+    pairs = join_inside(asked, "qkey", known, "ekey").unionByName(join_inside(known, "ekey", asked, "qkey").select("qkey", "ekey")).distinct()
+    met = own.join(pairs, "qkey").join(keyed, "ekey")
     rows = met.select("query_id", "qkey", "position", F.posexplode("terms").alias("at", "term")).withColumn("tkey", search_key(F.col("term")))
     once = rows.where((F.col("tkey") != "") & (F.col("tkey") != F.col("qkey"))).groupBy("query_id", "tkey").agg(F.min_by("term", F.struct("position", "at")).alias("term"), F.min(F.struct("position", "at")).alias("place"))
     order = Window.partitionBy("query_id").orderBy("place", "tkey")

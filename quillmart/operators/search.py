@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmart.functions.text import dedupe_texts, query_terms, search_key, tokens
+from quillmart.operators.containment import join_inside
 from quillmart.shared import stored
 
 #: BM25 parameters, and the least inverse document frequency.
@@ -70,13 +72,14 @@ def _grams(key: Column) -> Column:
     return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(key, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
-def search_substring(queries: DataFrame, documents: DataFrame, k: int, key_col: str, search_text: str = "search_text", order: tuple[str, ...] = ()) -> DataFrame:
+def search_substring(queries: DataFrame, documents: DataFrame, k: int, key_col: str, search_text: str = "search_text", order: tuple[str, ...] = (), key: Callable[[Column], Column] = search_key) -> DataFrame:
     """``(query_id, doc, rank)`` of documents whose search text holds the query's key, the greatest ``order`` and key first.
 
     A query is looked up by its rarest three-character gram, then verified; keys of fewer characters are looked up by
     themselves among the one- and two-character pieces of the texts. No document meets a query it shares nothing with.
+    ``key`` is the key that the search texts are of.
     """
-    keyed = queries.select("query_id", search_key(F.col("query")).alias("qkey")).where(F.col("qkey") != "")
+    keyed = queries.select("query_id", key(F.col("query")).alias("qkey")).where(F.col("qkey") != "")
     docs = documents.select(F.col(key_col).alias("doc"), F.col(search_text).alias("text"), *order)
     long = keyed.where(F.length("qkey") >= GRAM)
     asked = long.select("query_id", "qkey", F.explode(_grams(F.col("qkey"))).alias("gram"))
@@ -106,18 +109,21 @@ def search_tiers(mapped: DataFrame, fallbacks: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc", F.col("place.tier").alias("tier"), "rank")
 
 
-def expand_aliases(queries: DataFrame, aliases: DataFrame, officials: int = 8, each: int = 8) -> DataFrame:
+def expand_aliases(queries: DataFrame, aliases: DataFrame, officials: int = 8, each: int = 8, wide: bool = False) -> DataFrame:
     """``(query_id, candidate, query)``: a query itself (0), then the aliases of the brands it touches, each text once.
 
     A brand is touched where the query's key equals, begins, is begun by or is in the key of one of its aliases; brands
     with the shortest such alias first, at most ``officials``; of each its aliases, those in Hangul first, then shorter
-    ones, at most ``each``. ``aliases`` (``alias_key, alias, official_en``) is a dimension and is broadcast only by
-    Spark's own size rule.
+    ones, at most ``each``. The ``wide`` form also takes aliases inside the query's key, and brands with the longest alias
+    first. Keys meet aliases by equi-joins on their beginnings and substrings; ``aliases`` has ``alias_key, alias,
+    official_en``.
     """
     own = queries.select("query_id", "query", search_key(F.col("query")).alias("qkey"))
-    touches = F.contains("alias_key", "qkey") | F.startswith("qkey", "alias_key")
-    met = own.where(F.length("qkey") >= 2).join(aliases.select("alias_key", "official_en").where(F.col("alias_key") != ""), touches)
-    near = met.groupBy("query_id", "official_en").agg(F.min(F.length("alias_key")).alias("size"))
+    keys = own.where(F.length("qkey") >= 2).select("qkey").distinct()
+    named = aliases.select("alias_key", "official_en").where(F.col("alias_key") != "").distinct()
+    met = join_inside(keys, "qkey", named, "alias_key", start=not wide).unionByName(join_inside(named, "alias_key", keys, "qkey")).select("qkey", "alias_key", "official_en")
+    size = F.max(F.length("alias_key")) if wide else F.min(F.length("alias_key"))
+    near = own.select("query_id", "qkey").join(met.groupBy("qkey", "official_en").agg((-size if wide else size).alias("size")), "qkey")
     by_query = Window.partitionBy("query_id").orderBy("size", "official_en")
     near = near.withColumn("brand_no", F.row_number().over(by_query)).where(F.col("brand_no") <= officials)
     latin = F.when(F.col("alias").rlike("[가-힣]"), 0).otherwise(1)
