@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, pages, conversations and embeddings.
+"""Training-data operators: thirteen Spark jobs over documents, pages, conversations and embeddings.
 
 Nothing else in the package imports this subpackage.
 """

@@ -1,4 +1,4 @@
-"""The registered queries ``opN_<name>`` of the ten operators, each over its whole table, and their SQL where there is any."""
+"""The registered queries ``opN_<name>`` of the thirteen operators, each over its whole table, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmart.llm import bpe, chat, decontaminate, hamming_topk, line_dedup, secret_scan, simhash, token_store, toxicity, warc
+from quillmart.llm import bpe, chat, decontaminate, fim, hamming_topk, line_dedup, periodic_runs, quality, secret_scan, simhash, token_store, toxicity, warc
 from quillmart.llm.common import table, written
 from quillmart.shared import fresh_path
 
@@ -68,6 +68,22 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.examples(table(spark, sf_dir, "documents"), seed=1))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.collapse(table(spark, sf_dir, "documents"), loops=True))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, model)
+    predicted = (F.col("quality_score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,6 +97,9 @@ QUERIES: dict[str, Query] = {
         op8_bpe_round_trip,
         op9_secret_scan,
         op10_simhash_near_duplicates,
+        op11_fill_in_middle,
+        op12_periodic_runs,
+        op13_quality,
     )
 }
 
@@ -89,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_warc_archive": warc.ORACLE_SQL,
     "op7_chat_examples": chat.ORACLE_SQL,
+    "op11_fill_in_middle": fim.ORACLE_SQL,
 }
