@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmart.functions.names import brand_names, display_name, translated_type
 from quillmart.functions.text import absolute_url, brand_key, clean_text, has_hangul, has_latin, let
+from quillmart.operators.containment import join_inside
 from quillmart.operators.merge import missing_fields, quality_score
 
+#: Words that shops write in place of a brand.
+BRAND_NOISE = ("(NEW", "NEW", "뿌리는")
 #: Columns that the re-normalization job compares.
 NORMALIZED_COLUMNS = ("source_brand_name", "source_brand_name_en", "product_name_en", "product_name_display_ko", "product_name_display_en", "source_url", "image_url", "currency")
 #: Aliases up to which containment is tested against one constant array in each row.
@@ -29,79 +33,147 @@ def alias_table(registry: DataFrame) -> DataFrame:
     return once.select("alias_key", "r.*")
 
 
-def resolve_brand(df: DataFrame, aliases: DataFrame, brand_col: str, text_cols: Sequence[str] = (), out: str = "brand_en") -> DataFrame:
-    """The official brand: by the key of the brand, else by the longest alias inside one of the texts, else the
-    brand itself where it is Latin without Hangul, else null.
+def _literals(aliases: DataFrame) -> Column | None:
+    """All aliases as one constant array, the longest first; None where there are more than ALIAS_LITERALS."""
+    few = aliases.select("alias_key", "alias", "official_en", "position").limit(ALIAS_LITERALS + 1).collect()
+    if len(few) > ALIAS_LITERALS:
+        return None
+    few.sort(key=lambda r: (-len(r["alias_key"]), r["position"], r["alias_key"]))
+    rows = [F.struct(*(F.lit(r[c]).alias(n) for c, n in (("alias_key", "key"), ("official_en", "official_en"), ("alias", "alias")))) for r in few]
+    return F.array(*rows) if rows else F.array().cast("array<struct<key:string,official_en:string,alias:string>>")
 
-    The alias table is a dimension. Up to ALIAS_LITERALS aliases, whose number is counted first, become one constant
-    array that each row is tested against; beyond that, aliases are found by equi-joins on the key's substrings of the
-    lengths that aliases have.
-    """
-    exact = aliases.select(F.col("alias_key").alias("__bk"), F.col("official_en").alias("__exact"))
-    keyed = df.withColumn("__bk", brand_key(F.col(brand_col))).join(exact, "__bk", "left")
-    found = F.lit(None).cast("string")
-    if text_cols:
-        few = aliases.select("alias_key", "official_en", "position").limit(ALIAS_LITERALS + 1).collect()
-        if len(few) <= ALIAS_LITERALS:
-            few.sort(key=lambda r: (-len(r["alias_key"]), r["position"], r["alias_key"]))
-            table = F.array(*(F.struct(F.lit(r["alias_key"]).alias("key"), F.lit(r["official_en"]).alias("official")) for r in few)) if few else None
-            for c in reversed(text_cols):
-                if table is not None:
-                    hit = let(brand_key(F.col(c)), lambda k: F.try_element_at(F.filter(table, lambda a: F.contains(k, a["key"])), F.lit(1))["official"])
-                    found = F.coalesce(hit, found)
-        else:
-            keyed = _by_substrings(keyed, aliases, text_cols)
-            found = F.col("__mention")
-    latin = F.when(has_latin(F.col(brand_col)) & ~has_hangul(F.col(brand_col)), clean_text(F.col(brand_col)))
-    return keyed.withColumn(out, F.coalesce("__exact", found, latin)).drop("__bk", "__exact", "__mention")
 
+def _spoken(text: Column) -> Column:
+    """Keys of a text's words and of the whole text, for aliases of which some syllables are written as initials."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣ]+"), F.lit(0))
+    keys = F.transform(F.concat(words, F.array(F.coalesce(text, F.lit("")))), lambda w: brand_key(w))
+    return F.array_distinct(F.filter(keys, lambda w: (F.length(w) >= 2) & w.rlike(f"[{INITIALS}]")))
 
-def _by_substrings(df: DataFrame, aliases: DataFrame, text_cols: Sequence[str]) -> DataFrame:
-    """``__mention``: the official brand of the longest alias in the first text that has one, for alias tables of any size."""
-    sizes = [r[0] for r in aliases.select(F.length("alias_key").alias("n")).distinct().collect()]  # some dozens of lengths
-    texts = F.array(*(brand_key(F.col(c)) for c in text_cols))
-    rows = df.withColumn("__row", F.xxhash64(*(F.col(c) for c in text_cols)))
 
-    def pieces(k: Column) -> Column:
-        return F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.length(k) >= n, F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substring(k, i, n))).otherwise(F.array().cast("array<string>"))))
+def _letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _spells(word: Column, alias_key: Column) -> Column:
+    """Whether each character of a word is the alias's, or its initial."""
+    agree = F.zip_with(_letters(word), _letters(alias_key), lambda a, b: (a == b) | (F.contains(F.lit(INITIALS), a) & (a == hangul_initials(b))))
+    return (F.length(word) == F.length(alias_key)) & F.forall(agree, lambda x: x)
+
 
-    pool = rows.select("__row", F.posexplode(texts).alias("no", "text")).distinct()
-    cut = pool.select("__row", "no", F.explode(F.array_distinct(pieces(F.col("text")))).alias("alias_key"))
-    met = cut.join(aliases.select("alias_key", "official_en", "position"), "alias_key")
-    best = met.groupBy("__row").agg(F.min_by("official_en", F.struct("no", -F.length("alias_key"), "position", "alias_key")).alias("__mention"))
+def match_brand(df: DataFrame, aliases: DataFrame, text_cols: Sequence[str], out: str = "brand_match") -> DataFrame:
+    """``out``, a struct ``(official_en, alias)``: for the first text that has any, the longest alias inside it (by
+    keys, then the registry's order), else the longest Hangul alias that a word of it spells with initials (F24).
+
+    The alias table is a dimension. Up to ALIAS_LITERALS aliases, whose number is counted first, become one constant
+    array that each row is tested against; beyond that, aliases are found by equi-joins on the key's substrings of the
+    lengths that aliases have, and on the initials of words.
+    """
+    table = _literals(aliases)
+    if table is None:
+        return _by_substrings(df, aliases, text_cols, out)
+    hangul = F.filter(table, lambda a: has_hangul(a["alias"]) & (F.length(a["key"]) >= 2))
+    found = F.lit(None).cast("struct<official_en:string,alias:string>")
+    for c in reversed(text_cols):
+        inside = let(brand_key(F.col(c)), lambda k: F.try_element_at(F.filter(table, lambda a: F.contains(k, a["key"])), F.lit(1)))
+        spelled = let(_spoken(F.col(c)), lambda ws: F.try_element_at(F.filter(hangul, lambda a: F.exists(ws, lambda w: _spells(w, a["key"]))), F.lit(1)))
+        hit = F.coalesce(inside, F.when(F.col(c).rlike(f"[{INITIALS}]"), spelled))
+        found = F.coalesce(let(hit, lambda h: F.when(h.isNotNull(), F.struct(h["official_en"].alias("official_en"), h["alias"].alias("alias")))), found)
+    return df.withColumn(out, found)
+
+
+def _by_substrings(df: DataFrame, aliases: DataFrame, text_cols: Sequence[str], out: str) -> DataFrame:
+    """:func:`match_brand` for alias tables of any size."""
+    rows = df.withColumn("__row", F.xxhash64(*(F.col(c) for c in text_cols)))
+    texts = F.array(*(F.struct(brand_key(F.col(c)).alias("k"), F.col(c).alias("t")) for c in text_cols))
+    pool = rows.select("__row", F.posexplode(texts).alias("no", "x")).select("__row", "no", F.col("x.k").alias("k"), F.col("x.t").alias("t")).distinct()
+    table = aliases.select("alias_key", F.struct("official_en", "alias").alias("named"), "position")
+    inside = join_inside(pool, "k", table, "alias_key").withColumn("loose", F.lit(0))
+    words = pool.where(F.col("t").rlike(f"[{INITIALS}]")).withColumn("word", F.explode(_spoken(F.col("t")))).withColumn("initials", hangul_initials(F.col("word")))
+    hangul = aliases.where(has_hangul(F.col("alias")) & (F.length("alias_key") >= 2)).select("alias_key", F.struct("official_en", "alias").alias("named"), "position", hangul_initials(F.col("alias_key")).alias("initials"))
+    spelled = words.join(hangul, "initials").where(_spells(F.col("word"), F.col("alias_key"))).withColumn("loose", F.lit(1))
+    columns = ("__row", "no", "loose", "alias_key", "position", "named")
+    met = inside.select(*columns).unionByName(spelled.select(*columns))
+    best = met.groupBy("__row").agg(F.min_by("named", F.struct("no", "loose", -F.length("alias_key"), "position", "alias_key")).alias(out))
     return rows.join(best, "__row", "left").drop("__row")
 
 
-def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str) -> DataFrame:
-    """Products of records. Original price: original, else regular, where 0 counts as missing; display price:
-    the sale price where there is one, 0 too. Every record with a URL has one offer.
+def resolve_brand(df: DataFrame, aliases: DataFrame, brand_col: str, text_cols: Sequence[str] = (), out: str = "brand_en", external: DataFrame | None = None, keep_match: str | None = None) -> DataFrame:
+    """The official brand: by the key of the brand, else by :func:`match_brand` in the texts, else by ``external``,
+    else the brand itself where it is Latin without Hangul, else null.
 
-    Display names are taken as the source curates them, else the cleaned name.
+    ``external`` (X1) is a second alias table, asked in the same way, for brands that are missing, Hangul or not Latin;
+    an official name without Latin letters counts as none. ``keep_match`` names a column for what :func:`match_brand` found.
+    """
+    brand = F.col(brand_col)
+    latin = F.coalesce(has_latin(brand) & ~has_hangul(brand), F.lit(False))
+
+    def asked(df: DataFrame, table: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        exact = table.select(F.col("alias_key").alias("__bk"), F.col("official_en").alias(f"__exact{name}"))
+        keyed = df.withColumn("__bk", brand_key(brand)).join(exact, "__bk", "left").drop("__bk")
+        if not text_cols:
+            return keyed, F.col(f"__exact{name}")
+        return match_brand(keyed, table, text_cols, f"__match{name}"), F.coalesce(f"__exact{name}", F.col(f"__match{name}.official_en"))
+
+    named, found = asked(df, aliases, "1")
+    if keep_match:
+        named = named.withColumn(keep_match, F.col("__match1"))
+    if external is not None:
+        named, other = asked(named, external, "2")
+        found = F.coalesce(found, F.when(~latin & has_latin(other), clean_text(other)))
+    return named.withColumn(out, F.coalesce(found, F.when(latin, clean_text(brand)))).drop("__exact1", "__match1", "__exact2", "__match2")
+
+
+def registered_names(aliases: DataFrame) -> DataFrame:
+    """``(alias_key, names)``: for every alias, all names of its brand, Hangul ones first, then in the registry's order."""
+    at = F.struct(F.when(has_hangul(F.col("alias")), 0).otherwise(1).alias("script"), "position", "alias")
+    names = aliases.groupBy("official_en").agg(F.transform(F.sort_array(F.collect_list(at)), lambda a: a["alias"]).alias("names"))
+    return aliases.select("alias_key", "official_en").join(names, "official_en").select("alias_key", "names")
+
+
+def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str, external: DataFrame | None = None) -> DataFrame:
+    """Products of records. Original price: original, else regular, where 0 counts as missing; display
+    price: the sale price where there is one, 0 too. Every record with a URL has one offer.
+
+    Display names are the source's own where it gives any, else the cleaned names; an English display name that is still
+    missing is the Korean one with its type translated, if no Hangul is left. Columns ``options``, ``search_keywords`` and
+    ``discount_rate`` are carried over where the frame has them.
     """
-    named = resolve_brand(df, aliases, "source_brand_name", ["product_name_ko"], "__resolved")
     c = F.col
+    named = resolve_brand(df, aliases, "source_brand_name", ["product_name_ko"], "__resolved", external, keep_match="__found")
+    named = named.withColumns({
+        "__ko": brand_ko(c("source_brand_name"), c("__found.alias"), BRAND_NOISE),
+        "__en": F.coalesce(clean_text(c("source_brand_name_en")), c("__resolved")),
+    }).withColumn("__key", brand_key(c("__en")))
+    named = named.join(registered_names(aliases).select(c("alias_key").alias("__key"), c("names").alias("__names")), "__key", "left")
     name_ko = clean_text(c("product_name_ko"))
     name_en = F.coalesce(clean_text(c("product_name_en")), F.when(has_latin(name_ko) & ~has_hangul(name_ko), name_ko))
+    brands = brand_names([c("__ko"), c("__en"), c("source_brand_name"), c("source_brand_name_en")], c("__names"))
+    named = named.withColumns({"__brands": brands, "__variants": F.array("shade")})
+    display_ko = F.coalesce(clean_text(c("product_name_display_ko")), display_name(name_ko, c("__brands"), c("__variants")))
+    display_en = F.coalesce(clean_text(c("product_name_display_en")), display_name(name_en, c("__brands"), c("__variants")), translated_type(c("__display_ko")))
     original = F.coalesce(F.nullif(c("original_price"), F.lit(0.0)), c("regular_price"))
     price = F.coalesce(c("sale_price"), original)
-    made = named.select(
+    lists = [_cleaned(c(n)).alias(n) for n in ("options", "search_keywords") if n in df.columns]
+    made = named.withColumn("__display_ko", display_ko).select(
         clean_text(c("canonical_product_id")).alias("canonical_product_id"),
-        F.when(has_hangul(c("source_brand_name")), clean_text(c("source_brand_name"))).alias("brand_ko"),
-        F.coalesce(clean_text(c("source_brand_name_en")), c("__resolved")).alias("brand_en"),
+        c("__ko").alias("brand_ko"),
+        c("__en").alias("brand_en"),
         name_ko.alias("product_name_ko"),
         name_en.alias("product_name_en"),
-        F.coalesce(clean_text(c("product_name_display_ko")), name_ko).alias("product_name_display_ko"),
-        F.coalesce(clean_text(c("product_name_display_en")), name_en).alias("product_name_display_en"),
+        c("__display_ko").alias("product_name_display_ko"),
+        display_en.alias("product_name_display_en"),
         clean_text(c("category")).alias("category"),
         price.alias("price"),
         original.alias("original_price"),
         c("sale_price"),
+        *(c(n) for n in ("discount_rate",) if n in df.columns),
         c("rating"),
         c("review_count"),
         F.coalesce(clean_text(c("currency")), F.lit("KRW")).alias("currency"),
         clean_text(c("shade")).alias("shade"),
         absolute_url(c("image_url"), base_url).alias("image_url"),
         clean_text(c("description")).alias("description"),
+        *lists,
         c("sold_out"),
         absolute_url(c("source_url"), base_url).alias("source_url"),
         clean_text(c("source_product_id")).alias("source_product_id"),
@@ -117,6 +189,11 @@ def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str) -> DataF
     })
 
 
+def _cleaned(texts: Column) -> Column:
+    """The clean texts of a list; null where none is left."""
+    return let(F.filter(F.transform(texts, clean_text), lambda t: t.isNotNull()), lambda a: F.when(F.size(a) > 0, a))
+
+
 F_OFFERS = "array<struct<source:string,source_product_id:string,source_url:string,price:double,original_price:double,sale_price:double,currency:string,image_url:string,sold_out:boolean,updated_at:string>>"
 
 #: Fields that the detail page decides if it has them.
@@ -184,15 +261,11 @@ def initials_match(df: DataFrame, aliases: DataFrame, key_col: str, text_col: st
     Word and alias have the same length, and each character is equal or the alias's initial. Both sides meet in an
     equi-join on their initials; the characters verify. Of several aliases the longest, then the first in the registry.
     """
-    words = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit("[0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣ]+"), F.lit(0))
-    spoken = df.select(F.col(key_col).alias("key"), F.explode(F.array_distinct(F.transform(F.concat(words, F.array(brand_key(F.col(text_col)))), lambda w: brand_key(w)))).alias("word"))
-    spoken = spoken.where((F.length("word") >= 2) & F.col("word").rlike(f"[{INITIALS}]")).withColumn("initials", hangul_initials(F.col("word")))
+    spoken = df.select(F.col(key_col).alias("key"), F.explode(_spoken(F.col(text_col))).alias("word")).withColumn("initials", hangul_initials(F.col("word")))
     named = aliases.where(has_hangul(F.col("alias")) & (F.length("alias_key") >= 2)).select("alias_key", "alias", "official_en", "position", hangul_initials(F.col("alias_key")).alias("initials"))
-    met = spoken.join(named, "initials")
-    letters = lambda n: F.filter(F.split(F.col(n), ""), lambda x: x != "")
-    agree = F.zip_with(letters("word"), letters("alias_key"), lambda a, b: (a == b) | (F.contains(F.lit(INITIALS), a) & (a == hangul_initials(b))))
+    met = spoken.join(named, "initials").where(_spells(F.col("word"), F.col("alias_key")))
     best = F.struct(-F.length("alias_key"), "position", "alias_key")
-    return met.where(F.forall(agree, lambda x: x)).groupBy("key").agg(F.min_by(F.struct("official_en", "alias"), best).alias("r")).select("key", "r.*")
+    return met.groupBy("key").agg(F.min_by(F.struct("official_en", "alias"), best).alias("r")).select("key", "r.*")
 
 
 def brand_ko(source_brand: Column, matched_alias: Column, noise: Sequence[str] = ()) -> Column:

@@ -54,6 +54,28 @@ SELECT l_orderkey * 10 + l_linenumber AS seq,
        CASE WHEN l_discount > 0.02 THEN p_retailprice END AS price, CASE WHEN l_quantity > 10 THEN 'img' END AS image_url,
        CASE WHEN l_tax > 0.04 THEN 4.0 END AS rating, CAST(NULL AS int) AS review_count
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
+    "retail_names": """
+SELECT p_partkey AS id, p_brand AS brand, concat('Maker of ', p_type) AS maker, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS shade,
+       CASE p_partkey % 18
+            WHEN 0 THEN concat('[6월 올영픽] ', p_brand, ' ', p_name, ' ', CAST(p_size AS varchar(20)), ' Colors (단품/더블)')
+            WHEN 1 THEN concat('[NEW][1위]NEW ', 'Maker of ', p_type, ' | ', p_brand, ' ', p_name, ' 14g 8종 (기획/단품)')
+            WHEN 2 THEN concat('뿌리는 로션 ', p_brand, '  ', p_name, ' 200ml')
+            WHEN 3 THEN concat(p_brand, ' ', p_name, ' 300ml 리필기획(+', CAST(p_size AS varchar(20)), 'ml 증정)')
+            WHEN 4 THEN concat(p_brand, ' 3종 ', p_name, ' (흑갈색/자연갈색) 중 택 1')
+            WHEN 5 THEN concat(p_name, ' ', CAST(p_size AS varchar(20)), 'ml+30ml 듀오기획')
+            WHEN 6 THEN concat('Maker of ', p_type, ' ', p_name, ' 다운타임 3종 키트 (세럼 40ml+크림60ml)')
+            WHEN 7 THEN concat(p_name, ' (', p_type, ') 10 Colors')
+            WHEN 8 THEN concat(p_name, ' 40g 2colors SPF 50 PA++++')
+            WHEN 9 THEN concat(p_brand, ' ', p_name, ' ', CAST(p_size AS varchar(20)), 'ml + 65ml 대용량 기획세트')
+            WHEN 10 THEN concat('(', 'Maker of ', p_type, 'X', p_type, ') ', p_name, '15g 블랙/브라운 단품/기획')
+            WHEN 11 THEN concat('[', p_type, '] ', p_name, ' [', p_type, ']')
+            WHEN 12 THEN concat(p_name, ' 1.5ml*', CAST(p_size AS varchar(20)), 'ea')
+            WHEN 13 THEN concat(p_name, ' ', CAST(p_size AS varchar(20)), ' pcs extra')
+            WHEN 14 THEN concat('올영 단독 ', p_brand, ' - ', p_name, ' 단독기획(', p_type, ')')
+            WHEN 15 THEN concat(p_name, ' / ', p_type)
+            WHEN 16 THEN concat('[', p_brand, ']')
+            ELSE concat(p_brand, ' ', p_name, ' SPF', CAST(p_size AS varchar(20)), '+ , PA+++ ', p_type) END AS name
+FROM part""",
     "decisions": """
 SELECT o_orderkey AS seq, o_custkey AS match_no, o_orderdate AS decided_at,
        CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'rejected' ELSE 'pending_review' END AS decision,
@@ -81,6 +103,8 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that may use the named views."""
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
 
 
