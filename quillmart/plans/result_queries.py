@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.functions import keys, text
@@ -12,7 +12,7 @@ from quillmart.operators import analytics, merge, normalize, quality, results, s
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans.views import sql_key, view, with_views
 from quillmart.shared import fresh_path
-from quillmart.sources import pages, tables
+from quillmart.sources import listings, pages, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -316,6 +316,98 @@ def s18_drop_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.drop_blocked_pages(crawl, "status", "html").select("page_id")
 
 
+#: Parts that a page lists, and where their pages are.
+PAGE_PARTS, SHOP = 8, "https://shop.example"
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the parts of its number behind its own text: as cards, as literals of a script, or as page state.
+
+    A page lists each of its parts twice: within the list, and again in a bare card with nothing but its id.
+    """
+    p, n = read(spark, sf_dir, "part"), F.col("p_partkey")
+    code, sale = F.concat(F.lit("A"), F.lpad(n.cast("string"), 9, "0")), F.floor(F.col("p_retailprice") * 0.9).cast("long").cast("string")
+    price, form = F.floor("p_retailprice").cast("long").cast("string"), F.floor(n / PAGE_PARTS) % 3
+    cut = n % 4 == 0
+
+    def text(*parts) -> Column:
+        return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+    card = text(
+        "<li class=x><a href=\"javascript:link.moveGoodsDetail('", code, "');\"><img data-src='/img/", code, ".jpg'></a><span class=\"tx_brand\"> ", F.col("p_brand"), "</span><p class='tx_name'>", F.col("p_name"), " <b>",
+        F.col("p_type"), "</p><p class=\"prd_price\"><span class='tx_org'>", price, "원</span>", F.when(cut, text("<span class='tx_cur'><i>", sale, "</i>원 ~</span>")).otherwise(""), "</p>", F.when(n % 9 == 0, "<em>품절</em>").otherwise(""), "</li>",
+    )
+    literal = text("{goodsNo: '", code, "', onlBrndNm:'", F.col("p_brand"), "', goodsNm : '", F.col("p_name"), " ", F.col("p_type"), "', nrmlAmt: ", price, ", ", F.when(cut, text("'salePrice': '", sale, "',")).otherwise(""), " imgUrl: '/img/", code, ".jpg', soldOut: ", F.when(n % 9 == 0, "true").otherwise("null"), ",}")
+    state = F.to_json(F.struct(
+        code.alias("productId"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.array(F.concat(F.lit("/img/"), code, F.lit(".jpg"))).alias("image"),
+        F.struct(F.when(cut, sale).otherwise(price).alias("price"), price.alias("highPrice")).alias("offers"), F.when(n % 9 == 0, "sold_out").alias("status"),
+    ))
+    item = F.when(form == 0, card).when(form == 1, literal).otherwise(state)
+    bare = text("<div class='prd_info' data-goods-no='", code, "'></div>")
+    rows = p.select(F.floor(n / PAGE_PARTS).cast("long").alias("page_id"), form.alias("form"), F.struct(n.alias("n"), item.alias("item"), bare.alias("bare")).alias("x"))
+    listed = rows.groupBy("page_id", "form").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # at most PAGE_PARTS
+    items = F.array_join(F.transform("xs", lambda x: x["item"]), ",")  # a comma between cards is text between cards
+    block = F.when(F.col("form") == 0, text('<ul class="cate_prd_list">', items, "</ul>")).when(F.col("form") == 1, text("<script>window.list = [", items, "];</script>")).otherwise(text('<script id="__NEXT_DATA__" type="application/json">{"props":{"list":[', items, "]}}</script>"))
+    blocks = listed.select("page_id", block.alias("block"), F.array_join(F.transform("xs", lambda x: x["bare"]), "").alias("bare"))
+    return read(spark, sf_dir, "pages").join(blocks, "page_id", "left").select("page_id", "url", F.concat_ws("", "html", "block", "bare").alias("html"))
+
+
+_LISTED = f"""
+l AS (SELECT p_partkey // {PAGE_PARTS} AS page_id, 'A' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS code, p_partkey % 4 = 0 AS cut, CAST(floor(p_retailprice) AS DOUBLE) AS price, floor(p_retailprice * 0.9) AS sale, * FROM part)"""
+
+
+@query(
+    f"""
+WITH {_LISTED}
+SELECT l.page_id, CAST(p_partkey % {PAGE_PARTS} AS INTEGER) AS place, code AS source_product_id, p_brand AS source_brand_name, p_name || ' ' || p_type AS product_name_ko, price AS original_price,
+  CASE WHEN cut THEN sale END AS sale_price, CASE WHEN cut THEN sale ELSE price END AS regular_price, '{SHOP}/img/' || code || '.jpg' AS image_url,
+  '{SHOP}/store/goods/getGoodsDetail.do?goodsNo=' || code AS source_url, CASE WHEN p_partkey % 9 = 0 THEN true END AS sold_out
+FROM l JOIN pages p ON p.page_id = l.page_id"""
+)
+def s13_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = listings.parse_listing_pages(shop_pages(spark, sf_dir), SHOP)
+    return found.select("page_id", "place", "source_product_id", "source_brand_name", "product_name_ko", "original_price", "sale_price", "regular_price", "image_url", "source_url", "sold_out")
+
+
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detail page for each part behind the text of a page; every third one says part of it by linked data."""
+    p, n = read(spark, sf_dir, "part"), F.col("p_partkey")
+
+    def text(*parts) -> Column:
+        return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+    price, sale = F.floor("p_retailprice").cast("long").cast("string"), F.floor(F.col("p_retailprice") * 0.9).cast("long").cast("string")
+    many = F.transform(F.sequence(F.lit(1), (n % 40 + 1).cast("int")), lambda i: text("<li>", F.lpad(i.cast("string"), 2, "0"), ". ", F.col("p_type"), "</li>"))
+    linked = F.to_json(F.struct(F.lit("Product").alias("@type"), F.concat_ws(" ", "p_brand", "p_name").alias("name"), text("id-", n.cast("string")).alias("productId"), F.lit(4.25).alias("ratingValue"), F.lit("1,234").alias("reviewCount")))
+    made = text(
+        F.when(n % 3 == 0, text('<script type="application/ld+json">', linked, "</script>")).otherwise(""),
+        '<div class="G_title-area__u7"><h3> ', F.col("p_name"), "\n</h3></div><button class=prd_brand>", F.col("p_brand"), "</button><ol class='breadcrumb'><li>A</li><li>", F.col("p_type"), "</li></ol>",
+        F.when(n % 2 == 0, text('<span data-qa-name="text-product-original-price">', price, "원</span>")).otherwise(""), '<span data-qa-name="text-product-discount-price"><b>', sale, "</b>원 ~</span>",
+        F.when(n % 5 == 0, "<p class='rating'>4.5점 / 5</p><p class='review'>리뷰 1,024건</p>").otherwise(""), "<ul class='prd_option_box'><li>옵션 선택</li>", F.array_join(many, ""), "</ul>", F.when(n % 7 == 0, "<b>일시품절</b>").otherwise(""),
+        "<meta property='og:image' content='/og/", n.cast("string"), ".jpg'><meta name='og:description' content=' about  ", F.col("p_name"), "'>",
+    )
+    parts = p.select(F.floor(n / PAGE_PARTS).cast("long").alias("page_id"), n.alias("part_no"), made.alias("made"), F.when(n % 6 != 0, text(SHOP + "/d?goodsNo=B", n.cast("string"))).alias("url"))
+    own = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "(?s)<h1>.*?</h1>", "").alias("html"))
+    return parts.join(own, "page_id").select("part_no", "url", F.concat_ws("", "html", "made").alias("html"))
+
+
+@query(
+    f"""
+WITH l AS (SELECT *, p_partkey % 3 = 0 AS linked, p_partkey % 2 = 0 AS priced, CAST(floor(p_retailprice) AS DOUBLE) AS price, floor(p_retailprice * 0.9) AS sale,
+  list_transform(range(1, p_partkey % 40 + 2), lambda i: lpad(CAST(i AS VARCHAR), 2, '0') || '. ' || p_type) AS options FROM part)
+SELECT p_partkey AS part_no, p_brand AS source_brand_name, CASE WHEN linked THEN p_brand || ' ' || p_name ELSE p_name END AS product_name_ko, 'A > ' || p_type AS category,
+  CASE WHEN priced THEN price END AS original_price, CAST(sale AS DOUBLE) AS sale_price, CAST(sale AS DOUBLE) AS regular_price, CASE WHEN linked THEN 4.25 WHEN p_partkey % 5 = 0 THEN 4.5 END::DOUBLE AS rating,
+  CASE WHEN linked THEN 1234 WHEN p_partkey % 5 = 0 THEN 1024 END::BIGINT AS review_count, array_to_string(options[1:12], ', ') AS shade, 'about ' || p_name AS description,
+  array_to_string(options[1:30], '|') AS options, CASE WHEN p_partkey % 7 = 0 THEN true END AS sold_out, '/og/' || p_partkey || '.jpg' AS image_url,
+  CASE WHEN p_partkey % 6 <> 0 THEN '{SHOP}/d?goodsNo=B' || p_partkey WHEN linked THEN '{SHOP}/store/goods/getGoodsDetail.do?goodsNo=id-' || p_partkey END AS source_url,
+  CASE WHEN linked THEN 'id-' || p_partkey WHEN p_partkey % 6 <> 0 THEN 'B' || p_partkey END AS source_product_id
+FROM l JOIN pages p ON p.page_id = p_partkey // {PAGE_PARTS}"""
+)
+def s14_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = listings.parse_detail_pages(detail_pages(spark, sf_dir), SHOP, id_col="part_no").withColumn("options", F.array_join("options", "|"))
+    return found.drop("place", "source", "discount_rate", "updated_at")
+
+
 @query()
 def s15_page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S15 in full: names, images and prices of every page, by one parse each."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmart.functions.text import clean_text
+from quillmart.sources.markup import Tolerant
 
 #: Keys of meta tags that tell a name, an image, a price, a currency.
 NAME_KEYS = {"og:title", "twitter:title", "title", "product:name", "name"}
@@ -25,7 +25,7 @@ def titles(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select("page_id", clean_text(F.regexp_extract(html_col, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
-class _Page(HTMLParser):
+class _Page(Tolerant):
     """One pass over a page; what it says of a product, in order."""
 
     def __init__(self):
