@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmart.functions.text import casefold, clean_text, has_hangul, let
+from quillmart.functions.text import casefold, clean_text, has_hangul, let, normalizer_key
 
 # The words and shapes of retail noise. Letters are compared in either case. Texts are clean (single
 # blanks), so ``\s`` means a blank. A pattern that begins with a group keeps what the group holds.
@@ -110,8 +110,8 @@ FLATTENED = (
 )
 #: What stands before a variant at the end of a name.
 BEFORE_VARIANT = r"(?:\s+|[\s/#\-_·ㆍ:：,(\[]+)"
-#: Characters that the key of a name leaves out (K4). A name keeps its count or variant if less than so much is left.
-KEY_NOISE, LEAST_KEY = r"[\s\-_./&|#·ㆍ:：,()\[\]]+", 4
+#: A name keeps its count or variant if less than so much of its key (K4) would be left.
+LEAST_KEY = 4
 
 #: Product-type terms and their English names.
 TYPE_TERMS: tuple[tuple[str, str], ...] = (
@@ -195,11 +195,6 @@ def _stripped(t: Column, patterns: Sequence[str]) -> Column:
     return t
 
 
-def name_key(c: Column) -> Column:
-    """K4: the key of a name."""
-    return casefold(F.regexp_replace(F.coalesce(clean_text(c), F.lit("")), KEY_NOISE, ""))
-
-
 def literal(c: Column) -> Column:
     """A text as a pattern that matches just it."""
     return F.regexp_replace(c, r"([\p{Punct}])", r"\\$1")
@@ -241,7 +236,7 @@ def _no_noise_before_brand(t: Column, brands: Column) -> Column:
 
 
 def _if_enough(t: Column, change: Callable[[Column], Column]) -> Column:
-    return let(t, lambda before: let(change(before), lambda after: F.when(F.length(name_key(after)) >= LEAST_KEY, after).otherwise(before)))
+    return let(t, lambda before: let(change(before), lambda after: F.when(F.length(normalizer_key(after)) >= LEAST_KEY, after).otherwise(before)))
 
 
 def _rules(t: Column, brands: Column, variants: Column) -> Column:
@@ -288,7 +283,7 @@ def brand_names(texts: Sequence[Column], registered: Column) -> Column:
 
     def joined(t: Column) -> Column:
         compact = F.replace(t, F.lit(" "), F.lit(""))
-        return F.when(has_hangul(t) & (compact != t) & (F.length(name_key(compact)) >= LEAST_KEY), compact)
+        return F.when(has_hangul(t) & (compact != t) & (F.length(normalizer_key(compact)) >= LEAST_KEY), compact)
 
     every = F.concat(F.transform(given, joined), given, F.transform(F.coalesce(registered, F.array().cast("array<string>")), clean_text))
     listed = F.filter(every, lambda t: t.isNotNull())

@@ -47,7 +47,7 @@ def _strip(t: str, patterns: Sequence[str]) -> str:
 
 
 def _key(t: str) -> str:
-    return f"lower(regexp_replace({t}, {_q(names.KEY_NOISE)}, '', 'g'))"
+    return rf"lower(regexp_replace({t}, '[\s\-_./&|#·ㆍ:：,()\[\]]+', '', 'g'))"
 
 
 def _enough(before: str, after: str) -> str:

@@ -5,6 +5,7 @@ Payloads are never inferred: their items are taken as text, each item as a map f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -45,21 +46,41 @@ def first_value(item: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*(F.nullif(F.try_element_at(item, F.lit(k)), F.lit("")) for k in keys))
 
 
-def items_of(payload: Column, keys: Sequence[str] = LIST_KEYS, depth: int = 2) -> Column:
-    """The items of a payload as texts: the payload itself if it is a list, else the first list under ``keys``, also nested."""
+def items_of(payload: Column, keys: Sequence[str] = LIST_KEYS) -> Column:
+    """The items of a payload as texts, however deep they are: the payload itself if it is a list; of an object what stands
+    under the first of ``keys`` that leads to items. A list under a key ends the search in its object, an empty one too;
+    objects under the keys before it are searched first. Null without items.
 
-    def listed(path: str) -> Column:
-        text = F.get_json_object(payload, path)
-        return F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    The search is a fold over a stack of JSON texts. It visits the payload and values under ``keys`` alone, so it takes as
+    many steps as the payload has such keys, and one. A string that holds JSON counts as what it holds.
+    """
+    none = F.array().cast("array<string>")
+
+    def is_list(t: Column) -> Column:
+        return F.ltrim(t).startswith("[")
+
+    def children(t: Column) -> Column:
+        values = F.filter(F.array(*(F.get_json_object(t, f"$.{k}") for k in keys)), lambda v: F.coalesce(F.ltrim(v).rlike(r"^[\[{]"), F.lit(False)))
+
+        def upto(v: Column) -> Column:
+            first = F.array_position(F.transform(v, is_list), True)
+            return F.when(first == 0, v).otherwise(F.slice(v, F.lit(1), F.greatest(first.cast("int"), F.lit(1))))
+
+        return let(values, upto)
+
+    def visit(state: Column, _: Column) -> Column:
+        def of(top: Column) -> Column:
+            rest = F.slice(state["stack"], F.lit(2), F.size(state["stack"]))
+            items = F.when(is_list(top), F.from_json(top, "array<string>"))
+            found = F.when(F.size(items) > 0, items)
+            return F.struct(F.when(is_list(top), rest).otherwise(F.concat(children(top), rest)).alias("stack"), found.alias("found"))
+
+        idle = state["found"].isNotNull() | (F.size(state["stack"]) == 0)
+        return F.when(idle, state).otherwise(let(F.element_at(state["stack"], 1), of))
 
-    paths, level = [], ["$"]
-    for _ in range(depth):
-        level = [f"{p}.{k}" for p in level for k in keys]
-        paths += level
-    # A list beside comes before one nested further, as lists are looked for under each key in turn.
-    ordered = [p for k in keys for p in paths if p == f"$.{k}" or p.startswith(f"$.{k}.")]
-    whole = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, "array<string>"))
-    return F.coalesce(whole, *map(listed, ordered))
+    start = F.struct(F.array(payload).alias("stack"), F.lit(None).cast("array<string>").alias("found"))
+    steps = F.size(F.split(payload, '"(?:' + "|".join(map(re.escape, keys)) + ')"'))
+    return F.when(payload.isNotNull(), F.reduce(F.sequence(F.lit(1), steps), start, visit)["found"])
 
 
 def exploded(payloads: DataFrame, payload_col: str, keys: Sequence[str] = LIST_KEYS, limit: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -93,13 +93,56 @@ def write_products_csv(records: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+#: The fields of a match candidate, the first of which are required.
+CANDIDATE_FIELDS = ("canonical_product_id", "source", "source_product_id", "source_url", "match_method", "confidence", "original_price", "sale_price", "currency", "image_url", "sold_out", "evidence_note")
+REQUIRED_FIELDS = CANDIDATE_FIELDS[:6]
+
+
 def read_match_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a match-candidate file, CSV or JSON lines by its ending; :func:`matches.import_candidates` judges them."""
-    names = ("canonical_product_id", "source", "source_product_id", "source_url", "match_method", "confidence", "original_price", "sale_price", "currency", "image_url", "sold_out", "evidence_note")
-    schema = ", ".join(f"{n} string" for n in names)
-    if path.endswith((".jsonl", ".ndjson", ".json")):
-        return spark.read.schema(schema).json(path)
-    return spark.read.schema(schema).csv(path, header=True, escape='"', enforceSchema=False)
+    """``file, line`` and the fields (as texts) of match-candidate files, CSV or JSON lines by the path's ending.
+
+    A line is the row's number in its file: of CSV with the header as row 1, of JSON lines with empty lines counted and
+    left out. Lines of a file are numbered block by block, each block by its own rows, so no task sees a whole file.
+    A line that isn't a JSON object has nulls in all fields.
+    """
+    schema = ", ".join(f"{n} string" for n in CANDIDATE_FIELDS)
+    as_json = path.endswith((".jsonl", ".ndjson", ".json"))
+    raw = spark.read.text(path) if as_json else spark.read.schema(schema).csv(path, header=True, escape='"', enforceSchema=False)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    block = Window.partitionBy("file", "__block")
+    sizes = rows.groupBy("file", "__block").agg(F.count(F.lit(1)).alias("n"))  # a row for each block of each file
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.withColumn("__no", F.row_number().over(block.orderBy("__at"))).join(sizes.select("file", "__block", before.alias("__before")), ["file", "__block"])
+    line = (F.col("__before") + F.col("__no") + (0 if as_json else 1)).alias("line")
+    if not as_json:
+        return numbered.select("file", line, *CANDIDATE_FIELDS)
+    return numbered.where(F.trim("value") != "").select("file", line, F.from_json("value", schema).alias("r")).select("file", "line", "r.*")
+
+
+def candidate_reason(row: dict[str, Column] | None = None) -> Column:
+    """Why a match candidate isn't valid: a required field is missing or blank, the URL isn't one, the confidence is no
+    number or not within 0 and 1. Null for a valid one."""
+    c = row or {n: F.col(n) for n in REQUIRED_FIELDS}
+    number = c["confidence"].try_cast("double")
+    url = F.trim(c["source_url"])
+    missing = F.coalesce(*(F.when(F.trim(F.coalesce(c[n], F.lit(""))) == "", f"missing required field: {n}") for n in REQUIRED_FIELDS))
+    return (
+        F.when(missing.isNotNull(), missing)
+        .when(~url.rlike("^https?://"), F.concat(F.lit("source_url does not look like a URL: '"), url, F.lit("'")))
+        .when(number.isNull(), F.concat(F.lit("confidence is not a number: '"), c["confidence"], F.lit("'")))
+        .when(~number.between(0, 1) | F.isnan(number), F.concat(F.lit("confidence out of range [0.0, 1.0]: "), number.cast("string")))
+    )
+
+
+def split_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, invalid)``: valid rows with trimmed texts and typed prices, confidence and stock; invalid ones as they are,
+    with ``reason``. A price that is no number, or a stock word that isn't known, is null."""
+    judged = rows.withColumn("reason", candidate_reason())
+    texts = {n: F.trim(n) for n in REQUIRED_FIELDS[:5]} | {n: F.nullif(F.trim(n), F.lit("")) for n in ("currency", "image_url", "evidence_note") if n in rows.columns}
+    numbers = {n: F.col(n).try_cast("double") for n in ("confidence", "original_price", "sale_price") if n in rows.columns}
+    word = F.lower(F.trim("sold_out"))
+    stock = {"sold_out": F.when(word.isin("true", "1", "yes"), True).when(word.isin("false", "0", "no"), False)} if "sold_out" in rows.columns else {}
+    return judged.where(F.col("reason").isNull()).drop("reason").withColumns(texts | numbers | stock), judged.where(F.col("reason").isNotNull())
 
 
 def write_targets(targets: DataFrame, path: str, fmt: str) -> None:
