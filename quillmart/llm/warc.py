@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from itertools import cycle
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.llm.common import arrow_batches
@@ -297,20 +297,28 @@ def arc_to_warc(arcs: DataFrame, file_records: int = FILE_RECORDS, file_bytes: i
 def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """``page_id, url, html, is_revisit, refers_to, refers_to_url`` of every page.
 
-    Of pages with equal payloads of at least ``min_bytes`` bytes, that with the largest page_id is the response. Digests
-    that occur once are dropped before the join, so what is joined to the pages are the repeated ones. A null html
-    counts as empty, a null url as the empty one; pages with a null page_id are never the response of others and,
-    like repeated rows of the response's page_id, are revisits only of another page_id.
+    Of pages with equal payloads of at least ``min_bytes`` bytes, that with the largest page_id is the response. Only such
+    pages are dealt by digest, with the digests that occur more than once, and the copies of a frequent payload can be
+    divided (:func:`_anew`); shorter pages stay where they are. A null html counts as empty, a null url as the empty
+    one; pages with a null page_id are never the response of others and, like repeated rows of the response's page_id,
+    are revisits only of another page_id.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = slim.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha1("html"))))
+    short = slim.where(F.octet_length("html") < min_bytes).select("page_id", "url", "html", F.lit(False).alias("is_revisit"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_url"))
+    keyed = slim.where(F.octet_length("html") >= min_bytes).withColumn("digest", F.unhex(F.sha1("html")))
     latest = F.max(F.struct("page_id", "url")).alias("last")
-    repeated = keyed.where(F.col("digest").isNotNull() & F.col("page_id").isNotNull()).groupBy("digest").agg(latest, F.count(F.lit(1)).alias("n"))
-    repeated = repeated.where(F.col("n") > 1).select("digest", F.col("last.page_id").alias("first"), F.col("last.url").alias("first_url"))
+    repeated = keyed.where(F.col("page_id").isNotNull()).groupBy("digest").agg(latest, F.count(F.lit(1)).alias("n"))
+    repeated = repeated.where(F.col("n") > 1).select(_anew(F.col("digest")).alias("digest"), F.col("last.page_id").alias("first"), F.col("last.url").alias("first_url"))
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
-    return keyed.join(repeated, "digest", "left").select(
+    long = keyed.join(repeated, "digest", "left").select(
         "page_id", "url", "html", revisit.alias("is_revisit"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_to_url")
     )
+    return short.unionByName(long)
+
+
+def _anew(digest: Column) -> Column:
+    """The same digest, computed again: what was gathered by it is dealt anew by a join, which AQE can then split."""
+    return F.unhex(F.hex(digest))
 
 
 def write_archives(pages: DataFrame, path: str, versions: tuple[int, ...] = (1,), file_records: int = FILE_RECORDS) -> None:

@@ -88,6 +88,19 @@ def test_archives_give_pages_back(spark, versions):
     assert warc.read_archives(spark, empty).collect() == []
 
 
+def test_copies_of_a_payload_and_short_pages_do_not_meet_in_one_task(spark):
+    """Short pages are not dealt by their missing digest, and what is joined by digest is dealt anew, so it can be divided."""
+    pages = spark.createDataFrame([(i, "u", "s" if i % 2 else "x" * 1500) for i in range(4000)], "page_id long, url string, html string").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = warc.mark_revisits(pages)
+        assert marked.where("is_revisit").count() == 1999 and marked.where("refers_to = 3998").count() == 1999
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(digest") == 3  # of the sums, of what they give, and of long pages
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_long_records_take_several_members(monkeypatch):
     monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
     packed = warc.gzip_members(bytes(range(256)) * 20)
@@ -138,6 +151,14 @@ def test_toxicity_separates_held_out_rows(spark):
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, h in flags.items())
 
 
+def test_toxicity_takes_one_text_of_an_id(spark):
+    made = spark.createDataFrame(labelled(5, 200), "doc_id long, text string, toxic int")
+    labels, rows = made.select("doc_id", "toxic"), made.select("doc_id", "text")
+    often = rows.unionByName(rows.where("doc_id < 50").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(40)))).select("doc_id", F.concat(F.lit("~"), "text").alias("text")))
+    once, again = toxicity.train(rows, labels), toxicity.train(often, labels)
+    assert once.slots.tolist() == again.slots.tolist() and np.allclose(once.weights, again.weights)
+
+
 def test_toxicity_without_labels_or_features(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
