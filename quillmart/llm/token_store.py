@@ -170,8 +170,9 @@ def write_store(
 ) -> None:
     """Encode every whole text, append ``end_id`` to each document and write a store at ``path``.
 
-    Documents are dealt by ranges of their id and sorted within, so part, segment and place give ascending id order.
-    A null text counts as empty (only the end id); rows with a null id come first; repeated ids all stay, ordered by
+    Documents are dealt by ranges of their id (and of a hash of their text, so that the rows of a repeated id can be
+    divided) and sorted within, so part, segment and place give ascending id order. Ids are integers. A null text counts
+    as empty (only the end id); rows with a null id come first; repeated ids all stay, ordered by that hash, then by
     text. One task holds a batch of texts and one segment at a time.
     """
 
@@ -203,7 +204,7 @@ def write_store(
             yield segment()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = slim.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     schema = "part int, seg int, part_offset long, doc_ids array<long>, n_tokens array<long>, seg_tokens long, codes binary"
     ordered.mapInArrow(run, schema).write.options(**PAGES).parquet(path)
 
