@@ -168,7 +168,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the bounded sample of rows that aren't held out. ``labels`` has ``id, toxic``; a null label is none."""
+    """Fit on the bounded sample of rows that aren't held out. ``labels`` has ``id, toxic``; a null label is none. An id that
+    comes with several texts gives the least of them, so the sample is as bounded as its ids."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic")).where(~held_out(id_col))
     counted = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
     first = F.xxhash64(F.col(id_col))
@@ -176,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     others = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col).distinct().orderBy(first, id_col).limit(UNLABELLED).withColumn("s", F.lit(0))
     chosen = positive.unionByName(others)  # at most POSITIVES + UNLABELLED ids
     texts = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
-    sample = written(texts.join(F.broadcast(chosen), id_col).select("s", "text"), "toxicity-sample")
+    whole = texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "s").agg(F.min("text").alias("text"))
+    sample = written(whole.select("s", "text"), "toxicity-sample")
     return fit(sample, counted["toxic"] / counted["n"] if counted["n"] else 0.0)
 
 
