@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillmart.llm.common import written
+from quillmart.llm.common import discard, written
 
 #: Share of an item's characters that may be edited.
 ERROR_RATE = 0.07
@@ -180,8 +180,17 @@ def leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_
 
 
 def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents in which no item stands within its budget, all columns kept; a null text is clean."""
-    for block in item_blocks(items, block_chars=block_chars):
+    """The documents in which no item stands within its budget, all columns kept; a null text is clean.
+
+    What a block of items leaves is written before the next one, so the plan and the driver hold one block at a time.
+    """
+    held: DataFrame | None = None
+    for i, block in enumerate(item_blocks(items, block_chars=block_chars)):
+        if i:
+            left = written(docs, "clean")
+            if held is not None:
+                discard(held)
+            docs = held = left
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             searched = _block(block, error_rate)
