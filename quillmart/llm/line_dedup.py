@@ -16,7 +16,7 @@ MAX_RATIO = 0.05
 #: ... and at least so many pages, or else every line of a host with few pages would go.
 MIN_PAGES = 5
 #: Boilerplate lines that are broadcast (8 bytes each and their hosts). More of them are joined by shuffling hashes.
-BROADCAST_LINES = 200_000
+BROADCAST_LINES = 20_000
 
 
 def _lines(text: Column) -> Column:
@@ -60,26 +60,29 @@ def drop_boilerplate(
     counts). Kept lines keep their order and blanks. Columns called ``n_lines`` or ``n_dropped`` are replaced.
     """
     bad = written(boilerplate_lines(pages, text_col, host_col, max_ratio, min_pages).select("host", "line"), "boilerplate")
-    text, host = F.col(text_col), F.coalesce(F.col(host_col), F.lit(""))
+    columns = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    row = F.struct(*(F.col(c) for c in columns if c != text_col)).alias("page")  # packed, so that no column of the page meets one of ours
+    slim = pages.select(row, F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
+    text = F.col("text")
     if bad.limit(broadcast_lines + 1).count() <= broadcast_lines:
-        by_host = bad.groupBy("host").agg(F.collect_set("line").alias("__bad")).withColumnRenamed("host", "__host")
-        joined = pages.withColumn("__host", host).join(F.broadcast(by_host), "__host", "left").drop("__host")
+        by_host = bad.groupBy("host").agg(F.collect_set("line").alias("lines"))
+        joined = slim.join(F.broadcast(by_host), "host", "left")
+        own = joined.withColumn("bad", F.when(F.col("lines").isNotNull(), F.array_intersect(_page_lines(text), F.col("lines"))))
     else:
         # Hashes alone are shuffled by (host, line), and what each page has of them by the page's own key.
-        keyed = pages.withColumns({"__host": host, "__id": F.xxhash64(F.col(id_col), host, text)})
-        found = keyed.select("__id", "__host", F.explode(_page_lines(text)).alias("__line"))
-        marks = bad.select(F.col("host").alias("__host"), F.col("line").alias("__line"))
-        by_page = found.join(marks, ["__host", "__line"], "left_semi").groupBy("__id").agg(F.collect_set("__line").alias("__bad"))
-        joined = keyed.join(by_page, "__id", "left").drop("__host", "__id")
+        keyed = slim.withColumn("id", F.xxhash64(F.col("page").getField(id_col), "host", "text"))
+        found = keyed.select("id", "host", F.explode(_page_lines(text)).alias("line"))
+        by_page = found.join(bad, ["host", "line"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("bad"))
+        own = keyed.join(by_page, "id", "left")
     none = F.array().cast("array<bigint>")
-    lines = _lines(text)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce(F.col("__bad"), none), _hash(x)))
-    n_lines, n_kept = F.size(lines).cast("long"), F.size(kept).cast("long")
-    counted = joined.withColumns({
-        "n_lines": F.when(text.isNotNull(), n_lines),
-        "n_dropped": F.when(text.isNotNull(), F.when(F.col("__bad").isNull(), 0).otherwise(n_lines - n_kept)).cast("long"),
-    })
-    return counted.withColumn(text_col, F.when(F.col("__bad").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("__bad")
+    lines, gone = _lines(text), F.coalesce(F.col("bad"), none)
+    kept = F.filter(lines, lambda x: ~F.array_contains(gone, _hash(x)))
+    clean = F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.size(lines).cast("long")
+    n_dropped = F.when(text.isNotNull(), F.when(F.size(gone) == 0, 0).otherwise(n_lines - F.size(kept)).cast("long"))
+    values = (clean.alias(c) if c == text_col else F.col("page").getField(c).alias(c) for c in columns)
+    made = own.select(F.struct(*values).alias("page"), F.when(text.isNotNull(), n_lines).alias("n_lines"), n_dropped.alias("n_dropped"))
+    return made.select("page.*", "n_lines", "n_dropped")
 
 
 #: The same result in DuckDB, lines compared as text.

@@ -50,6 +50,18 @@ def test_boilerplate_goes_by_host(spark, broadcast):
         want[i, None if text is None else "\n".join(kept), None if text is None else len(text.split("\n")) - len(kept)] += 1
     assert collections.Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in got) == want
     assert "lang" in got[0] and got[0]["host"] == "h"
+    assert line_dedup.drop_boilerplate(frame(spark, rows).limit(0), broadcast_lines=broadcast).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_pages_with_columns_of_any_name_and_very_long_ones(spark, broadcast):
+    names = ["bad", "lines", "id", "page", "__bad", "__host", "n_lines"]
+    rows = [(i, f"own {i}\n" * (50_000 if i == 3 else 1) + "same", "s", *map(str, range(len(names)))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    got = sorted(line_dedup.drop_boilerplate(df, broadcast_lines=broadcast).collect())
+    assert [r["text"] for r in got] == [("own 3\n" * 50_000 if i == 3 else f"own {i}\n")[:-1] for i in range(20)]
+    assert {(r["n_dropped"], r["bad"], r["lines"], r["id"], r["page"], r["__bad"], r["__host"]) for r in got} == {(1, "0", "1", "2", "3", "4", "5")}
+    assert got[0]["n_lines"] == 2
 
 
 # ---- decontamination
