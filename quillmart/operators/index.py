@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmart.functions.text import batch_lines, clean_text, compact_ngrams, dedupe_texts, has_hangul, let, search_key, service_key, tokens, without_brand
 from quillmart.operators.containment import join_inside
 from quillmart.operators.matching import match_scores, rank_matches, token_classes
-from quillmart.operators.search import expand_aliases, search_bm25, search_substring, search_tiers
+from quillmart.operators.search import build_postings, expand_aliases, search_bm25, search_substring, search_tiers
 from quillmart.shared import stored
 
 #: Text columns of a record, in the order their terms are listed, and its array columns.
@@ -90,6 +90,11 @@ def indexed_text() -> Column:
     return F.concat_ws(" ", "brand", "names", "category", "description", "shade", "options", "aliases", "search_terms")
 
 
+def product_postings(records: DataFrame, aliases: DataFrame, key_col: str) -> DataFrame:
+    """The postings of all that is indexed of a record: its eight columns, alias terms and n-grams among them."""
+    return build_postings(index_columns(records, aliases, key_col), "doc", indexed_text())
+
+
 def mapped_hits(queries: DataFrame, ranks: DataFrame, products: DataFrame, k: int, key_col: str = "record_key", time_col: str = "last_seen_at") -> DataFrame:
     """``(query_id, doc, rank)``: products mapped to a query's key, by rank, then the one seen last, then key; at most ``k``.
 
@@ -111,14 +116,15 @@ def search_index(queries: DataFrame, ranks: DataFrame, products: DataFrame, post
     """R4 over the index: ``(query_id, doc, tier, rank)``: mapped products, then for a query and each alias of the brands it
     touches (J7) the best by BM25, then those whose search text holds it, the ones seen last first.
 
-    ``products`` has ``search_text``. Equal texts of several queries are searched once. A candidate gives at most ``2 k``
+    ``products`` has ``search_text``; ``postings`` are those of :func:`product_postings`. Equal texts of several queries are searched once. A candidate gives at most ``2 k``
     hits to each method, which is enough: fewer than ``k`` of them can be mapped already.
     """
     mapped = mapped_hits(queries, ranks, products, k, key_col, time_col)
     keyed = aliases.select(search_key(F.col("alias")).alias("alias_key"), "alias", "official_en").where(F.col("alias_key") != "")
     spoken = stored(expand_aliases(queries, keyed), "spoken")
     texts = spoken.select(F.col("query").alias("query_id"), "query").distinct()
-    full = search_bm25(texts, postings, 2 * k).select("query_id", "doc", "rank", F.lit(0).alias("method"))
+    seen = products.select(F.col(key_col).alias("doc"), F.col(time_col).alias("seen"))
+    full = search_bm25(texts, postings, 2 * k, seen).select("query_id", "doc", "rank", F.lit(0).alias("method"))
     part = search_substring(texts, products, 2 * k, key_col, "search_text", (time_col,)).select("query_id", "doc", "rank", F.lit(1).alias("method"))
     found = full.unionByName(part).withColumnRenamed("query_id", "query")
     return search_tiers(mapped, spoken.join(found, "query").select("query_id", "candidate", "method", "doc", "rank"), k)

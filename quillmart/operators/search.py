@@ -28,11 +28,12 @@ def build_postings(documents: DataFrame, key_col: str, text: Column) -> DataFram
     return rows.groupBy("term", "doc", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search_bm25(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def search_bm25(queries: DataFrame, postings: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
     """R2: ``(query_id, doc, score, rank)`` of the ``k`` best documents for each of ``queries (query_id, query)``.
 
-    Terms of a query are alternatives. Score ties go to the greater document key. The result is exact, and documents
-    that share only common terms with a query are not met: the documents of its weightiest terms give a score that
+    Terms of a query are alternatives. Score ties go to the document seen last by ``seen (doc, seen)``, if that is given,
+    then to the greater document key; times are looked up for documents that can be among the best alone. The result is
+    exact, and documents that share only common terms with a query are not met: the documents of its weightiest terms give a score that
     ``k`` of them reach; terms whose greatest weights add up to less can't lift a document to it by themselves. The
     other terms make the candidates, those are cut by what the rest could add, and the rest is looked up for them by
     term and document.
@@ -63,7 +64,13 @@ def search_bm25(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     met = stored(met.where(F.col("least").isNull() | (F.col("score") + F.col("more") >= F.col("least"))).select("query_id", "doc", "score"), "candidates")
     added = met.join(terms.where(light).select("query_id", "term"), "query_id").join(weighted, ["term", "doc"]).select("query_id", "doc", F.col("weight").alias("score"))
     scored = met.unionByName(added).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
-    best = by_query.orderBy(F.round("score", 9).desc(), F.col("doc").desc())
+    order = [F.round("score", 9).desc(), F.col("doc").desc()]
+    if seen is not None:
+        near = scored.withColumn("place", F.rank().over(by_query.orderBy(order[0]))).where(F.col("place") <= k)
+        scored = near.join(seen, "doc", "left").select("query_id", "doc", "score", "seen")
+        order.insert(1, F.col("seen").desc_nulls_last())
+        return scored.withColumn("rank", F.row_number().over(by_query.orderBy(*order))).where(F.col("rank") <= k).drop("seen")
+    best = by_query.orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

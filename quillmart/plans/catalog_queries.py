@@ -325,13 +325,14 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 s AS (SELECT count(*) AS n_docs, avg(doc_len) AS mean FROM n),
 sc AS (SELECT query_id, doc, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean))) AS score
        FROM t JOIN post USING (term) JOIN df USING (term) CROSS JOIN s WHERE no <= 32 GROUP BY query_id, doc),
-r AS (SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc DESC) AS rank FROM sc)
+r AS (SELECT query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, p_size DESC, doc DESC) AS rank FROM sc JOIN part ON doc = p_partkey)
 SELECT query_id, doc, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 )
 def r2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best parts for every brand and name, by BM25."""
+    """The five best parts for every brand and name, by BM25; the size stands for the time a part was seen last."""
     postings = stored(search.build_postings(part_documents(spark, sf_dir), "doc", F.col("name")), "postings")
-    found = search.search_bm25(part_queries(spark, sf_dir), postings, 5)
+    seen = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc"), F.col("p_size").alias("seen"))
+    found = search.search_bm25(part_queries(spark, sf_dir), postings, 5, seen)
     return found.select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
 
 

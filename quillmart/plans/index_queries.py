@@ -95,19 +95,22 @@ def j8_alias_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("record_key"), F.array_join("aliases", "|").alias("aliases"))
 
 
-@query(
-    rf"""
-WITH {_TERMS}, {_ALIAS_TERMS.replace(_RECORDS + ",", "")},
+_INDEXED = rf"""
+{_TERMS}, {_ALIAS_TERMS.replace(_RECORDS + ",", "")},
 bag AS (SELECT record_key, string_agg(term, ' ' ORDER BY place) AS terms FROM trm GROUP BY record_key),
 spo AS (SELECT record_key, string_agg(place[4], ' ' ORDER BY place) AS aliases FROM trw GROUP BY record_key),
 d AS (SELECT record_key, unnest(list_transform(regexp_extract_all(concat_ws(' ', brand, name_ko, name_en, category, shade, options, aliases, terms), '[0-9A-Za-z가-힣]+'), lambda t: lower(t))) AS term FROM rec LEFT JOIN spo USING (record_key) LEFT JOIN bag USING (record_key)),
-n AS (SELECT record_key, count(*) AS doc_len FROM d GROUP BY 1)
+n AS (SELECT record_key, count(*) AS doc_len FROM d GROUP BY 1)"""
+
+
+@query(
+    rf"""
+WITH {_INDEXED}
 SELECT term, count(DISTINCT record_key) AS df, count(*) AS tf, CAST(sum(doc_len) AS bigint) AS lengths FROM d JOIN n USING (record_key) GROUP BY term"""
 )
 def r1_product_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 over the eight columns of an indexed product, counted by term."""
-    columns = index.index_columns(part_records(spark, sf_dir), brand_aliases(spark, sf_dir), "record_key")
-    postings = search.build_postings(columns, "doc", index.indexed_text())
+    postings = index.product_postings(part_records(spark, sf_dir), brand_aliases(spark, sf_dir), "record_key")
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.sum(F.col("doc_len") * F.col("tf")).alias("lengths"))
 
 
@@ -122,11 +125,11 @@ def type_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(text.search_key(F.col("p_type")).alias("query_key"), F.when(n % 9 == 0, -n).otherwise(n).alias("product_key"), "rank")
 
 
-_MAPPED = f"""
-{_RECORDS},
+_RANKS = f"""
 rk AS (SELECT {sql_key("p_type")} AS query_key, CASE WHEN p_partkey % 9 = 0 THEN -p_partkey ELSE p_partkey END AS product_key, CAST(ceil(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) / 2.0) AS int) AS rank FROM part),
-q0 AS (SELECT DISTINCT p_type AS query_id FROM part UNION SELECT DISTINCT concat_ws(' ', p_type, split_part(p_name, ' ', 1)) FROM part),
 mp AS (SELECT query_id, product_key AS doc, row_number() OVER (PARTITION BY query_id ORDER BY rk.rank, seen DESC, product_key) AS rank FROM (SELECT query_id, {sql_key("query_id")} AS query_key FROM q0) JOIN rk USING (query_key) JOIN rec ON product_key = record_key)"""
+_TYPES = """
+q0 AS (SELECT DISTINCT p_type AS query_id FROM part UNION SELECT DISTINCT concat_ws(' ', p_type, split_part(p_name, ' ', 1)) FROM part)"""
 
 
 def type_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +140,7 @@ def type_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(F.col("query").alias("query_id"), "query")
 
 
-@query(f"WITH {_MAPPED} SELECT query_id, doc, CAST(rank AS INTEGER) AS rank, price, name_en FROM mp JOIN rec ON doc = record_key WHERE rank <= 20")
+@query(f"WITH {_RECORDS}, {_TYPES}, {_RANKS} SELECT query_id, doc, CAST(rank AS INTEGER) AS rank, price, name_en FROM mp JOIN rec ON doc = record_key WHERE rank <= 20")
 def j1_mapped_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The products mapped to each type, with their columns."""
     products = part_records(spark, sf_dir)
@@ -146,16 +149,18 @@ def j1_mapped_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int) -> DataFrame:
-    """The index of all parts asked for ``queries (query_id, query)``."""
-    records = part_records(spark, sf_dir)
+    """The index of all parts, over all its columns, asked for ``queries (query_id, query)``."""
+    records, aliases = part_records(spark, sf_dir), brand_aliases(spark, sf_dir)
     products = stored(records.withColumn("search_text", index.search_text(records)), "products")
-    postings = stored(search.build_postings(cq.part_documents(spark, sf_dir), "doc", F.col("name")), "postings")
-    return stored(index.search_index(queries, type_ranks(spark, sf_dir), products, postings, brand_aliases(spark, sf_dir), k), "hits")
+    postings = stored(index.product_postings(records, aliases, "record_key"), "postings")
+    return stored(index.search_index(queries, type_ranks(spark, sf_dir), products, postings, aliases, k), "hits")
 
 
-@query(
-    rf"""
-WITH {_MAPPED}, {_BRANDS}, {cq._POSTINGS_SQL},
+def hits_sql(k: int) -> str:
+    """Common table expressions ``hits (query_id, doc, tier, rank)``: the ``k`` best of the index for the texts ``q0 (query_id)``."""
+    return rf"""
+{_RANKS},
+post AS (SELECT term, record_key AS doc, doc_len, count(*) AS tf FROM d JOIN n USING (record_key) GROUP BY ALL),
 qk AS (SELECT query_id, {sql_key("query_id")} AS qkey FROM q0),
 nr AS (SELECT query_id, official, row_number() OVER (PARTITION BY query_id ORDER BY min(length(alias_key)), official) AS bn FROM qk JOIN ak ON length(qkey) >= 2 AND (contains(alias_key, qkey) OR starts_with(qkey, alias_key)) GROUP BY query_id, official),
 cn AS (SELECT query_id, row(0, 0, '', 0, query_id) AS place, query_id AS cand FROM q0 UNION ALL SELECT query_id, row(1, bn, '', length(alias), alias), alias FROM nr JOIN al ON nr.official = al.official WHERE bn <= 8),
@@ -168,14 +173,15 @@ t AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY p
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 s AS (SELECT count(*) AS n_docs, avg(doc_len) AS mean FROM n),
 sc AS (SELECT query_id, doc, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean))) AS score FROM t JOIN post USING (term) JOIN df USING (term) CROSS JOIN s WHERE no <= 32 GROUP BY query_id, doc),
-ft AS (SELECT query_id AS cand, doc, 0 AS method, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc DESC) AS rank FROM sc),
+ft AS (SELECT query_id AS cand, doc, 0 AS method, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen DESC, doc DESC) AS rank FROM sc JOIN rec ON doc = record_key),
 tx AS (SELECT record_key AS doc, seen, {sql_key("concat_ws(' ', brand, canonical, name_ko, name_en, category, shade, options, keywords)")} AS search_text FROM rec),
 sb AS (SELECT query_id AS cand, doc, 1 AS method, row_number() OVER (PARTITION BY query_id ORDER BY seen DESC, doc DESC) AS rank FROM k JOIN tx ON key <> '' AND contains(search_text, key)),
-al2 AS (SELECT query_id, doc, row(0, 0, 0, rank) AS place FROM mp WHERE rank <= 8 UNION ALL SELECT query_id, doc, row(1, candidate, method, rank) FROM cd JOIN (SELECT * FROM ft UNION ALL SELECT * FROM sb) USING (cand) WHERE rank <= 16),
+al2 AS (SELECT query_id, doc, row(0, 0, 0, rank) AS place FROM mp WHERE rank <= {k} UNION ALL SELECT query_id, doc, row(1, candidate, method, rank) FROM cd JOIN (SELECT * FROM ft UNION ALL SELECT * FROM sb) USING (cand) WHERE rank <= {2 * k}),
 o AS (SELECT query_id, doc, min(place) AS place FROM al2 GROUP BY ALL),
-r AS (SELECT query_id, doc, CAST(place[1] AS INTEGER) AS tier, row_number() OVER (PARTITION BY query_id ORDER BY place, doc) AS rank FROM o)
-SELECT query_id, doc, tier, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8"""
-)
+hits AS (SELECT * FROM (SELECT query_id, doc, CAST(place[1] AS INTEGER) AS tier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, doc) AS INTEGER) AS rank FROM o) WHERE rank <= {k})"""
+
+
+@query(f"WITH {_INDEXED}, {_TYPES}, {hits_sql(8)} SELECT query_id, doc, tier, rank FROM hits")
 def r4_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4 with J1, J7, R2 and R3: mapped products of a type, then full text and substrings of the query and its brands' aliases."""
     return found(spark, sf_dir, type_queries(spark, sf_dir), 8).select("query_id", "doc", "tier", "rank")
@@ -225,7 +231,16 @@ def r5_expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded.select("query_id", "candidate", "query")
 
 
-@query()
+@query(
+    f"""
+WITH {_INDEXED}, {_EXPANDED.replace(_BRANDS + ",", "")},
+q0 AS (SELECT DISTINCT query AS query_id FROM ex), {hits_sql(10)},
+fd AS (SELECT ex.query_id, candidate, rank, doc, tier, official IS NULL AS discovery, max(tier = 0) OVER (PARTITION BY ex.query_id) AS mapped FROM ex JOIN hits ON hits.query_id = ex.query JOIN bq ON bq.query = ex.query_id),
+us AS (SELECT query_id, candidate, rank, doc, collection_key AS key FROM fd JOIN rec ON doc = record_key WHERE discovery OR NOT mapped OR tier = 0),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, key) AS no FROM (SELECT query_id, key, min(row(candidate, rank)) AS place FROM us GROUP BY ALL)),
+g2 AS (SELECT *, max(CASE WHEN no = 10 THEN place[1] END) OVER (PARTITION BY query_id) AS final FROM gr WHERE no <= 10)
+SELECT us.query_id, CAST(no AS INTEGER) AS no, us.key, candidate, rank, doc FROM us JOIN g2 ON us.query_id = g2.query_id AND us.key = g2.key WHERE final IS NULL OR candidate <= final"""
+)
 def r22_search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten products for every brand and name; names alone are discovery queries. tests/test_index.py has the same by hand."""
     asked = brand_queries(spark, sf_dir)
@@ -235,7 +250,14 @@ def r22_search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search_ladder(expanded, hits, part_records(spark, sf_dir), 10)
 
 
-@query()
+@query(
+    f"""
+WITH {_INDEXED},
+q0 AS (SELECT DISTINCT x AS query_id FROM (SELECT unnest([substring(p_brand, 1, 3), substring(p_name, 1, 3), substring(p_type, 1, 3)]) AS x FROM part) WHERE trim(x) <> ''), {hits_sql(40)},
+va AS (SELECT query_id, rank, field, x AS text, {sql_key("x")} AS key, {sql_key("query_id")} AS prefix FROM (SELECT query_id, rank, unnest([brand, name_ko, category]) AS x, unnest([0, 1, 2]) AS field FROM hits JOIN rec ON doc = record_key)),
+fi AS (SELECT query_id, key, min(row(rank, field, text)) AS place FROM va WHERE key <> '' AND contains(key, prefix) GROUP BY ALL)
+SELECT query_id AS prefix_id, CAST(rank AS INTEGER) AS rank, place[3] AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM fi) WHERE rank <= 10"""
+)
 def r14_autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the index that hold the first three characters of a brand, name or type."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions import keys, text
 from quillmart.functions.text import SERVICE_REPLACEMENTS, TEXT_REPLACEMENTS, service_key, service_key_of
-from quillmart.operators import analytics, index
+from quillmart.operators import analytics, index, search
 from quillmart.operators.containment import join_inside
 from quillmart.operators.matching import CATEGORY_WORDS
 from quillmart.plans import index_queries as iq
@@ -29,7 +29,7 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["f12_search_text", "f13_search_terms", "j8_alias_terms", "j1_mapped_products", "r5_expand_queries", "a11_catalog_stats", "f19_ids_and_shades"])
+@pytest.mark.parametrize("name", ["f12_search_text", "f13_search_terms", "j8_alias_terms", "j1_mapped_products", "r4_index_search", "r14_autocomplete", "r22_search_ladder", "r5_expand_queries", "a11_catalog_stats", "f19_ids_and_shades"])
 def test_registered_queries_equal_their_sql(spark, name):
     df = iq.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -69,6 +69,33 @@ def test_records_without_columns_or_values(spark):
     assert rows(index.index_columns(records, aliases, "k"), "doc", "aliases") == [(1, ""), (2, "에이비 Ab")]
 
 
+def test_products_are_found_by_alias_gram_option_and_shade(spark):
+    """Each of these words stands in no name, brand or category of the product that it finds."""
+    records = spark.createDataFrame(
+        [("p1", "Clio", "Kill Cover Founwear", ["Refill"], "21 Linen", 3), ("p2", "Hera", "Black Cushion", None, None, 2), ("p3", None, "Velvet Tint", None, None, 1)],
+        "record_key string, source_brand_name string, product_name_ko string, options array<string>, shade string, last_seen_at int",
+    )
+    aliases = spark.createDataFrame([("Clio", "Clio"), ("클리오", "Clio"), ("Hera", "Hera")], "alias string, official_en string")
+    postings = index.product_postings(records, aliases, "record_key")
+    asked = spark.createDataFrame([(q, q) for q in ("클리오", "unwear", "refill", "linen", "elvetti")], "query_id string, query string")
+    got = {(r["query_id"], r["doc"]) for r in search.search_bm25(asked, postings, 1).collect()}
+    assert got == {("클리오", "p1"), ("unwear", "p1"), ("refill", "p1"), ("linen", "p1"), ("elvetti", "p3")}
+    products = records.withColumn("search_text", F.lit(""))
+    ranks = spark.createDataFrame([], "query_key string, product_key string, rank int")
+    found = index.search_index(asked, ranks, products, postings, aliases, 1).collect()
+    assert {(r["query_id"], r["doc"]) for r in found} == got
+
+
+def test_equal_scores_go_to_what_was_seen_last(spark):
+    records = spark.createDataFrame([("a", "Lip Tint", 1), ("b", "Lip Tint", 3), ("c", "Lip Tint", 3), ("d", "Lip Tint", None), ("e", "Other", 9)], "record_key string, product_name_ko string, last_seen_at int")
+    none = spark.createDataFrame([], "alias string, official_en string")
+    postings = index.product_postings(records, none, "record_key")
+    asked = spark.createDataFrame([("q", "lip tint")], "query_id string, query string")
+    seen = records.select(F.col("record_key").alias("doc"), F.col("last_seen_at").alias("seen"))
+    best = lambda k, s: [r["doc"] for r in search.search_bm25(asked, postings, k, s).orderBy("rank").collect()]
+    assert best(4, seen) == ["c", "b", "a", "d"] and best(1, seen) == ["c"] and best(4, None) == ["d", "c", "b", "a"]
+
+
 def test_mapped_products_by_rank_time_and_key(spark):
     queries = spark.createDataFrame([("q", "A b"), ("none", "x"), ("empty", ""), ("null", None)], "query_id string, query string")
     ranks = spark.createDataFrame([("ab", 1, 2), ("ab", 2, 1), ("ab", 3, 2), ("ab", 4, 2), ("ab", 9, 0)], "query_key string, product_key int, rank int")
