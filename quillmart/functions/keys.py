@@ -11,13 +11,13 @@ from quillmart.functions.text import let, search_key, service_key
 SOURCE_PROFILES: tuple[tuple[str, str, int, str], ...] = (
     ("oliveyoung", "Olive Young", 10, "retailer"),
     ("oliveyoung-global", "Olive Young Global", 15, "retailer"),
-    ("official", "Official brand", 20, "brand"),
     ("musinsa", "Musinsa", 30, "retailer"),
     ("coupang", "Coupang", 35, "retailer"),
-    ("managed", "Managed scraper", 40, "managed"),
     ("hwahae", "Hwahae", 45, "catalog"),
     ("glowpick", "Glowpick", 46, "catalog"),
     ("fudejapan", "Fude Japan", 47, "catalog"),
+    ("official", "Official brand", 20, "brand"),
+    ("managed", "Managed scraper", 40, "managed"),
     ("barcode", "Barcode/GTIN", 50, "catalog"),
     ("discovery", "Discovery API", 60, "discovery"),
     ("external", "External source", 90, "external"),
@@ -38,12 +38,11 @@ def _named(key, brand: Column, name: Column, prefix: str = "") -> Column:
 def index_record_key(source: Column, product_id: Column, brand: Column, name: Column, url: Column) -> Column:
     """K7: products of the index."""
     primary = _filled(product_id) & (F.substring_index(source, ":", 1) == "oliveyoung")
-    return (
-        F.when(primary, F.concat(F.lit("oliveyoung:"), product_id))
-        .when(_named(search_key, brand, name, "product:").isNotNull(), _named(search_key, brand, name, "product:"))
-        .when(_filled(product_id), F.concat(source, F.lit(":"), product_id))
-        .otherwise(F.concat(source, F.lit(":"), search_key(url)))
+    own = F.coalesce(
+        _named(search_key, brand, name, "product:"),
+        F.when(_filled(product_id), F.concat(source, F.lit(":"), product_id)).otherwise(F.concat(source, F.lit(":"), search_key(url))),
     )
+    return F.when(primary, F.concat(F.lit("oliveyoung:"), product_id)).otherwise(own)
 
 
 def collection_record_key(source: Column, product_id: Column, brand: Column, name: Column, url: Column) -> Column:

@@ -66,13 +66,20 @@ def index_stats(products: DataFrame, ranks: DataFrame, offers: DataFrame) -> Dat
     return one(p).join(one(q), "__one").join(one(o), "__one").drop("__one")
 
 
+def _judged(queries: DataFrame, results: DataFrame) -> DataFrame:
+    hits = results.select("query_id").distinct().withColumn("hit", F.lit(True))
+    return queries.select("group", "query_id").join(hits, "query_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def coverage_backtest(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """Per group of ``queries (group, query_id)`` how many have a result: total, passed, rate, and the failed ones in order."""
-    hits = results.select("query_id").distinct().withColumn("__hit", F.lit(True))
-    judged = queries.join(hits, "query_id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
-    total, passed = F.count(F.lit(1)), F.count_if(F.col("__hit"))
-    failed = F.sort_array(F.collect_list(F.when(~F.col("__hit"), F.col("query_id"))))
-    return judged.groupBy("group").agg(total.alias("total"), passed.alias("passed"), (passed / total).alias("pass_rate"), failed.alias("failed"))
+    """Per group of ``queries (group, query_id)`` how many have a result: ``total, passed, pass_rate``."""
+    total, passed = F.count(F.lit(1)), F.count_if(F.col("hit"))
+    return _judged(queries, results).groupBy("group").agg(total.alias("total"), passed.alias("passed"), (passed / total).alias("pass_rate"))
+
+
+def failed_queries(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """``(group, query_id)`` of the queries without a result, a row each, so a group may have any number of them."""
+    return _judged(queries, results).where(~F.col("hit")).select("group", "query_id")
 
 
 def check_expectations(expected: DataFrame, results: DataFrame) -> DataFrame:

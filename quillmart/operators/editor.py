@@ -14,6 +14,11 @@ CONFIRMED, CANDIDATES, MANUAL = "확인됨", "후보 있음", "수동 확인 필
 SHADE_CHARS = 12
 
 
+#: The patterns of a shade behind a number sign, and of a shade's number.
+HASH_SHADE = r"#\s*([0-9A-Za-z가-힣._-]+)"
+NUMBER_SHADE = r"(?<![0-9A-Za-z가-힣])([0-9]+[A-Za-z0-9]*)\s*호(?![0-9A-Za-z가-힣])"
+
+
 def parse_line(raw: Column) -> Column:
     """``struct<raw_text, brand_query, product_query, shade_code, shade_name, normalized_query>`` of a line.
 
@@ -21,15 +26,14 @@ def parse_line(raw: Column) -> Column:
     shade name unless it is a kind of product or too long. What is left is brand, then product.
     """
     text = F.coalesce(clean_text(raw), F.lit(""))
-    hashes = F.regexp_extract_all(text, F.lit(r"#\s*([0-9A-Za-z가-힣._-]+)"), F.lit(1))
-    number = r"(?<![0-9A-Za-z가-힣])([0-9]+[A-Za-z0-9]*)\s*호(?![0-9A-Za-z가-힣])"
+    hashes = F.regexp_extract_all(text, F.lit(HASH_SHADE), F.lit(1))
 
     def read(x: Column) -> Column:
-        ho = F.nullif(F.regexp_extract(x["bare"], number, 1), F.lit(""))
+        ho = F.nullif(F.regexp_extract(x["bare"], NUMBER_SHADE, 1), F.lit(""))
         code = F.coalesce(F.try_element_at(F.filter(x["hashes"], lambda h: h.rlike("[0-9]")), F.lit(1)), F.concat(ho, F.lit("호")))
         name = F.try_element_at(F.filter(x["hashes"], lambda h: ~h.rlike("[0-9]")), F.lit(1))
         # Only the first number goes: the rest of the line is put after what stands before it.
-        rest = F.when(ho.isNull(), x["bare"]).otherwise(F.regexp_replace(x["bare"], r"^(.*?)" + number, "$1 "))
+        rest = F.when(ho.isNull(), x["bare"]).otherwise(F.regexp_replace(x["bare"], r"^(.*?)" + NUMBER_SHADE, "$1 "))
         words = F.filter(F.split(F.coalesce(clean_text(rest), F.lit("")), " "), lambda w: w != "")
         return F.struct(x["text"].alias("text"), code.alias("code"), name.alias("name"), words.alias("words"))
 

@@ -68,7 +68,7 @@ def query_class(query: Column, brand_alias: Column, product_query: Column, has_r
     it), else ``ordinary``."""
     one = F.size(_words(query)) == 1
     asked = F.coalesce(F.nullif(product_query, F.lit("")), query)
-    discovery = (F.size(_words(asked)) == 1) & service_key(F.element_at(_words(asked), 1)).isin(*(w.replace("비타민씨", "비타") for w in DISCOVERY_WORDS))
+    discovery = (F.size(_words(asked)) == 1) & service_key(F.element_at(_words(asked), 1)).isin(*DISCOVERY_WORDS)
     return (
         F.when(brand_alias.isNotNull() & clean_text(product_query).isNull(), "brand")
         .when(one & has_related, "broad")

@@ -116,12 +116,33 @@ def first_imaged(offers: Column) -> Column:
     return F.try_element_at(F.filter(offers, lambda o: F.coalesce(o["image_url"], F.lit("")) != ""), F.lit(1))
 
 
+#: Price columns that an offer can fill, and those that come from it as well.
+PRICES = ("price", "original_price", "sale_price")
+
+
+def backfilled(c: dict[str, Column], offers: Column) -> dict[str, Column]:
+    """The price columns and the image of ``c``, filled from the first priced and the first imaged offer where they are
+    null; where a price is filled, the offer's currency holds, if it has one. Columns that ``c`` lacks are left out."""
+    priced, imaged = first_priced(offers), first_imaged(offers)
+    out = {n: F.coalesce(c[n], priced[n]) for n in PRICES if n in c}
+    if "currency" in c:
+        filled = F.lit(False)
+        for n in PRICES:
+            if n in c:
+                filled = filled | (c[n].isNull() & priced[n].isNotNull())
+        out["currency"] = F.when(filled, F.coalesce(F.nullif(priced["currency"], F.lit("")), c["currency"])).otherwise(c["currency"])
+    if "image_url" in c:
+        out["image_url"] = F.coalesce(c["image_url"], imaged["image_url"])
+    return out
+
+
 def merge_products(products: DataFrame, key_col: str, order: Sequence[str], fields: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """A5: products of one merge key become one, in order.
 
     Going through the rows in order, the representative is replaced by a row of better source priority, or of the same
-    priority and a quality above the *greatest* quality so far; the other one's values fill its empty fields. Rows with
-    a null key are never merged. ``group`` keeps searches apart. Returns ``group, key, fields, quality_score,
+    priority and a quality above the *greatest* quality so far; the other one's values fill its empty fields. Search
+    keywords, if they are among the fields, are those of all rows, each service key once. Rows with a null key are never
+    merged. ``group`` keeps searches apart. Returns ``group, key, fields, quality_score,
     source_priority, source, n_merged, position``.
 
     The fold is sequential, so the rows of a key meet in one array; products of one key are as many as its sources and
@@ -139,6 +160,8 @@ def merge_products(products: DataFrame, key_col: str, order: Sequence[str], fiel
         for f in held:
             if f == "quality_score":
                 out.append(F.greatest(acc[f], x[f]).alias(f))
+            elif f == "search_keywords":
+                out.append(let(text_union(acc[f], x[f]), lambda u: F.when(F.size(u) > 0, u)).alias(f))
             elif f in FILLED_FIELDS:
                 out.append(F.when(better, F.coalesce(x[f], acc[f])).otherwise(F.coalesce(acc[f], x[f])).alias(f))
             else:
@@ -154,7 +177,8 @@ def attach_offers(results: DataFrame, offers: DataFrame, fields: Sequence[str])
     """Results with the stored offers of their canonical product merged in, and ``pending_offers`` held back.
 
     ``results`` has ``canonical_product_id`` and ``offers``; stored ``offers`` have the same fields. Only offers without
-    review or verified ones are shown.
+    review or verified ones are shown, and prices and image of the result are filled from them (:func:`backfilled`), where
+    the result has such columns and offers such fields.
     """
     stored = offers.groupBy("canonical_product_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__stored"))
     joined = results.join(stored, "canonical_product_id", "left")
@@ -163,7 +187,9 @@ def attach_offers(results: DataFrame, offers: DataFrame, fields: Sequence[str])
     merged = joined.withColumn("offers", merge_offers(every, fields))
     pending = F.size(F.filter("offers", lambda o: o["review_state"] == "pending_review"))
     shown = F.filter("offers", lambda o: o["review_state"].isNull() | (o["review_state"] == "verified"))
-    return merged.withColumns({"pending_offers": pending, "offers": shown}).drop("__stored")
+    shown = merged.withColumns({"pending_offers": pending, "offers": shown}).drop("__stored")
+    known = {n: F.col(n) for n in (*PRICES, "currency", "image_url") if n in results.columns and n in fields}
+    return shown.withColumns(backfilled(known, F.col("offers"))) if known else shown
 
 
 def text_union(left: Column, right: Column) -> Column:

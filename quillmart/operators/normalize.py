@@ -130,13 +130,13 @@ def registered_names(aliases: DataFrame) -> DataFrame:
     return aliases.select("alias_key", "official_en").join(names, "official_en").select("alias_key", "names")
 
 
-def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str, external: DataFrame | None = None) -> DataFrame:
+def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str, external: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Products of records. Original price: original, else regular, where 0 counts as missing; display
     price: the sale price where there is one, 0 too. Every record with a URL has one offer.
 
     Display names are the source's own where it gives any, else the cleaned names; an English display name that is still
     missing is the Korean one with its type translated, if no Hangul is left. Columns ``options``, ``search_keywords`` and
-    ``discount_rate`` are carried over where the frame has them.
+    ``discount_rate`` are carried over where the frame has them, and the columns that ``keep`` names as they are.
     """
     c = F.col
     named = resolve_brand(df, aliases, "source_brand_name", ["product_name_ko"], "__resolved", external, keep_match="__found")
@@ -155,6 +155,7 @@ def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str, external
     price = F.coalesce(c("sale_price"), original)
     lists = [_cleaned(c(n)).alias(n) for n in ("options", "search_keywords") if n in df.columns]
     made = named.withColumn("__display_ko", display_ko).select(
+        *keep,
         clean_text(c("canonical_product_id")).alias("canonical_product_id"),
         c("__ko").alias("brand_ko"),
         c("__en").alias("brand_en"),
@@ -233,6 +234,42 @@ def renormalize_diff(before: DataFrame, after: DataFrame, key: str, columns: Seq
     return rows.where(F.col("after").isNotNull() & ~F.col("before").eqNullSafe(F.col("after")))
 
 
+def renormalize_backfill(
+    records: DataFrame, aliases: DataFrame, base_url: str, key: str, recompute_display_names: bool = False, source_prefixes: Sequence[str] = (), samples: int = 10
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(updated, changes, summary, sampled)`` of normalizing stored records again.
+
+    ``changes`` are :func:`renormalize_diff`'s, ``summary`` counts them: ``(measure, n)`` for records scanned and changed and
+    for each field. ``updated`` are all records: a changed one has all NORMALIZED_COLUMNS as normalized, nulls too, and its
+    ``search_text``, if there is such a column, made anew; others stay as they are. ``sampled`` are the first changed
+    records by key, with their changes as an array. Records whose source begins with none of ``source_prefixes`` (if there
+    are any) are not scanned. A record is compared in its own row, so nothing is joined but brands.
+    """
+    from quillmart.operators.index import search_text
+
+    within = F.lit(not source_prefixes)
+    for prefix in source_prefixes:
+        within = within | F.startswith("source", F.lit(prefix))
+    packed = records.withColumns({"__key": F.col(key), "__scanned": F.coalesce(within, F.lit(False)), "__before": F.struct(*records.columns)})
+    if recompute_display_names:
+        packed = packed.withColumns({c: F.lit(None).cast("string") for c in ("product_name_display_ko", "product_name_display_en")})
+    after = product_to_record(normalize_records(packed, aliases, base_url, keep=("__key", "__scanned", "__before")))
+    names = [c for c in NORMALIZED_COLUMNS if c in records.columns]
+    pairs = F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"__before.{n}").cast("string").alias("before"), F.col(n).cast("string").alias("after")) for n in names))
+    changed = F.filter(pairs, lambda p: p["after"].isNotNull() & ~p["before"].eqNullSafe(p["after"]))
+    judged = after.withColumn("__changes", F.when(F.col("__scanned"), changed).otherwise(F.filter(pairs, lambda p: F.lit(False))))
+    is_changed = F.size("__changes") > 0
+    values = {n: F.col(n) for n in names} | ({"search_text": search_text(after)} if "search_text" in records.columns else {})
+    updated = judged.select(*(F.when(is_changed, values[c]).otherwise(F.col(f"__before.{c}")).alias(c) if c in values else F.col(f"__before.{c}").alias(c) for c in records.columns))
+    rows = judged.select(F.col("__key").alias(key), F.explode("__changes").alias("c")).select(key, "c.*")
+    of = lambda n: F.coalesce(F.sum(F.when(F.exists("__changes", lambda p: p["field"] == n), 1)), F.lit(0))
+    counts = {"scanned": F.count_if(F.col("__scanned")), "changed": F.count_if(is_changed)} | {f"field:{n}": of(n) for n in names}
+    one = judged.agg(*(c.cast("long").alias(n) for n, c in counts.items()))
+    summary = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(f"`{n}`").alias("n")) for n in counts))).alias("m")).select("m.*").where((F.col("n") > 0) | ~F.startswith("measure", F.lit("field:")))
+    sampled = judged.where(is_changed).select(F.col("__key").alias(key), F.col("__changes").alias("changes")).orderBy(key).limit(samples)
+    return updated, rows, summary, sampled
+
+
 def product_to_record(products: DataFrame) -> DataFrame:
     """Products as source records for another ingest."""
     return products.withColumns({"regular_price": F.col("price")}).withColumnsRenamed({"brand_ko": "source_brand_name", "brand_en": "source_brand_name_en"})

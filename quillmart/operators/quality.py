@@ -21,6 +21,13 @@ DISPLAY_ENDINGS = {
 }
 
 
+#: Names of issues, and the details of required ones.
+MISSING_NAME = ("missing_product_name", "product_name_ko/product_name_en missing")
+MISSING_SOURCE = ("missing_source", "source missing")
+MISSING_LOCATOR = ("missing_source_locator", "source_url/source_product_id missing")
+DIRTY_NAME, BRAND_PREFIX, MISSING_PREFIX = "dirty_display_name", "brand_prefixed_display_name", "missing_"
+
+
 def _empty(name: str) -> Column:
     return F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) == ""
 
@@ -48,15 +55,15 @@ def issue_list() -> Column:
     before = lambda brand: (brand != "") & (own != brand) & F.startswith(own, brand)
     branded = F.exists(F.array(display_key(F.col("brand_ko")), display_key(F.col("brand_en"))), before)
     fixed = [
-        issue(_none("product_name_ko") & _none("product_name_en"), "required", "missing_product_name", "product_name_ko/product_name_en missing"),
-        issue(_none("source"), "required", "missing_source", "source missing"),
-        issue(_none("source_url") & _none("source_product_id"), "required", "missing_source_locator", "source_url/source_product_id missing"),
-        issue(marked, "display", "dirty_display_name", display),
+        issue(_none("product_name_ko") & _none("product_name_en"), "required", *MISSING_NAME),
+        issue(_none("source"), "required", *MISSING_SOURCE),
+        issue(_none("source_url") & _none("source_product_id"), "required", *MISSING_LOCATOR),
+        issue(marked, "display", DIRTY_NAME, display),
         issue(ending.isNotNull(), "display", ending, display),
-        issue(branded, "display", "brand_prefixed_display_name", display),
+        issue(branded, "display", BRAND_PREFIX, display),
     ]
     missing = missing_fields({c: F.col(c) for c in ("brand_en", "product_name_en", "price", "image_url")})
-    wished = F.transform(missing, lambda f: F.struct(F.lit("enrichment").alias("severity"), F.concat(F.lit("missing_"), f).alias("issue"), f.alias("detail")))
+    wished = F.transform(missing, lambda f: F.struct(F.lit("enrichment").alias("severity"), F.concat(F.lit(MISSING_PREFIX), f).alias("issue"), f.alias("detail")))
     return F.concat(F.array_compact(F.array(*fixed)), wished)
 
 

@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillmart.functions.keys import source_allowed
 from quillmart.functions.text import casefold, clean_text, search_key, service_key
 from quillmart.operators.containment import join_inside
+from quillmart.operators.merge import attach_offers
+from quillmart.operators.upsert import merge_records
 
 
 def brand_filter(needle: str, official: str | None = None) -> Column:
@@ -65,6 +68,43 @@ def responses(queries: DataFrame, results: DataFrame, limit: int, live: bool = F
     return joined.withColumn("completeness", state)
 
 
+def assemble_responses(
+    queries: DataFrame, results: DataFrame, offers: DataFrame, limit: int, offer_fields: Sequence[str], origin: str = "index_cache", live: bool = False, gaps_recorded: bool = True
+) -> DataFrame:
+    """R16 in full: ``query_id, count, results, completeness, freshness, pending_offer_count`` of every query.
+
+    ``results`` has ``query_id, rank, canonical_product_id, offers, updated_at`` and what else a result shows; stored
+    ``offers`` have ``canonical_product_id`` and ``offer_fields``. Offers under review are held back and counted. ``results``
+    is an array of structs by rank, empty without any; ``freshness`` is a struct ``(origin, checked_at)``, the latest
+    update among them, null without results. A query's results are as many as its page.
+    """
+    shown = attach_offers(results, offers, offer_fields)
+    kept = [c for c in results.columns if c not in ("query_id", "rank")]
+    page = F.sort_array(F.collect_list(F.struct("rank", F.struct(*kept).alias("r"))))
+    held = shown.groupBy("query_id").agg(F.transform(page, lambda x: x["r"]).alias("results"), F.max(F.nullif(F.col("updated_at").cast("string"), F.lit(""))).alias("__at"), F.sum("pending_offers").alias("__pending"))
+    told = responses(queries, results, limit, live, gaps_recorded).drop("checked_at").join(held, "query_id", "left")
+    some = F.col("count") > 0
+    return told.select(
+        "query_id", "count", F.coalesce("results", F.array().cast(told.schema["results"].dataType)).alias("results"), "completeness",
+        F.when(some, F.struct(F.lit(origin).alias("origin"), F.col("__at").alias("checked_at"))).alias("freshness"), F.coalesce("__pending", F.lit(0)).alias("pending_offer_count"),
+    )
+
+
+def union_sources(records: DataFrame, limit: int, order: Sequence[str], key_col: str = "record_key", query_col: str = "query_id") -> DataFrame:
+    """The records of all sources that a query has collected, merged by their collection key (K8, A4), at most
+    ``2 * limit`` of each query.
+
+    ``records`` has ``query_id``, ``record_key``, ``source_class`` (0: the primary retailer for the primary query, 1: the
+    primary retailer for expansions, 2: other sources) and ``order``, the order in which a class has come. Classes come in
+    turn; a record stands where its first observation stands. Adds ``no``, from 1.
+    """
+    keyed = records.withColumn("__union", F.struct(F.col(query_col).alias("q"), F.col(key_col).alias("k"))).drop(query_col, key_col)
+    merged = merge_records(keyed, ("source_class", *order), "__union")
+    place = Window.partitionBy("__union.q").orderBy("position", "__union.k")
+    rows = merged.withColumn("no", F.row_number().over(place)).where(F.col("no") <= 2 * max(limit, 1))
+    return rows.select(F.col("__union.q").alias(query_col), F.col("__union.k").alias(key_col), "no", *(c for c in merged.columns if c not in ("__union", "position")))
+
+
 def is_sufficient(count: Column, limit: int, brand_only: Column, broad: Column) -> Column:
     """Whether the index has answered a query: any result, but up to eight for broad ones that name no brand alone."""
     threshold = 0 if limit <= 1 else min(limit, 8)
@@ -80,11 +120,14 @@ def dedupe_queries(queries: DataFrame, order: Sequence[str]) -> DataFrame:
 def plan_queries(parts: Sequence[DataFrame], limit: int | None = None) -> DataFrame:
     """``(position, query)`` of the parts' queries in the order of the parts, each key once, the first ``limit``.
 
-    Each part has ``query, position``. Positions are numbered after the limit; without one they are the parts' own.
+    Each part has ``query, position``, the position a number or a text to be ordered by. Positions are numbered after the
+    limit; without one they are the parts' own.
     """
     rows = None
     for no, part in enumerate(parts):
-        one = part.select("query", F.lit(no).alias("part"), F.col("position").cast("long").alias("position"))
+        by_text = isinstance(part.schema["position"].dataType, StringType)
+        at = F.struct((F.lit(0) if by_text else F.col("position")).cast("long").alias("number"), (F.col("position") if by_text else F.lit("")).alias("text"))
+        one = part.select("query", F.lit(no).alias("part"), at.alias("position"))
         rows = one if rows is None else rows.unionByName(one)
     once = dedupe_queries(rows, ("part", "position"))
     if limit is None:
@@ -96,12 +139,13 @@ def coverage_pairs(brands: DataFrame, categories: DataFrame, limit: int) -> Data
     """``(query, position)``: brand and category pairs in order, at most ``limit``.
 
     The first ``limit`` pairs need no more than the first ``limit`` brands and categories, so the product is that of two
-    bounded lists, made by exploding one as an array.
+    bounded lists, made by exploding one as an array; positions (numbers or texts) are numbered within these.
     """
     few = [df.select(clean_text(F.col("query")).alias("q"), "position").where(F.col("q").isNotNull()).orderBy("position").limit(limit) for df in (brands, categories)]
     listed = few[1].agg(F.sort_array(F.collect_list(F.struct("position", "q"))).alias("c")).first()["c"]
     names = F.array(*(F.lit(x["q"]) for x in listed)) if listed else F.array().cast("array<string>")
-    pairs = few[0].select("q", "position", F.posexplode(names).alias("no", "category"))
+    numbered = few[0].withColumn("position", F.row_number().over(Window.orderBy("position", "q")))  # of ``limit`` rows
+    pairs = numbered.select("q", "position", F.posexplode(names).alias("no", "category"))
     at = F.col("position").cast("long") * max(len(listed), 1) + F.col("no")
     keyed = pairs.select(F.concat_ws(" ", "q", "category").alias("query"), at.alias("position"))
     return dedupe_queries(keyed, ("position",)).orderBy("at").limit(limit).select("query", F.col("at.position").alias("position"))

@@ -266,7 +266,20 @@ def r14_autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.autocomplete(prefixes, hits, part_records(spark, sf_dir), 10)
 
 
-@query()
+@query(
+    f"""
+WITH {_INDEXED},
+ls AS (SELECT p_type AS text_id, list_sort(list(DISTINCT concat_ws(' ', p_brand, p_name)))[1:24] AS texts FROM part GROUP BY p_type),
+ln AS (SELECT text_id, unnest(texts) AS line, generate_subscripts(texts, 1) - 1 AS line_no FROM ls),
+q0 AS (SELECT DISTINCT line AS query_id FROM ln), {hits_sql(24)},
+kq AS (SELECT query_id, {sql_key("query_id", True)} AS key, list_transform(regexp_extract_all(query_id, '[0-9A-Za-z가-힣]+'), lambda w: {sql_key("w", True)}) AS toks FROM q0),
+ks AS (SELECT *, list_filter(toks, lambda w: length(w) >= 2 AND NOT regexp_matches(w, 'gray|grey|brown|pink|peach|그레이|^[0-9]+$')) AS dist FROM kq),
+kh AS (SELECT record_key, {sql_key("concat_ws(' ', brand, name_ko, category)", True)} AS h FROM rec),
+pr AS (SELECT ks.query_id, doc, rank, key, toks, dist, h, len(dist) AS want, len(list_filter(dist, lambda w: contains(h, w))) AS got FROM hits JOIN ks USING (query_id) JOIN kh ON doc = record_key),
+ms AS (SELECT query_id, doc, rank, CASE WHEN CASE WHEN want >= 2 THEN got >= greatest(2, want - 1) ELSE got = want END THEN CASE WHEN contains(h, key) THEN 100 ELSE 0 END + 10 * len(list_filter(toks, lambda w: length(w) >= 2 AND contains(h, w))) ELSE 0 END AS match_score FROM pr),
+bs AS (SELECT ms.*, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, p_size % 10 DESC, doc % 5, rank) AS rn FROM ms JOIN part ON doc = p_partkey)
+SELECT text_id, CAST(line_no AS INTEGER) AS line_no, line, doc, CAST(match_score AS INTEGER) AS match_score FROM ln JOIN bs ON query_id = line WHERE rn = 1 AND match_score > 0"""
+)
 def r15_search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of up to 24 names a type sells, pasted as lines; the best product of each line."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

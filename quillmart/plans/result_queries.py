@@ -152,6 +152,42 @@ def n10_renormalize_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("field").agg(F.count(F.lit(1)).alias("changes"))
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records of an index; every eighth has an old display name, every fifth is of a source that is not scanned."""
+    n = F.col("id")
+    made = records(spark, sf_dir).withColumns({"product_name_display_ko": F.when(n % 8 == 0, "old name"), "source": F.when(n % 5 == 0, "official:x").otherwise("musinsa:kr"), "search_text": F.lit("old")})
+    return made.withColumn("source_url", F.when(n % 9 != 0, F.concat(F.lit("/p/"), n.cast("string"))))
+
+
+_RENAMED = """
+WITH r AS (SELECT *, p_partkey % 5 <> 0 AS scanned FROM part)"""
+
+
+@query(
+    f"""
+{_RENAMED}
+SELECT 'scanned' AS measure, count(*) AS n FROM r WHERE scanned UNION ALL SELECT 'changed', count(*) FROM r WHERE scanned UNION ALL SELECT 'field:source_brand_name_en', count(*) FROM r WHERE scanned
+UNION ALL SELECT 'field:product_name_en', count(*) FROM r WHERE scanned UNION ALL SELECT 'field:product_name_display_ko', count(*) FROM r WHERE scanned UNION ALL SELECT 'field:product_name_display_en', count(*) FROM r WHERE scanned
+UNION ALL SELECT 'field:source_url', count(*) FROM r WHERE scanned AND p_partkey % 9 <> 0 UNION ALL SELECT 'field:image_url', count(*) FROM r WHERE scanned AND p_partkey % 2 = 0 UNION ALL SELECT 'field:currency', count(*) FROM r WHERE scanned"""
+)
+def n10_backfill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.renormalize_backfill(stored_records(spark, sf_dir), part_aliases(spark, sf_dir), "https://shop.example/", "id", True, ("musinsa",))[2]
+
+
+@query(
+    rf"""
+{_RENAMED}, t AS (SELECT *, regexp_replace(concat_ws('  ', p_brand, p_name), '\s+', ' ', 'g') AS whole, regexp_replace(p_name, '(?i)^new ', '') AS shown FROM r)
+SELECT p_partkey AS id, CASE WHEN NOT scanned AND p_partkey % 4 <> 0 THEN p_brand END AS source_brand_name, CASE WHEN scanned THEN p_brand END AS source_brand_name_en, CASE WHEN scanned THEN whole END AS product_name_en,
+  CASE WHEN scanned THEN shown WHEN p_partkey % 8 = 0 THEN 'old name' END AS product_name_display_ko, CASE WHEN scanned THEN shown END AS product_name_display_en,
+  CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN scanned THEN 'https://shop.example' ELSE '' END || '/p/' || p_partkey END AS source_url,
+  CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN scanned THEN 'https://shop.example' ELSE '' END || '/img.jpg' END AS image_url, CASE WHEN scanned THEN 'KRW' END AS currency,
+  CASE WHEN scanned THEN {sql_key("concat_ws(' ', p_brand, CASE WHEN p_partkey % 10 <> 0 THEN concat('part:', CAST(p_partkey AS VARCHAR)) END, whole, whole, shown, shown, p_type, CAST(p_partkey AS VARCHAR))")} ELSE 'old' END AS search_text FROM t"""
+)
+def n10_backfill_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updated = normalize.renormalize_backfill(stored_records(spark, sf_dir), part_aliases(spark, sf_dir), "https://shop.example/", "id", True, ("musinsa",))[0]
+    return updated.select("id", *normalize.NORMALIZED_COLUMNS, "search_text")
+
+
 # ---- merging
 
 
@@ -235,8 +271,7 @@ def m13_coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
 
     def listed(name: str) -> DataFrame:
-        # Positions follow the text's order; the rank of a short dimension of names.
-        return part.select(F.col(name).alias("query")).distinct().withColumn("position", F.dense_rank().over(search.Window.orderBy("query")))
+        return part.select(F.col(name).alias("query")).distinct().withColumn("position", F.col("query"))
 
     brands, types, names = listed("p_brand"), listed("p_type"), listed("p_name")
     return results.plan_queries([brands, results.coverage_pairs(brands, types, 60), names], 120)
@@ -256,7 +291,7 @@ def j10_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     asked = part.select(F.concat_ws(" ", "p_name", F.split_part("p_type", F.lit(" "), F.lit(1))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
     entries = part.groupBy(F.col("p_name").alias("entry")).agg(F.sort_array(F.collect_set("p_brand")).alias("terms"))
-    entries = entries.withColumn("position", F.dense_rank().over(search.Window.orderBy("entry")))
+    entries = entries.withColumn("position", F.col("entry"))  # entries come in the order of their texts
     return results.expand_terms(asked, entries, 12)
 
 
@@ -264,14 +299,16 @@ def j10_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH q AS (SELECT DISTINCT p_brand AS grp, concat_ws(' ', p_brand, p_name) AS query_id FROM part),
 h AS (SELECT DISTINCT concat_ws(' ', p_brand, p_name) AS query_id FROM part WHERE p_size > 35)
-SELECT grp AS "group", count(*) AS total, count(h.query_id) AS passed, count(h.query_id) / count(*) AS pass_rate,
-  array_to_string(coalesce(list_sort(list(q.query_id) FILTER (h.query_id IS NULL)), []), '|') AS failed
-FROM q LEFT JOIN h ON q.query_id = h.query_id GROUP BY grp"""
+SELECT 'group' AS kind, grp AS "group", NULL AS query_id, count(*) AS total, count(h.query_id) AS passed, count(h.query_id) / count(*) AS pass_rate FROM q LEFT JOIN h ON q.query_id = h.query_id GROUP BY grp
+UNION ALL SELECT 'failed', grp, q.query_id, NULL, NULL, NULL FROM q ANTI JOIN h ON q.query_id = h.query_id"""
 )
 def a17_coverage_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").withColumn("query_id", F.concat_ws(" ", "p_brand", "p_name"))
     asked = part.select(F.col("p_brand").alias("group"), "query_id").distinct()
-    return analytics.coverage_backtest(asked, part.where(F.col("p_size") > 35)).withColumn("failed", F.array_join("failed", "|"))
+    found, none = part.where(F.col("p_size") > 35), F.lit(None)
+    groups = analytics.coverage_backtest(asked, found).select(F.lit("group").alias("kind"), "group", none.cast("string").alias("query_id"), "total", "passed", "pass_rate")
+    failed = analytics.failed_queries(asked, found).select(F.lit("failed").alias("kind"), "group", "query_id")
+    return groups.unionByName(failed, allowMissingColumns=True)
 
 
 @query(
@@ -297,6 +334,58 @@ def n_is_image(rows: DataFrame):
     return rows["id"] % 3 == 0
 
 
+@query(
+    f"""
+WITH o AS (SELECT part_no % 40 AS query_id, {cq.SQL_ORDER} AS rnk, CASE WHEN starts_with(source, 'oliveyoung') THEN CASE WHEN seq % 2 = 0 THEN 0 ELSE 1 END ELSE 2 END AS class,
+    CASE WHEN source_product_id IS NOT NULL THEN concat(source, ':', source_product_id) ELSE concat(source, ':', {sql_key("source_url", True)}) END AS record_key, category, source FROM listing_obs),
+g AS (SELECT query_id, record_key, min(row(class, rnk)) AS place, arg_max(category, row(class, rnk)) AS category, arg_min(source, row(class, rnk)) AS source FROM o GROUP BY ALL)
+SELECT query_id, record_key, CAST(no AS INTEGER) AS no, category, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, record_key) AS no FROM g) WHERE no <= 48""",
+    "listing_obs",
+)
+def u1_source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all sources have collected for forty queries: the primary retailer's records first, those of the primary query before others."""
+    c = F.col
+    obs = cq.observations(spark, sf_dir)
+    primary = F.startswith("source", F.lit("oliveyoung"))
+    key = keys.collection_record_key(c("source"), c("source_product_id"), c("source_brand_name"), c("product_name_en"), c("source_url"))
+    rows = obs.withColumns({"query_id": c("part_no") % 40, "source_class": F.when(primary, F.when(c("seq") % 2 == 0, 0).otherwise(1)).otherwise(2), "record_key": key})
+    return results.union_sources(rows, 24, cq.ORDER).select("query_id", "record_key", "no", "category", "source")
+
+
+@query(
+    """
+WITH o AS (SELECT DISTINCT part_no, source, source_product_id, source_url, tie AS price, CASE WHEN seq % 11 = 0 THEN 'verified' WHEN seq % 7 = 0 THEN 'pending_review' WHEN seq % 5 = 0 THEN 'rejected' END AS review_state,
+    CASE source WHEN 'oliveyoung' THEN 10 WHEN 'oliveyoung-global' THEN 15 WHEN 'musinsa' THEN 30 WHEN 'official' THEN 20 WHEN 'coupang' THEN 35 ELSE 45 END AS p FROM listing_obs),
+r AS (SELECT *, row_number() OVER (PARTITION BY part_no, source, coalesce(source_product_id, source_url) ORDER BY review_state IS NULL, (source_product_id IS NOT NULL)::int DESC, source, source_product_id NULLS FIRST, source_url, price, review_state NULLS FIRST) AS rn FROM o),
+s AS (SELECT part_no, count(*) FILTER (review_state IS NULL OR review_state = 'verified') AS shown, count(*) FILTER (review_state = 'pending_review') AS pending,
+   arg_min(price, row(p, source, source_url)) FILTER (review_state IS NULL OR review_state = 'verified') AS price FROM r WHERE rn = 1 GROUP BY 1),
+h AS (SELECT p_type AS query_id, p_partkey, p_size, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_size > 20),
+x AS (SELECT query_id, rank, h.p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS upd, coalesce(shown, 0) AS shown, coalesce(pending, 0) AS pending, CASE WHEN p_partkey % 3 = 0 THEN 1.5 ELSE price END AS price FROM h LEFT JOIN s ON s.part_no = h.p_partkey WHERE rank <= 12)
+SELECT q.p_type AS query_id, CAST(count(rank) AS BIGINT) AS count, CASE WHEN count(rank) = 0 THEN 'empty_pending' WHEN count(rank) >= 12 THEN 'complete' ELSE 'partial' END AS completeness, max(upd) AS checked_at, CAST(coalesce(sum(pending), 0) AS BIGINT) AS pending_offer_count,
+  coalesce(string_agg(concat_ws(':', CAST(p_partkey AS VARCHAR), CAST(shown AS VARCHAR), CAST(round(coalesce(price, -1) * 100) AS BIGINT)), ',' ORDER BY rank), '') AS results
+FROM (SELECT DISTINCT p_type FROM part) q LEFT JOIN x ON q.p_type = x.query_id GROUP BY 1""",
+    "listing_obs",
+)
+def r16_assembled_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R16 with J12, A6, A7: twelve products of each type with their stored offers, those under review held back, prices filled from what is shown."""
+    n, seq, none = F.col("p_partkey"), F.col("seq"), F.lit(None)
+    offers = cq.observations(spark, sf_dir).select(
+        F.col("part_no").cast("string").alias("canonical_product_id"), "source", "source_product_id", "source_url", F.col("tie").alias("price"), none.cast("double").alias("original_price"), none.cast("double").alias("sale_price"),
+        none.cast("string").alias("currency"), none.cast("string").alias("image_url"), none.cast("string").alias("updated_at"), F.when(seq % 11 == 0, "verified").when(seq % 7 == 0, "pending_review").when(seq % 5 == 0, "rejected").alias("review_state"),
+        keys.source_priority(F.col("source")).alias("source_priority"),
+    ).distinct()
+    fields = [c for c in offers.columns if c != "canonical_product_id"]
+    kind = f"array<struct<{','.join(f'{name}:{t}' for name, t in offers.dtypes if name != 'canonical_product_id')}>>"
+    part = read(spark, sf_dir, "part")
+    order = search.Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey")
+    found = part.where(F.col("p_size") > 20).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 12).select(
+        F.col("p_type").alias("query_id"), "rank", n.cast("string").alias("canonical_product_id"), F.array().cast(kind).alias("offers"), F.when(n % 2 == 0, F.col("p_size").cast("string")).alias("updated_at"), F.when(n % 3 == 0, 1.5).alias("price"),
+    )
+    told = results.assemble_responses(part.select(F.col("p_type").alias("query_id")).distinct(), found, offers, 12, fields)
+    shown = F.transform("results", lambda r: F.concat_ws(":", r["canonical_product_id"], F.size(r["offers"]).cast("string"), F.round(F.coalesce(r["price"], F.lit(-1.0)) * 100).cast("long").cast("string")))
+    return told.select("query_id", "count", "completeness", F.col("freshness.checked_at").alias("checked_at"), "pending_offer_count", F.array_join(shown, ",").alias("results"))
+
+
 # ---- pages
 
 
