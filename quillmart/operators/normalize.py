@@ -250,10 +250,10 @@ def renormalize_backfill(
     within = F.lit(not source_prefixes)
     for prefix in source_prefixes:
         within = within | F.startswith("source", F.lit(prefix))
-    packed = records.withColumns({"__key": F.col(key), "__scanned": F.coalesce(within, F.lit(False)), "__before": F.struct(*records.columns)})
+    packed = records.withColumns({"__of": F.col(key), "__scanned": F.coalesce(within, F.lit(False)), "__before": F.struct(*records.columns)})
     if recompute_display_names:
         packed = packed.withColumns({c: F.lit(None).cast("string") for c in ("product_name_display_ko", "product_name_display_en")})
-    after = product_to_record(normalize_records(packed, aliases, base_url, keep=("__key", "__scanned", "__before")))
+    after = product_to_record(normalize_records(packed, aliases, base_url, keep=("__of", "__scanned", "__before")))
     names = [c for c in NORMALIZED_COLUMNS if c in records.columns]
     pairs = F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"__before.{n}").cast("string").alias("before"), F.col(n).cast("string").alias("after")) for n in names))
     changed = F.filter(pairs, lambda p: p["after"].isNotNull() & ~p["before"].eqNullSafe(p["after"]))
@@ -261,12 +261,12 @@ def renormalize_backfill(
     is_changed = F.size("__changes") > 0
     values = {n: F.col(n) for n in names} | ({"search_text": search_text(after)} if "search_text" in records.columns else {})
     updated = judged.select(*(F.when(is_changed, values[c]).otherwise(F.col(f"__before.{c}")).alias(c) if c in values else F.col(f"__before.{c}").alias(c) for c in records.columns))
-    rows = judged.select(F.col("__key").alias(key), F.explode("__changes").alias("c")).select(key, "c.*")
+    rows = judged.select(F.col("__of").alias(key), F.explode("__changes").alias("c")).select(key, "c.*")
     of = lambda n: F.coalesce(F.sum(F.when(F.exists("__changes", lambda p: p["field"] == n), 1)), F.lit(0))
     counts = {"scanned": F.count_if(F.col("__scanned")), "changed": F.count_if(is_changed)} | {f"field:{n}": of(n) for n in names}
     one = judged.agg(*(c.cast("long").alias(n) for n, c in counts.items()))
     summary = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(f"`{n}`").alias("n")) for n in counts))).alias("m")).select("m.*").where((F.col("n") > 0) | ~F.startswith("measure", F.lit("field:")))
-    sampled = judged.where(is_changed).select(F.col("__key").alias(key), F.col("__changes").alias("changes")).orderBy(key).limit(samples)
+    sampled = judged.where(is_changed).select(F.col("__of").alias(key), F.col("__changes").alias("changes")).orderBy(key).limit(samples)
     return updated, rows, summary, sampled
 
 
