@@ -50,7 +50,7 @@ def parse_line(raw: Column) -> Column:
             F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(x["text"]).alias("normalized_query"),
         ))
 
-    start = F.struct(text.alias("text"), hashes.alias("hashes"), F.regexp_replace(text, r"#\s*([0-9A-Za-z가-힣._-]+)", " ").alias("bare"))
+    start = F.struct(text.alias("text"), hashes.alias("hashes"), F.regexp_replace(text, HASH_SHADE, " ").alias("bare"))
     return let(start, lambda x: let(read(x), finish))
 
 

@@ -138,7 +138,7 @@ def apply_versioned_reviews(matches: DataFrame, decisions: DataFrame, order: Seq
     A match's version is the ``decided_at`` of its last update (its ``updated_at`` at first). Whether one decision
     takes effect depends on all before it, so the decisions of one match are folded in order in one array.
     """
-    row = F.struct(*order, "decision", "decided_at", "expected_version")
+    row = F.struct(*order, *(c for c in ("decision", "decided_at", "expected_version") if c not in order))
     logs = decisions.groupBy("match_id").agg(F.sort_array(F.collect_list(row)).alias("log"))
     known = matches.select("match_id", F.col("review_state").alias("state"), F.col("updated_at").alias("version"), F.lit(True).alias("known"))
     both = logs.join(known, "match_id", "left")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmart.plans import catalog_queries, curation_queries, index_queries, log_queries, name_queries, result_queries, review_queries
+from quillmart.plans import catalog_queries, curation_queries, detail_queries, index_queries, log_queries, name_queries, result_queries, review_queries
 
 FLAGSHIP = "r2_bm25"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalog_queries.QUERIES, **log_queries.QUERIES, **result_queries.QUERIES, **review_queries.QUERIES, **index_queries.QUERIES, **name_queries.QUERIES, **curation_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**catalog_queries.ORACLE_SQL, **log_queries.ORACLE_SQL, **result_queries.ORACLE_SQL, **review_queries.ORACLE_SQL, **index_queries.ORACLE_SQL, **name_queries.ORACLE_SQL, **curation_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**catalog_queries.QUERIES, **log_queries.QUERIES, **result_queries.QUERIES, **review_queries.QUERIES, **index_queries.QUERIES, **name_queries.QUERIES, **curation_queries.QUERIES, **detail_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**catalog_queries.ORACLE_SQL, **log_queries.ORACLE_SQL, **result_queries.ORACLE_SQL, **review_queries.ORACLE_SQL, **index_queries.ORACLE_SQL, **name_queries.ORACLE_SQL, **curation_queries.ORACLE_SQL, **detail_queries.ORACLE_SQL}
