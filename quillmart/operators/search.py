@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.text import dedupe_texts, query_terms, search_key, tokens
 from quillmart.operators.containment import join_inside
-from quillmart.shared import stored
+from quillmart.shared import forget, stored
 
 #: BM25 parameters, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -36,7 +36,7 @@ def search_bm25(queries: DataFrame, postings: DataFrame, k: int, seen: DataFrame
     exact, and documents that share only common terms with a query are not met: the documents of its weightiest terms give a score that
     ``k`` of them reach; terms whose greatest weights add up to less can't lift a document to it by themselves. The
     other terms make the candidates, those are cut by what the rest could add, and the rest is looked up for them by
-    term and document.
+    term and document. The result is written, and the tables that it was made by are removed.
     """
     totals = postings.select("doc", "doc_len").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("mean_len"))
     stats = totals.first()  # one row: number and mean length of documents
@@ -53,10 +53,10 @@ def search_bm25(queries: DataFrame, postings: DataFrame, k: int, seen: DataFrame
     heavier = by_query.orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
     lighter = by_query.orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     terms = asked.join(bounds, "term").select("query_id", "term", "most", F.coalesce(F.sum("df").over(heavier), F.lit(0)).alias("met"), F.sum("most").over(lighter).alias("together"))
-    terms = stored(terms, "bounded-terms")
-    seeds = terms.where(F.col("met") < SEED * k).join(weighted, "term").groupBy("query_id", "doc").agg(F.sum("weight").alias("part"))
+    bounded = stored(terms, "bounded-terms")
+    seeds = bounded.where(F.col("met") < SEED * k).join(weighted, "term").groupBy("query_id", "doc").agg(F.sum("weight").alias("part"))
     least = seeds.withColumn("no", F.row_number().over(by_query.orderBy(F.desc("part")))).where(F.col("no") == k).select("query_id", (F.col("part") - MARGIN).alias("least"))
-    terms = stored(terms.join(least, "query_id", "left").select("query_id", "term", "most", (F.col("together") < F.col("least")).alias("light"), "least"), "query-terms")
+    terms = stored(bounded.join(least, "query_id", "left").select("query_id", "term", "most", (F.col("together") < F.col("least")).alias("light"), "least"), "query-terms")
 
     light = F.coalesce("light", F.lit(False))
     limits = terms.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(light, F.col("most"))), F.lit(0.0)).alias("more"))
@@ -69,9 +69,10 @@ def search_bm25(queries: DataFrame, postings: DataFrame, k: int, seen: DataFrame
         near = scored.withColumn("place", F.rank().over(by_query.orderBy(order[0]))).where(F.col("place") <= k)
         scored = near.join(seen, "doc", "left").select("query_id", "doc", "score", "seen")
         order.insert(1, F.col("seen").desc_nulls_last())
-        return scored.withColumn("rank", F.row_number().over(by_query.orderBy(*order))).where(F.col("rank") <= k).drop("seen")
-    best = by_query.orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(by_query.orderBy(*order))).where(F.col("rank") <= k)
+    found = stored(best.select("query_id", "doc", "score", "rank"), "full-text-hits")
+    forget(asked, weighted, bounded, terms, met)
+    return found
 
 
 def _grams(key: Column) -> Column:

@@ -30,4 +30,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df``, written to the shared folder and read again: computed once, however often it is used."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that :func:`stored` has made. Nothing that is still to be computed may read them."""
+    for t in tables:
+        jvm, spark = t.sparkSession.sparkContext._jvm, t.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
