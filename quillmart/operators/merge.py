@@ -145,31 +145,33 @@ def merge_products(products: DataFrame, key_col: str, order: Sequence[str], fiel
     merged. ``group`` keeps searches apart. Returns ``group, key, fields, quality_score,
     source_priority, source, n_merged, position``.
 
-    The fold is sequential, so the rows of a key meet in one array; products of one key are as many as its sources and
-    variants. Placeholders that would gather very many rows belong in a null key.
+    What a fold of the rows in order would give is told by two running values, the best priority and the greatest quality
+    before a row: they say which rows replace the representative. A field is that of the last such row that has it; a
+    filled field that none of them has is the first known one. So the rows of a key stream through a window and an
+    aggregation in one pass, and a key may have any number of them. (Keywords are gathered, each list once.)
     """
     held = list(dict.fromkeys([*fields, "source", "source_priority", "quality_score"]))
-    row = F.struct(F.struct(*order).alias("at"), *(F.col(f) for f in held))
-    alone = products.where(F.col(key_col).isNull()).select(*group, F.col(key_col).alias("key"), *(F.col(f) for f in held), F.lit(1).alias("n_merged"), F.struct(*order).alias("position"))
-    gathered = products.where(F.col(key_col).isNotNull()).groupBy(*group, F.col(key_col).alias("key")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        priority = lambda r: -F.coalesce(r["source_priority"], F.lit(DEFAULT_PRIORITY))
-        better = (priority(x) > priority(acc)) | ((priority(x) == priority(acc)) & (x["quality_score"] > acc["quality_score"]))
-        out = [acc["at"].alias("at")]
-        for f in held:
-            if f == "quality_score":
-                out.append(F.greatest(acc[f], x[f]).alias(f))
-            elif f == "search_keywords":
-                out.append(let(text_union(acc[f], x[f]), lambda u: F.when(F.size(u) > 0, u)).alias(f))
-            elif f in FILLED_FIELDS:
-                out.append(F.when(better, F.coalesce(x[f], acc[f])).otherwise(F.coalesce(acc[f], x[f])).alias(f))
-            else:
-                out.append(F.when(better, x[f]).otherwise(acc[f]).alias(f))
-        return F.struct(*out)
-
-    folded = gathered.select(*group, "key", F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.element_at("rows", 1), step).alias("r"), F.size("rows").alias("n_merged"))
-    merged = folded.select(*group, "key", *(F.col(f"r.{f}").alias(f) for f in held), "n_merged", F.col("r.at").alias("position"))
+    rank = F.struct(*order)
+    alone = products.where(F.col(key_col).isNull()).select(*group, F.col(key_col).alias("key"), *(F.col(f) for f in held), F.lit(1).alias("n_merged"), rank.alias("position"))
+    rows = products.where(F.col(key_col).isNotNull()).withColumns({"__key": F.col(key_col), "__at": rank, "__p": F.coalesce("source_priority", F.lit(DEFAULT_PRIORITY))})
+    earlier = Window.partitionBy(*group, "__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"__best": F.min("__p").over(earlier), "__most": F.max("quality_score").over(earlier), "__no": F.count(F.lit(1)).over(earlier)})
+    better = (F.col("__no") == 0) | (F.col("__p") < F.col("__best")) | ((F.col("__p") == F.col("__best")) & (F.col("quality_score") > F.col("__most")))
+    rows = rows.withColumn("__better", F.coalesce(better, F.lit(False)))
+
+    def folded(f: str) -> Column:
+        if f == "quality_score":
+            return F.max(f)
+        if f == "search_keywords":
+            lists = F.sort_array(F.collect_list(F.when(F.col(f).isNotNull(), F.struct("__at", f))))
+            union = F.reduce(lists, F.array().cast("array<string>"), lambda acc, x: text_union(acc, x[f]))
+            return let(union, lambda u: F.when(F.size(u) > 0, u))
+        if f in FILLED_FIELDS:
+            known = F.col(f).isNotNull()
+            return F.coalesce(F.max_by(f, F.when(F.col("__better") & known, F.col("__at"))), F.min_by(f, F.when(known, F.col("__at"))))
+        return F.max_by(f, F.when(F.col("__better"), F.col("__at")))
+
+    merged = rows.groupBy(*group, F.col("__key").alias("key")).agg(*(folded(f).alias(f) for f in held), F.count(F.lit(1)).cast("int").alias("n_merged"), F.min("__at").alias("position"))
     return merged.unionByName(alone)
 
 

@@ -1,5 +1,7 @@
 """Unions of sources, responses with stored offers, keyword unions, and normalizing stored records again, by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,33 @@ def test_stored_records_are_normalized_again(spark, recompute):
     assert after["2"]["currency"] is None and after["2"]["search_text"] == "old" and after["1"]["search_text"] not in ("old", None)
     assert after["3"]["source_brand_name"] is None  # a changed record has all columns as normalized; a Latin brand is no Korean one
     assert after["4"]["product_name_display_ko"] == ("쿠션" if recompute else "x")
+
+
+def fold_by_hand(rows):
+    """The fold, row by row: ``rows`` are (priority, quality, name, category, keywords) in order."""
+    acc = None
+    for p, q, name, category, words in rows:
+        p = merge.DEFAULT_PRIORITY if p is None else p
+        words = [w.strip() for w in words or [] if w.strip()]
+        if acc is None:
+            acc = {"p": p, "q": q, "source": name, "brand_en": category, "words": list(dict.fromkeys(words))}
+            continue
+        better = p < acc["p"] or (p == acc["p"] and q is not None and acc["q"] is not None and q > acc["q"])
+        acc["brand_en"] = (category if category is not None else acc["brand_en"]) if better else (acc["brand_en"] if acc["brand_en"] is not None else category)
+        if better:
+            acc["p"], acc["source"] = p, name
+        acc["q"] = max((x for x in (acc["q"], q) if x is not None), default=None)
+        acc["words"] = list(dict.fromkeys(acc["words"] + words))
+    return acc["source"], acc["q"], acc["brand_en"], acc["words"] or None, len(rows)
+
+
+def test_the_product_fold_is_that_of_rows_in_turn(spark):
+    rng = random.Random(4)
+    keys = {f"k{i}": [(rng.choice([10, 20, 30, None]), rng.choice([1, 2, 3, 5, 8]), f"s{i}.{j}", rng.choice([None, None, "a", "b", "c"]), rng.choice([None, ["x"], [" y ", "", "z"]])) for j in range(rng.randint(1, 9))] for i in range(150)}
+    rows = [(k, j, n, p, q, c, w) for k, rs in keys.items() for j, (p, q, n, c, w) in enumerate(rs)] + [(None, 0, "alone", 1, 1, "a", ["x"])] * 2
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, pos int, source string, source_priority int, quality_score int, brand_en string, search_keywords array<string>").repartition(3)
+    got = merge.merge_products(df, "key", ("pos",), ["brand_en", "search_keywords"]).collect()
+    assert sum(r["key"] is None for r in got) == 2
+    assert {r["key"]: (r["source"], r["quality_score"], r["brand_en"], r["search_keywords"], r["n_merged"]) for r in got if r["key"]} == {k: fold_by_hand(rs) for k, rs in keys.items()}
+    assert merge.merge_products(df.limit(0), "key", ("pos",), ["brand_en"]).collect() == []
