@@ -152,9 +152,10 @@ def merge_products(products: DataFrame, key_col: str, order: Sequence[str], fiel
     """
     held = list(dict.fromkeys([*fields, "source", "source_priority", "quality_score"]))
     rank = F.struct(*order)
-    alone = products.where(F.col(key_col).isNull()).select(*group, F.col(key_col).alias("key"), *(F.col(f) for f in held), F.lit(1).alias("n_merged"), rank.alias("position"))
-    rows = products.where(F.col(key_col).isNotNull()).withColumns({"__key": F.col(key_col), "__at": rank, "__p": F.coalesce("source_priority", F.lit(DEFAULT_PRIORITY))})
-    earlier = Window.partitionBy(*group, "__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    # A row without a key is a group of its own; rows that are equal in all their fields are counted and given again.
+    own = F.when(F.col(key_col).isNull(), F.struct(rank.alias("at"), *(F.col(f) for f in held)))
+    rows = products.withColumn("__key", F.col(key_col)).withColumns({"__own": own, "__at": rank, "__p": F.coalesce("source_priority", F.lit(DEFAULT_PRIORITY))})
+    earlier = Window.partitionBy(*group, "__key", "__own").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"__best": F.min("__p").over(earlier), "__most": F.max("quality_score").over(earlier), "__no": F.count(F.lit(1)).over(earlier)})
     better = (F.col("__no") == 0) | (F.col("__p") < F.col("__best")) | ((F.col("__p") == F.col("__best")) & (F.col("quality_score") > F.col("__most")))
     rows = rows.withColumn("__better", F.coalesce(better, F.lit(False)))
@@ -171,8 +172,11 @@ def merge_products(products: DataFrame, key_col: str, order: Sequence[str], fiel
             return F.coalesce(F.max_by(f, F.when(F.col("__better") & known, F.col("__at"))), F.min_by(f, F.when(known, F.col("__at"))))
         return F.max_by(f, F.when(F.col("__better"), F.col("__at")))
 
-    merged = rows.groupBy(*group, F.col("__key").alias("key")).agg(*(folded(f).alias(f) for f in held), F.count(F.lit(1)).cast("int").alias("n_merged"), F.min("__at").alias("position"))
-    return merged.unionByName(alone)
+    merged = rows.groupBy(*group, "__key", "__own").agg(*(folded(f).alias(f) for f in held), F.count(F.lit(1)).cast("int").alias("__n"), F.min("__at").alias("position"))
+    alone = F.col("__key").isNull()
+    again = F.explode(F.array_repeat(F.lit(1), F.when(alone, F.col("__n")).otherwise(1)))
+    told = merged.withColumn("__again", again).withColumn("n_merged", F.when(alone, 1).otherwise(F.col("__n")))
+    return told.select(*group, F.col("__key").alias("key"), *held, "n_merged", "position")
 
 
 def attach_offers(results: DataFrame, offers: DataFrame, fields: Sequence[str]) -> DataFrame:
