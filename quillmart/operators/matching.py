@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.keys import DEFAULT_PRIORITY
 from quillmart.functions.text import clean_text, let, service_key, service_key_of
+from quillmart.shared import once_for_each
 
 #: Words that name a category, words that name a colour, and single words that ask for discovery.
 CATEGORY_WORDS = (
@@ -77,6 +78,16 @@ def query_class(query: Column, brand_alias: Column, product_query: Column, has_r
     )
 
 
+def with_query_classes(queries: DataFrame) -> DataFrame:
+    """Queries with what :func:`match_scores` needs of ``product_query``, made before they meet products."""
+    return queries.withColumn("__q", token_classes(F.col("product_query")))
+
+
+def with_haystack(products: DataFrame, haystack: list[str]) -> DataFrame:
+    """Products with what :func:`match_scores` needs of them, made before they meet queries."""
+    return products.withColumn("__h", service_key(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in haystack))))
+
+
 def match_scores(pairs: DataFrame, haystack: list[str]) -> DataFrame:
     """Adds ``match_score`` to pairs of a query and a product; 0 is no match.
 
@@ -84,8 +95,8 @@ def match_scores(pairs: DataFrame, haystack: list[str]) -> DataFrame:
     two). Then the whole query in it gives 100 and each token of two characters or more 10. ``haystack`` names the
     product's text columns; pairs also have ``product_query``.
     """
-    text = service_key(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in haystack)))
-    rows = pairs.withColumns({"__q": token_classes(F.col("product_query")), "__h": text})
+    rows = pairs if "__q" in pairs.columns else with_query_classes(pairs)
+    rows = rows if "__h" in pairs.columns else with_haystack(rows, haystack)
     h, q = F.col("__h"), F.col("__q")
     within = lambda words: F.size(F.filter(words, lambda w: F.contains(h, w)))
     n = F.size(q["distinctive"])
@@ -115,19 +126,30 @@ def rank_matches(scored: DataFrame, by_score: bool = True, strict_only: bool = F
 def search_catalog(queries: DataFrame, catalog: DataFrame, text_col: str, key_col: str, group_col: str) -> DataFrame:
     """``(query_id, key)`` of products that hold a query's key or all of its tokens, and of all products of their group.
 
-    Products are looked up by the tokens' three-character grams through :func:`search.search_substring` for each token;
+    Distinct texts are looked up by the tokens' three-character grams through :func:`search.search_substring` for each token;
     those that all tokens find, or the whole key, match. Queries without tokens find nothing.
     """
     from quillmart.operators.search import search_substring
 
-    docs = catalog.select(F.col(key_col).alias("doc"), F.col(group_col).alias("group"), service_key(F.col(text_col)).alias("search_text"))
+    rows = catalog.select(F.col(key_col).alias("doc"), F.col(group_col).alias("group"), F.col(text_col).alias("text"))
+    rows = once_for_each(rows, {"text": F.col("text")}, {"search_text": service_key(F.col("text"))}).select("doc", "group", "search_text").distinct()
+    texts = rows.select("search_text").distinct().withColumn("doc", F.col("search_text"))
     tokens = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.transform(_words(F.col("query")), lambda w: service_key(w)), lambda t: t != ""))).alias("token"))
     words = tokens.select(F.col("token").alias("query_id"), F.col("token").alias("query")).distinct()
-    by_token = search_substring(words, docs, 2**31 - 1, "doc", key=lambda k: k).select(F.col("query_id").alias("token"), "doc")
+    by_token = search_substring(words, texts, 2**31 - 1, "doc", key=lambda k: k).select(F.col("query_id").alias("token"), "doc")
     need = tokens.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     every = tokens.join(by_token, "token").groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("met")).join(need, "query_id").where(F.col("met") == F.col("n"))
-    whole = search_substring(queries.select("query_id", "query"), docs, 2**31 - 1, "doc", key=service_key)
-    hits = every.select("query_id", "doc").unionByName(whole.select("query_id", "doc")).distinct()
-    groups = hits.join(docs.select("doc", "group"), "doc").where(F.col("group").isNotNull()).select("query_id", "group").distinct()
-    mates = groups.join(docs.where(F.col("group").isNotNull()).select("doc", "group"), "group").select("query_id", "doc")
-    return hits.unionByName(mates).distinct().select("query_id", F.col("doc").alias("key"))
+    whole = search_substring(queries.select("query_id", "query"), texts, 2**31 - 1, "doc", key=service_key)
+    hits = every.select("query_id", "doc").unionByName(whole.select("query_id", "doc")).distinct().withColumnRenamed("doc", "search_text")
+    grouped = rows.where(F.col("group").isNotNull()).select("search_text", "group").distinct()
+    groups = hits.join(grouped, "search_text").select("query_id", "group").distinct()
+    # A product of a group is found by its group, itself a mate; one without a group by its text. A key of several rows may
+    # be found in more than one way, so it is told apart.
+    marked = rows.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("doc")) > 1)
+
+    def found(docs: DataFrame) -> DataFrame:
+        mates = groups.join(docs.where(F.col("group").isNotNull()), "group").select("query_id", F.col("doc").alias("key"))
+        alone = hits.join(docs.where(F.col("group").isNull()), "search_text").select("query_id", F.col("doc").alias("key"))
+        return mates.unionByName(alone)
+
+    return found(marked.where(~F.col("several"))).unionByName(found(marked.where("several")).distinct())
