@@ -11,7 +11,7 @@ from quillmart.operators import editor, jobs, matches, matching, merge, results,
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans import log_queries as lq
 from quillmart.plans.views import VIEWS, sql_key, view, with_views
-from quillmart.shared import fresh_path
+from quillmart.shared import fresh_path, spread
 from quillmart.streaming import query_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,7 +157,8 @@ def r7_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         empty.alias("tags"), empty.alias("ingredients"), empty.alias("review_keywords"), (F.col("p_size") / 4.0).alias("rating"), F.col("p_size").alias("review_count"), F.lit(None).cast("int").alias("sales_count"),
         F.lit(40).alias("quality_score"), (F.col("p_partkey") % 4 * 2).cast("int").alias("index"),
     )
-    pairs = asked.join(docs, asked["term"] == docs["brand"]).withColumn("expanded_terms", F.array("term"))
+    asked, docs = search.with_asked_keys(spread(asked).withColumn("expanded_terms", F.array("term"))), search.with_document_keys(spread(docs))
+    pairs = asked.join(docs, asked["term"] == docs["brand"])
     return search.score_documents(pairs).select("query", "id", "score")
 
 
@@ -241,8 +242,10 @@ def r8_match_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     asked = part.select(F.col("p_name").alias("product_query"), F.col("p_brand").alias("asked_brand")).distinct()
     docs = part.select(F.col("p_partkey").alias("index"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("quality_score"), F.lit(10).alias("source_priority"))
+    haystack = ["brand", "name", "category"]
+    asked, docs = matching.with_query_classes(spread(asked)), matching.with_haystack(spread(docs), haystack)
     pairs = asked.join(docs, asked["asked_brand"] == docs["brand"]).withColumn("query_id", F.concat_ws("|", "product_query", "asked_brand"))
-    ranked = matching.rank_matches(matching.match_scores(pairs, ["brand", "name", "category"]))
+    ranked = matching.rank_matches(matching.match_scores(pairs, haystack))
     return ranked.select(F.col("product_query").alias("query"), F.col("asked_brand").alias("p_brand"), F.col("index").alias("id"), "match_score", "rank")
 
 
