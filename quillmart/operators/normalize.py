@@ -11,6 +11,7 @@ from quillmart.functions.names import brand_names, display_name, translated_type
 from quillmart.functions.text import absolute_url, brand_key, clean_text, has_hangul, has_latin, let
 from quillmart.operators.containment import join_inside
 from quillmart.operators.merge import missing_fields, quality_score
+from quillmart.shared import once_for_each, spread
 
 #: Words that shops write in place of a brand.
 BRAND_NOISE = ("(NEW", "NEW", "뿌리는")
@@ -139,30 +140,37 @@ def normalize_records(df: DataFrame, aliases: DataFrame, base_url: str, external
     ``discount_rate`` are carried over where the frame has them, and the columns that ``keep`` names as they are.
     """
     c = F.col
-    named = resolve_brand(df, aliases, "source_brand_name", ["product_name_ko"], "__resolved", external, keep_match="__found")
-    named = named.withColumns({
-        "__ko": brand_ko(c("source_brand_name"), c("__found.alias"), BRAND_NOISE),
-        "__en": F.coalesce(clean_text(c("source_brand_name_en")), c("__resolved")),
-    }).withColumn("__key", brand_key(c("__en")))
-    named = named.join(registered_names(aliases).select(c("alias_key").alias("__key"), c("names").alias("__names")), "__key", "left")
-    name_ko = clean_text(c("product_name_ko"))
-    name_en = F.coalesce(clean_text(c("product_name_en")), F.when(has_latin(name_ko) & ~has_hangul(name_ko), name_ko))
-    brands = brand_names([c("__ko"), c("__en"), c("source_brand_name"), c("source_brand_name_en")], c("__names"))
-    named = named.withColumns({"__brands": brands, "__variants": F.array("shade")})
-    display_ko = F.coalesce(clean_text(c("product_name_display_ko")), display_name(name_ko, c("__brands"), c("__variants")))
-    display_en = F.coalesce(clean_text(c("product_name_display_en")), display_name(name_en, c("__brands"), c("__variants")), translated_type(c("__display_ko")))
+
+    def texts(given: DataFrame) -> DataFrame:
+        named = resolve_brand(given, aliases, "source_brand_name", ["product_name_ko"], "__resolved", external, keep_match="__found")
+        named = named.withColumns({
+            "__ko": brand_ko(c("source_brand_name"), c("__found.alias"), BRAND_NOISE),
+            "__en": F.coalesce(clean_text(c("source_brand_name_en")), c("__resolved")),
+        }).withColumn("__key", brand_key(c("__en")))
+        named = named.join(registered_names(aliases).select(c("alias_key").alias("__key"), c("names").alias("__names")), "__key", "left")
+        name_ko = clean_text(c("product_name_ko"))
+        name_en = F.coalesce(clean_text(c("product_name_en")), F.when(has_latin(name_ko) & ~has_hangul(name_ko), name_ko))
+        brands = brand_names([c("__ko"), c("__en"), c("source_brand_name"), c("source_brand_name_en")], c("__names"))
+        named = named.withColumns({"__brands": brands, "__variants": F.array("shade"), "__name_ko": name_ko, "__name_en": name_en})
+        named = named.withColumn("__display_ko", F.coalesce(clean_text(c("product_name_display_ko")), display_name(c("__name_ko"), c("__brands"), c("__variants"))))
+        display_en = F.coalesce(clean_text(c("product_name_display_en")), display_name(c("__name_en"), c("__brands"), c("__variants")), translated_type(c("__display_ko")))
+        return named.withColumn("__display_en", display_en)
+
+    made_of = ("source_brand_name", "source_brand_name_en", "product_name_ko", "product_name_en", "product_name_display_ko", "product_name_display_en", "shade")
+    told = ("__ko", "__en", "__name_ko", "__name_en", "__display_ko", "__display_en")
+    named = once_for_each(spread(df), {n: c(n) for n in made_of}, {n: c(n) for n in told}, texts)
     original = F.coalesce(F.nullif(c("original_price"), F.lit(0.0)), c("regular_price"))
     price = F.coalesce(c("sale_price"), original)
     lists = [_cleaned(c(n)).alias(n) for n in ("options", "search_keywords") if n in df.columns]
-    made = named.withColumn("__display_ko", display_ko).select(
+    made = named.select(
         *keep,
         clean_text(c("canonical_product_id")).alias("canonical_product_id"),
         c("__ko").alias("brand_ko"),
         c("__en").alias("brand_en"),
-        name_ko.alias("product_name_ko"),
-        name_en.alias("product_name_en"),
+        c("__name_ko").alias("product_name_ko"),
+        c("__name_en").alias("product_name_en"),
         c("__display_ko").alias("product_name_display_ko"),
-        display_en.alias("product_name_display_en"),
+        c("__display_en").alias("product_name_display_en"),
         clean_text(c("category")).alias("category"),
         price.alias("price"),
         original.alias("original_price"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmart.functions import names
 from quillmart.operators import normalize
 from quillmart.plans.views import view, with_views
+from quillmart.shared import once_for_each
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,7 +97,8 @@ shown AS (SELECT id, coalesce(nullif({_clean(_strip(_clean(bare), (*names.FLATTE
 )
 def f22_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = view(spark, sf_dir, "retail_names")
-    return listed.select("id", names.display_name(F.col("name"), F.array("brand", "maker"), F.array("shade")).alias("display"))
+    shown = {"display": names.display_name(F.col("name"), F.array("brand", "maker"), F.array("shade"))}
+    return once_for_each(listed, {n: F.col(n) for n in ("name", "brand", "maker", "shade")}, shown).select("id", "display")
 
 
 # ---- translated types

@@ -64,3 +64,10 @@ def test_keys_made_before_the_join_score_alike(spark):
     pairs = asked.select(F.col("query").alias("product_query")).crossJoin(docs)
     keyed = matching.with_query_classes(asked.select(F.col("query").alias("product_query"))).crossJoin(matching.with_haystack(docs, ["name", "brand"]))
     assert rows(matching.match_scores(keyed, ["name", "brand"])) == rows(matching.match_scores(pairs, ["name", "brand"]))
+
+
+def test_display_names_are_made_once_for_equal_texts(spark):
+    """Copies of a part's texts are one row before the rules are applied."""
+    plan = registry.QUERIES["f22_display_names"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    made, dealt = plan.index("lambdafunction"), plan.index("Repartition")
+    assert made < dealt and "Aggregate" in plan[dealt:]
