@@ -141,6 +141,7 @@ def search_index(
     :func:`head_postings` with their ``members``. Equal texts of several queries are searched once. A candidate gives at most ``2 k``
     hits to each method, which is enough: fewer than ``k`` of them can be mapped already.
     """
+    queries = stored(queries, "queries")
     mapped = mapped_hits(queries, ranks, products, k, key_col, time_col)
     keyed = aliases.select(search_key(F.col("alias")).alias("alias_key"), "alias", "official_en").where(F.col("alias_key") != "")
     spoken = stored(expand_aliases(queries, keyed), "spoken")

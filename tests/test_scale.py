@@ -84,3 +84,21 @@ def test_heads_of_equal_documents_answer_for_all(spark):
         short = search.search_bm25(asked, search.build_postings(heads, "doc", F.col("name")), 6, seen, members)
         told = lambda df: rows(df.select("query_id", "doc", F.round("score", 9), "rank"))
         assert told(short) == told(plain) and len(told(plain)) == 18
+
+
+def test_substrings_are_searched_from_the_greatest_order_on(spark, monkeypatch):
+    """Common keys end with the first documents, rare and short ones go on to the last; the rows are those of all pairs."""
+    texts = ["redring", "ringbolt", None, "bolt", "reding", "abolt", "", "ring"]
+    docs = [(n, texts[n % 8] if n else "onlyone", [None, 1, 2][n % 3]) for n in range(200)]
+    asked = [(q, q) for q in ("ring", "red ring", "bo", "o", "onlyone", "zz", "zebra", " ", "tring")]
+    made = spark.createDataFrame(docs, "doc long, search_text string, seen int"), spark.createDataFrame(asked, "query_id string, query string")
+    for order, place in (((), lambda d: d[0]), (("seen",), lambda d: (d[2] or 0, d[0]))):
+        want = []
+        for q, text in asked:
+            key = text.replace(" ", "")
+            hits = sorted((d for d in docs if key and key in (d[1] or "")), key=place, reverse=True)
+            want += [(q, d[0], no) for no, d in enumerate(hits[:4], 1)]
+        for first, keys in ((search.FIRST_DOCUMENTS, search.BROADCAST_KEYS), (6, search.BROADCAST_KEYS), (6, 0)):
+            monkeypatch.setattr(search, "BROADCAST_KEYS", keys)
+            assert rows(search.search_substring(made[1], made[0], 4, "doc", "search_text", order, first=first)) == sorted(want, key=repr)
+            monkeypatch.undo()
