@@ -11,6 +11,7 @@ from quillmart.operators import evidence, matches
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans import log_queries as lq
 from quillmart.plans.views import view, with_views
+from quillmart.shared import spread
 from quillmart.sources import pages, payloads, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +52,7 @@ def s7_nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.filter(F.sequence(F.lit(1), F.lit(11)), lambda i: i <= n % 12)
     nested = F.reduce(levels, items, lambda inner, i: F.when(i % 2 == 0, text('{"products": {"n": [1]}, "results": {"items": []}, "data": ', inner, "}")).otherwise(text(' {"items": ', inner, ', "data": {"items": [{"id": "wrong"}]}}')))
     made = F.when(n % 13 == 0, text('{"products": [], "items": ', items, "}")).otherwise(nested)
-    rows = part(spark, sf_dir).select(made.alias("payload"))
+    rows = spread(part(spark, sf_dir)).select(made.alias("payload"))
     return payloads.map_json_payload(rows, "api").select("source_product_id", "product_name_ko", "source_brand_name", "regular_price")
 
 
@@ -89,7 +90,7 @@ def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(n % 6 == 1, "0").when(n % 6 == 2, "1,200원").when(n % 6 == 3, "abc").when(n % 6 == 5, "0.0")
     meta = lambda key, value: F.coalesce(text(f'<meta property="{key}" content="', value, '">'), F.lit(""))
     html = text("<html><head>", F.coalesce(text("<title>", title, "</title>"), F.lit("")), '<script type="application/ld+json">', linked, "</script>", meta("og:image", image), meta("price", price), F.when(n % 6 == 5, '<meta itemprop="price" content="9">').otherwise(""), "<p>open")
-    return part(spark, sf_dir).where(n % 11 != 0).select(text("https://shop.example/p/", n.cast("string")).alias("source_url"), html.alias("html"))
+    return spread(part(spark, sf_dir).where(n % 11 != 0)).select(text("https://shop.example/p/", n.cast("string")).alias("source_url"), html.alias("html"))
 
 
 @query(

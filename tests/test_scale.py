@@ -102,3 +102,10 @@ def test_substrings_are_searched_from_the_greatest_order_on(spark, monkeypatch):
             monkeypatch.setattr(search, "BROADCAST_KEYS", keys)
             assert rows(search.search_substring(made[1], made[0], 4, "doc", "search_text", order, first=first)) == sorted(want, key=repr)
             monkeypatch.undo()
+
+
+def test_payloads_and_pages_are_made_on_all_cores(spark):
+    """A small file of parts is one task; what is read out of texts is dealt out first."""
+    for name in ("s7_nested_payloads", "a16_evidence_audit"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan, name
