@@ -76,7 +76,7 @@ FROM o""",
     "listing_obs",
 )
 def a8_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = cq.keyed(cq.observations(spark, sf_dir)).withColumn("query_key", text.search_key(F.col("category")))
+    obs = cq.keyed_observations(spark, sf_dir)
     products = upsert.upsert_products(obs, cq.ORDER)
     offers, _ = upsert.upsert_offers(obs, cq.ORDER)
     return analytics.index_stats(products, obs, offers)

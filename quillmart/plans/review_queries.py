@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmart.operators import editor, jobs, matches, matching, merge, results, search, upsert
 from quillmart.plans import catalog_queries as cq
 from quillmart.plans import log_queries as lq
-from quillmart.plans.views import VIEWS, sql_key, view, with_views
+from quillmart.plans.views import sql_key, view, with_views
 from quillmart.shared import fresh_path, spread
 from quillmart.streaming import query_log
 
@@ -278,10 +278,9 @@ def t5_streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: line items as a stream, joined with their parts, upserted batch by batch; the last version of the table."""
     path = f"{sf_dir}/lineitem.parquet"
     flow = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if lq._is_folder(spark, path) else f"{path}*")
-    sql = VIEWS["listing_obs"].replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}")
-    stream = spark.sql(sql, lineitem=flow, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    stream = cq.keyed_observations(spark, sf_dir, lineitem=flow).drop("query_key")
     where = fresh_path(spark, "upsert")
-    writer = query_log.upsert_stream(stream, lambda current, batch: upsert.upsert_onto(current, cq.keyed(batch), cq.ORDER), f"{where}/table", f"{where}/checkpoint")
+    writer = query_log.upsert_stream(stream, lambda current, batch: upsert.upsert_onto(current, batch, cq.ORDER), f"{where}/table", f"{where}/checkpoint")
     run = writer.start()
     run.awaitTermination()
     table = spark.read.parquet(f"{where}/table/v{run.lastProgress['batchId'] if run.lastProgress else 0}")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillmart import registry
 from quillmart.operators import editor, matching, search
+from quillmart.plans import catalog_queries as cq
 from quillmart.shared import MEASURED_BROADCAST, PLANNED_BROADCAST, once_for_each, spread
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +110,12 @@ def test_payloads_and_pages_are_made_on_all_cores(spark):
     for name in ("s7_nested_payloads", "a16_evidence_audit"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition" in plan, name
+
+
+def test_keys_of_listings_are_made_for_parts(spark):
+    """Line items are joined to parts that have their keys already, and the keys are those of the plain way."""
+    for name in ("a1_upsert_products", "a3_query_ranks", "k_record_keys"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "__name" in plan[plan.index("Join") :], name
+    plain = cq.keyed(cq.observations(spark, SF)).select("seq", "part_no", "supp_no", "record_key")
+    assert rows(cq.keyed_observations(spark, SF).select(plain.columns)) == rows(plain)
