@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import written
+from quillmart.llm.common import dealt, written
 from quillmart.llm.components import splittable
 
 #: Rows of a tile. Blocks with more are cut into tiles, and each pair of tiles is compared in a place of its own.
@@ -130,7 +130,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> list[i
 def shared_blocks(rows: DataFrame) -> DataFrame:
     """``rows`` of the blocks that have more than one, with their number ``n_rows``."""
     counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
-    return rows.join(splittable(counts, "block"), "block")
+    return rows.join(dealt(splittable(counts, "block")), "block")
 
 
 def _in_places(rows: DataFrame, tile: int | None = None) -> DataFrame:

@@ -43,6 +43,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals both sides by their key. Spark takes the bytes of a file for those of the rows made of
+    it: blocks exploded from a small file, or compressed links, would be gathered and broadcast by the driver."""
+    return df.hint("merge")
+
+
 class TwoAgeCache(dict):
     """A memo for a worker, bounded by bytes: ``make(key)`` fills it; when the young age is full, it becomes the old one.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmart.llm.common import discard, written
+from quillmart.llm.common import dealt, discard, written
 
 
 def splittable(sums: DataFrame, key: str) -> DataFrame:
@@ -25,7 +25,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     side = both if large else both.where(F.col("b") < F.col("a"))
     least = side.groupBy("a").agg(F.min("b").alias("m"))
     least = splittable(least.select("a", F.least("a", "m").alias("m")), "a")
-    moved = side.join(least, "a").where(F.col("b") > F.col("a") if large else F.lit(True)).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = side.join(dealt(least), "a").where(F.col("b") > F.col("a") if large else F.lit(True)).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where(F.col("a") != F.col("b")).distinct()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmart.llm.bit_slices import links_in_blocks, open_rows, proven_links, shared_blocks
-from quillmart.llm.common import discard, written
+from quillmart.llm.common import dealt, discard, written
 from quillmart.llm.components import components, splittable
 
 SEED = 42
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, p
     pieces = pieces or pieces_for(distinct.count(), radius)
     blocks = distinct.select(F.explode(_piece_blocks(F.col("fp"), radius, pieces)).alias("block"), F.col("fp").alias("node"), F.array("fp").alias("code"))
     roots = components(links_in_blocks(blocks, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(dealt(roots), distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = splittable(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -171,7 +171,7 @@ def wide_radius(similarity: float) -> int:
 
 def _links_left_out(texts: DataFrame, rows: DataFrame, proven: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` of similar texts that share a block of ``rows`` and that the components ``proven (node, root)`` leave apart."""
-    rooted = rows.join(proven, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rows.join(dealt(proven), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A block whose rows are joined already has nothing left to find.
     apart = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high")).select("block")
     # A pair of which one has at most FEW shingles: the other may have more by the similarity.

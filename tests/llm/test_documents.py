@@ -300,6 +300,23 @@ def test_near_duplicates_by_fingerprint(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_blocks_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """Rows exploded from a file far exceed its bytes, by which a join would take them for small."""
+    path = f"{tmp_path}/codes"
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(path)
+    codes = spark.read.parquet(path)
+    blocks = codes.select(F.explode(simhash._piece_blocks(F.col("fp"), 4, 6)).alias("block"), F.col("fp").alias("node"), F.array("fp").alias("code"))
+    links = codes.select(F.col("fp").alias("a"), F.lit(0).cast("long").alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        for df in (bit_slices.shared_blocks(blocks), components._star(links, True), components._star(links, False)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("tile", [256, 4])
 def test_similar_documents_are_those_above_the_similarity(spark, tile, monkeypatch):
     monkeypatch.setattr(bit_slices, "TILE", tile)
