@@ -148,35 +148,41 @@ def merge_products(products: DataFrame, key_col: str, order: Sequence[str], fiel
     What a fold of the rows in order would give is told by two running values, the best priority and the greatest quality
     before a row: they say which rows replace the representative. A field is that of the last such row that has it; a
     filled field that none of them has is the first known one. So the rows of a key stream through a window and an
-    aggregation in one pass, and a key may have any number of them. (Keywords are gathered, each list once.)
+    aggregation in one pass, dealt and sorted once, and a key may have any number of them. (Keywords are gathered, each
+    list once.) Rows without a key are given as they are, without a shuffle; ``products`` is read once for each kind, so
+    keys that are long to make should be made before.
     """
     held = list(dict.fromkeys([*fields, "source", "source_priority", "quality_score"]))
     rank = F.struct(*order)
-    # A row without a key is a group of its own; rows that are equal in all their fields are counted and given again.
-    own = F.when(F.col(key_col).isNull(), F.struct(rank.alias("at"), *(F.col(f) for f in held)))
-    rows = products.withColumn("__key", F.col(key_col)).withColumns({"__own": own, "__at": rank, "__p": F.coalesce("source_priority", F.lit(DEFAULT_PRIORITY))})
-    earlier = Window.partitionBy(*group, "__key", "__own").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = products.withColumn("__key", F.col(key_col)).where(F.col("__key").isNotNull())
+    rows = keyed.withColumns({"__at": rank, "__p": F.coalesce("source_priority", F.lit(DEFAULT_PRIORITY)), "__hash": F.xxhash64("__key")})
+    # Keys often begin alike; by their hash first, rows are sorted without comparing them.
+    together = (*group, "__hash", "__key")
+    earlier = Window.partitionBy(*together).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"__best": F.min("__p").over(earlier), "__most": F.max("quality_score").over(earlier), "__no": F.count(F.lit(1)).over(earlier)})
     better = (F.col("__no") == 0) | (F.col("__p") < F.col("__best")) | ((F.col("__p") == F.col("__best")) & (F.col("quality_score") > F.col("__most")))
     rows = rows.withColumn("__better", F.coalesce(better, F.lit(False)))
 
+    def united(lists: Column) -> Column:
+        union = F.reduce(lists, F.array().cast("array<string>"), lambda acc, x: text_union(acc, x))
+        return let(union, lambda u: F.when(F.size(u) > 0, u))
+
     def folded(f: str) -> Column:
         if f == "quality_score":
             return F.max(f)
         if f == "search_keywords":
             lists = F.sort_array(F.collect_list(F.when(F.col(f).isNotNull(), F.struct("__at", f))))
-            union = F.reduce(lists, F.array().cast("array<string>"), lambda acc, x: text_union(acc, x[f]))
-            return let(union, lambda u: F.when(F.size(u) > 0, u))
+            return united(F.transform(lists, lambda x: x[f]))
         if f in FILLED_FIELDS:
             known = F.col(f).isNotNull()
             return F.coalesce(F.max_by(f, F.when(F.col("__better") & known, F.col("__at"))), F.min_by(f, F.when(known, F.col("__at"))))
         return F.max_by(f, F.when(F.col("__better"), F.col("__at")))
 
-    merged = rows.groupBy(*group, "__key", "__own").agg(*(folded(f).alias(f) for f in held), F.count(F.lit(1)).cast("int").alias("__n"), F.min("__at").alias("position"))
-    alone = F.col("__key").isNull()
-    again = F.explode(F.array_repeat(F.lit(1), F.when(alone, F.col("__n")).otherwise(1)))
-    told = merged.withColumn("__again", again).withColumn("n_merged", F.when(alone, 1).otherwise(F.col("__n")))
-    return told.select(*group, F.col("__key").alias("key"), *held, "n_merged", "position")
+    merged = rows.groupBy(*together).agg(*(folded(f).alias(f) for f in held), F.count(F.lit(1)).cast("int").alias("n_merged"), F.min("__at").alias("position"))
+    merged = merged.select(*group, F.col("__key").alias("key"), *held, "n_merged", "position")
+    own = (united(F.array(F.coalesce(f, F.array().cast("array<string>")))).alias(f) if f == "search_keywords" else F.col(f) for f in held)
+    alone = products.where(F.col(key_col).isNull()).select(*group, F.col(key_col).alias("key"), *own, F.lit(1).alias("n_merged"), rank.alias("position"))
+    return merged.unionByName(alone)
 
 
 def attach_offers(results: DataFrame, offers: DataFrame, fields: Sequence[str]) -> DataFrame:

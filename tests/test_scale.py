@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillmart import registry
-from quillmart.operators import editor, matching, search
+from quillmart.operators import editor, matching, merge, search
 from quillmart.plans import catalog_queries as cq
 from quillmart.shared import MEASURED_BROADCAST, PLANNED_BROADCAST, once_for_each, spread
 
@@ -119,3 +119,15 @@ def test_keys_of_listings_are_made_for_parts(spark):
         assert "__name" in plan[plan.index("Join") :], name
     plain = cq.keyed(cq.observations(spark, SF)).select("seq", "part_no", "supp_no", "record_key")
     assert rows(cq.keyed_observations(spark, SF).select(plain.columns)) == rows(plain)
+
+
+def test_products_of_a_key_are_dealt_once(spark):
+    """a5: keys are made for parts; rows with a key are shuffled once, those without never."""
+    plan = registry.QUERIES["a5_merge_products"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__name" in plan[plan.index("Join") :]
+    schema = "key string, at double, source string, source_priority int, quality_score int, category string"
+    rows_of = [("k", 1.0, "a", 20, 5, None), ("k", 2.0, "b", 10, 1, None), ("k", 3.0, "c", 10, 9, "x"), (None, 1.0, "a", None, 2, "y"), (None, 1.0, "a", None, 2, "y"), ("", 1.0, "d", None, None, None)]
+    merged = merge.merge_products(spark.createDataFrame(rows_of, schema), "key", ("at",), ["category"])
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = [("k", "x", "c", 10, 9, 3, (1.0,)), ("", None, "d", None, None, 1, (1.0,)), *[(None, "y", "a", None, 2, 1, (1.0,))] * 2]
+    assert rows(merged) == sorted(want, key=repr)
