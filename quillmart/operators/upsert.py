@@ -1,7 +1,9 @@
 """Folds of repeated observations: products, offers with link protection, query ranks, records of a collection.
 
-Order is always an explicit tuple of columns (``order``), never the order of rows. Every fold is one aggregation whose
-partial results are merged before the shuffle, so a key with very many observations costs one small row a task.
+Order is always an explicit tuple of columns (``order``), never the order of rows. A fold is one aggregation whose
+partial results are merged before the shuffle, so a key with very many observations costs one small row a task. Where
+nearly every key comes once, partial results are only longer than the rows (each column has its order tuple with it);
+records that say so are dealt as they are and folded after one shuffle.
 """
 
 from __future__ import annotations
@@ -80,12 +82,13 @@ LATEST_KNOWN = (
 )
 
 
-def merge_records(records: DataFrame, order: Sequence[str], key_col: str = "record_key", text_empty_is_null: bool = True) -> DataFrame:
+def merge_records(records: DataFrame, order: Sequence[str], key_col: str = "record_key", text_empty_is_null: bool = True, keys_repeat: bool = True) -> DataFrame:
     """A4: one row for each key of a collection, in the order of first occurrence (``position`` holds its order tuple).
 
     Names, shade, URL and ids stay the first known; category, brands, prices, images and the like are the latest known;
     source and search keywords are the first row's. The regular price is the latest one that comes with an original or
-    sale price, or else the first known one, which takes part as well.
+    sale price, or else the first known one, which takes part as well. Where nearly every key comes once, ``keys_repeat=False``
+    deals rows by their key as they are, which gives the same with less to shuffle.
     """
     rank = F.struct(*order)
     columns = set(records.columns)
@@ -105,5 +108,5 @@ def merge_records(records: DataFrame, order: Sequence[str], key_col: str = "reco
         folded.append(F.when(at_later > at_first, later).otherwise(first).alias("regular_price"))
     kept = [c for c in ("source", "search_keywords") if c in columns]
     folded += [F.min_by(F.struct(*kept), rank).alias("__first"), F.min(rank).alias("position")]
-    merged = records.groupBy(key_col).agg(*folded)
+    merged = (records if keys_repeat else records.repartition(key_col)).groupBy(key_col).agg(*folded)
     return merged.select("*", *(F.col(f"__first.{c}").alias(c) for c in kept)).drop("__first")

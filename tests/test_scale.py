@@ -1,9 +1,11 @@
 """What is computed once for equal inputs, before joins, and joins by measured size: the same rows as the plain way."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillmart import registry
-from quillmart.operators import editor, matching, merge, search
+from quillmart.operators import editor, matching, merge, search, upsert
 from quillmart.plans import catalog_queries as cq
 from quillmart.shared import MEASURED_BROADCAST, PLANNED_BROADCAST, once_for_each, spread
 
@@ -131,3 +133,27 @@ def test_products_of_a_key_are_dealt_once(spark):
     assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     want = [("k", "x", "c", 10, 9, 3, (1.0,)), ("", None, "d", None, None, 1, (1.0,)), *[(None, "y", "a", None, 2, 1, (1.0,))] * 2]
     assert rows(merged) == sorted(want, key=repr)
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+OBSERVED = "record_key string, seq int, observed_at int, source string, canonical_product_id string, source_product_id string, source_url string, category string, original_price double, sale_price double, regular_price double"
+
+
+def observed(spark, n=300):
+    rng = random.Random(9)
+    pick = lambda *x: rng.choice(x)
+    made = [(f"k{rng.randrange(90)}", i, i // 3, pick("s", "t"), pick("c1", "c1", "c2", None), pick("p1", "p2", "", None), pick("u", "v", None), pick("x", "", None), pick(1.0, 2.0, None), pick(3.0, None), pick(4.0, None)) for i in range(n)]
+    return spark.createDataFrame(made, OBSERVED).repartition(3)
+
+
+def test_records_of_unlike_keys_are_dealt_as_they_are(spark):
+    """a4: rows cross the shuffle, not a partial result with an order tuple for each column; the fold is the same."""
+    records = observed(spark)
+    dealt = upsert.merge_records(records, ("seq",), keys_repeat=False)
+    for plan in (physical(dealt), physical(registry.QUERIES["a4_merge_records"](spark, SF))):
+        at = plan.index("hashpartitioning(record_key")
+        assert plan.count("hashpartitioning(record_key") == 1 and plan[:at].count("Aggregate(") == 2 and "Aggregate(" not in plan[at:]
+    assert rows(dealt) == rows(upsert.merge_records(records, ("seq",))) and dealt.count() > 80
