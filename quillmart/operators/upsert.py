@@ -3,14 +3,14 @@
 Order is always an explicit tuple of columns (``order``), never the order of rows. A fold is one aggregation whose
 partial results are merged before the shuffle, so a key with very many observations costs one small row a task. Where
 nearly every key comes once, partial results are only longer than the rows (each column has its order tuple with it);
-records that say so are dealt as they are and folded after one shuffle.
+offers, and records that say so, are dealt as they are and folded after one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of which the latest row's value holds as it is, null or not.
@@ -25,23 +25,24 @@ def _first_known(name: str, order: Column) -> Column:
     return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name)
 
 
-def upsert_products(observations: DataFrame, order: Sequence[str], time_col: str = "observed_at", key_col: str = "record_key", as_latest: Sequence[str] = AS_LATEST) -> DataFrame:
-    """A1: one row for each key. Columns keep their latest known value, those of ``as_latest`` the latest row's.
+def upsert_products(observations: DataFrame, order: Sequence[str], time_col: str = "observed_at", key_col: str | Sequence[str] = "record_key", as_latest: Sequence[str] = AS_LATEST) -> DataFrame:
+    """A1: one row for each key, of one column or several. Columns keep their latest known value, those of ``as_latest`` the latest row's.
 
     ``first_seen_at`` and ``last_seen_at`` are the least and greatest ``time_col``; where rows have a ``first_seen_at``
     of their own, it counts. :func:`upsert_onto` goes on from a table that has been folded before.
     """
     rank = F.struct(*order)
     seen = ("first_seen_at", "last_seen_at")
-    skip = {key_col, *order, *seen}
+    key = [key_col] if isinstance(key_col, str) else list(key_col)
+    skip = {*key, *order, *seen}
     first = F.coalesce("first_seen_at", time_col) if "first_seen_at" in observations.columns else F.col(time_col)
     latest = [c for c in observations.columns if c in as_latest and c not in skip]
     known = [c for c in observations.columns if c not in as_latest and c not in skip]
     folded = [_latest_known(c, rank) for c in known]
     if latest:
         folded.append(F.max_by(F.struct(*latest), rank).alias("__latest"))
-    out = observations.groupBy(key_col).agg(*folded, F.min(first).alias("first_seen_at"), F.max(time_col).alias("last_seen_at"))
-    return out.select(key_col, *known, *(F.col(f"__latest.{c}").alias(c) for c in latest), "first_seen_at", "last_seen_at")
+    out = observations.groupBy(*key).agg(*folded, F.min(first).alias("first_seen_at"), F.max(time_col).alias("last_seen_at"))
+    return out.select(*key, *known, *(F.col(f"__latest.{c}").alias(c) for c in latest), "first_seen_at", "last_seen_at")
 
 
 def upsert_onto(current: DataFrame | None, batch: DataFrame, order: Sequence[str], time_col: str = "observed_at", key_col: str = "record_key", as_latest: Sequence[str] = AS_LATEST) -> DataFrame:
@@ -56,17 +57,18 @@ def upsert_offers(observations: DataFrame, order: Sequence[str], time_col: str =
     """A2: ``(offers, conflicts)``. The first canonical id of a (source, source_product_id) holds; rows that would link it
     to another one are conflicts and change nothing.
 
-    Rows without canonical id, product id or URL are no offers. Current offers take part as earlier observations.
+    Rows without canonical id, product id or URL are no offers. Current offers take part as earlier observations. Rows are
+    dealt by source and product id once: their owner is the first row's in a window, and as it is one, so is the offer.
     """
     rank = F.struct(*order)
     pair = ["source", "source_product_id"]
     whole = observations.where(F.col("canonical_product_id").isNotNull() & F.col("source_product_id").isNotNull() & F.col("source_url").isNotNull())
-    owner = whole.groupBy(*pair).agg(F.min_by("canonical_product_id", rank).alias("__owner"))
-    owned = whole.join(owner, pair)
+    in_order = Window.partitionBy(*pair).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = whole.withColumn("__owner", F.first("canonical_product_id").over(in_order))
     conflicts = owned.where(F.col("canonical_product_id") != F.col("__owner")).drop("__owner")
     kept = owned.where(F.col("canonical_product_id") == F.col("__owner")).drop("__owner")
-    keyed = kept.withColumn("offer_id", F.concat_ws(":", "canonical_product_id", *pair))
-    return upsert_products(keyed, order, time_col, "offer_id"), conflicts
+    offers = upsert_products(kept, order, time_col, pair)
+    return offers.select(F.concat_ws(":", "canonical_product_id", *pair).alias("offer_id"), *offers.columns), conflicts
 
 
 def upsert_query_ranks(hits: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -157,3 +157,27 @@ def test_records_of_unlike_keys_are_dealt_as_they_are(spark):
         at = plan.index("hashpartitioning(record_key")
         assert plan.count("hashpartitioning(record_key") == 1 and plan[:at].count("Aggregate(") == 2 and "Aggregate(" not in plan[at:]
     assert rows(dealt) == rows(upsert.merge_records(records, ("seq",))) and dealt.count() > 80
+
+
+def test_offers_are_dealt_by_source_and_id_once(spark):
+    """a2: the owner and the fold share one shuffle; offers and conflicts are those of the owner found first and joined."""
+    seen = observed(spark).drop("record_key", "regular_price")
+    offers, conflicts = upsert.upsert_offers(seen, ("seq",))
+    assert physical(offers).count("Exchange hashpartitioning") == physical(conflicts).count("Exchange hashpartitioning") == 1
+    first, want = {}, {}
+    for r in sorted(seen.collect(), key=lambda r: r["seq"]):
+        if None in (r["canonical_product_id"], r["source_product_id"], r["source_url"]):
+            continue
+        pair = r["source"], r["source_product_id"]
+        if first.setdefault(pair, r["canonical_product_id"]) == r["canonical_product_id"]:
+            was = want.get(pair, {})
+            known = {c: was.get(c) if r[c] is None else r[c] for c in ("source_url", "category", "original_price")}
+            want[pair] = known | {"sale_price": r["sale_price"], "first": was.get("first", r["observed_at"]), "last": r["observed_at"]}
+    got = {(r["source"], r["source_product_id"]): r for r in offers.collect()}
+    assert got.keys() == want.keys() and len(got) == offers.count() == 6
+    for pair, w in want.items():
+        r = got[pair]
+        assert r["offer_id"] == ":".join((first[pair], *pair)) and r["canonical_product_id"] == first[pair]
+        assert {c: r[c] for c in ("source_url", "category", "original_price", "sale_price")} | {"first": r["first_seen_at"], "last": r["last_seen_at"]} == w
+    whole = [r for r in seen.collect() if None not in (r["canonical_product_id"], r["source_product_id"], r["source_url"])]
+    assert conflicts.columns == seen.columns and conflicts.count() == sum(first[r["source"], r["source_product_id"]] != r["canonical_product_id"] for r in whole) > 10
