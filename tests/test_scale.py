@@ -55,6 +55,23 @@ def test_kinds_of_lines_are_judged_like_pairs(spark):
     assert rows(best) == rows(editor.resolve_lines(asked, plain, 5))
 
 
+def test_pairs_of_lines_and_products_are_not_shuffled(spark, monkeypatch):
+    """Every pair is listed where its kinds meet; a name with many pairs, its lists cut short, is dealt to several tasks."""
+    lines = [(n, ["Rom", None, "Lee", ""][n % 4], None if n % 8 == 7 else ["red ring", "blue bolt x"][n % 16 == 5], [None, "21"][n % 3 % 2], None, n % 5 != 0, 0) for n in range(160)]
+    parts = [(n, None, ["Rom", "Lee Rom"][n % 2], None, ["red ring", "red ring", None, "blue bolt x"][n % 4], ["21", None, "4"][n % 3], "c", ["u", "", "u", None][n % 3], [None, "i"][n % 2], [n % 7, None][n % 11 == 0], [None, 20, 90][n % 3]) for n in range(300)]
+    asked, products = spark.createDataFrame(lines, LINE), spark.createDataFrame(parts, PRODUCT)
+    plain = editor.judge_candidates(asked.join(products, asked["product_query"] == products["name_en"])).select("line_id", "step", "product_id", "brand_matches", "shade_matches", "match_score")
+    for listed, pairs in ((1_000, 50_000_000), (3, 100)):
+        monkeypatch.setattr(editor, "LISTED", listed)
+        monkeypatch.setattr(editor, "TASK_PAIRS", pairs)
+        got = editor.judge_all(asked, products, "product_query", "name_en")
+        assert rows(got) == rows(plain) and plain.count() > 5_000
+        assert len({r["at"] for r in got.select(F.spark_partition_id().alias("at")).distinct().collect()}) > 1
+    assert editor.judge_all(asked.where("false"), products, "product_query", "name_en").count() == 0
+    plan = registry.QUERIES["r19_editor_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and "Repartition" not in plan[: plan.index("Join")]
+
+
 def test_keys_made_before_the_join_score_alike(spark):
     empty = F.array().cast("array<string>")
     asked = spark.createDataFrame([("red ring", ["rom"]), ("lee", [])], "query string, expanded_terms array<string>")
